@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field as dc_field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,7 +114,10 @@ def _term_rows(df: DataFrame, id_col: str, fields: list, p: TfidfParams,
     keep = [id_col, *carry]
     x = df.select(*keep, F.inline(per_field))
     x = x.select(*keep, "field", "_s", F.size("_s").alias("_n"))
-    x = x.select(*keep, "field", F.explode(term_runs("_s", "_n")).alias("_t"))
+    # explode_outer: an inner explode makes Catalyst infer size(<array>) > 0 and push that
+    # filter into the scan, inlining the whole array computation a second time
+    x = x.select(*keep, "field", F.explode_outer(term_runs("_s", "_n")).alias("_t"))
+    x = x.where(F.col("_t").isNotNull())
     return x.select("field", id_col, F.col("_t.term").alias("term"),
                     F.col("_t.tf").cast("double").alias("tf"), *carry)
 
@@ -150,7 +154,10 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
 
     n_docs = base.count()   # one long to the driver; N includes empty documents
     kw_only = [f for f in keyword_fields if f not in text_fields]
-    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only])
+    # tokenising whole texts is the costly step and its rows feed both the df aggregate and
+    # the weighting join: compute them once (spills to disk; lost blocks recompute from lineage)
+    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only]).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
     dfreq = terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     lo = p.doc_count_bound(p.min_df, n_docs)

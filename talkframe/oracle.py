@@ -47,7 +47,7 @@ def _tfidf_ctes(docs_sql: str, queries_sql: str, fields_boost: dict, params: dic
 
 def _topk_select(k: int, where: str = "score > 0") -> str:
     return f"""
-SELECT qid, doc_id, round(score, 6) AS score, rank FROM (
+SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM (
   SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid
          ORDER BY round(score, 6) DESC, doc_id) AS BIGINT) AS rank
   FROM s WHERE {where}) WHERE rank <= {k}"""
@@ -57,3 +57,110 @@ DOCS = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM docume
 BENCH = "SELECT item_id AS qid, text AS query FROM benchmark"
 
 SQL["tfidf_search"] = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + _topk_select(10)
+
+SQL["tfidf_search_filtered"] = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + _topk_select(
+    10, "score > 0 AND doc_id IN (SELECT doc_id FROM d WHERE lang = 'de')")
+
+BENCH_SRC = ("SELECT item_id AS qid, text || ' src' || CAST(item_id % 20 AS VARCHAR) AS query "
+             "FROM benchmark")
+SQL["tfidf_search_multifield"] = _tfidf_ctes(DOCS, BENCH_SRC, {"text": 3.0, "source": 1.0}) \
+    + _topk_select(10)
+
+SQL["tfidf_search_params"] = _tfidf_ctes(DOCS, BENCH, {"text": 1.0},
+                                         {"min_df": 2, "sublinear_tf": True}) + _topk_select(10)
+
+SQL["tfidf_idf"] = _tfidf_ctes(DOCS, BENCH, {"text": 1.0}) + """
+SELECT field, term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM (
+  SELECT field, term, count(*) AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf
+  FROM tf GROUP BY field, term)"""
+
+SQL["tfidf_postings"] = _tfidf_ctes(DOCS, BENCH, {"text": 1.0}) + """
+SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, round(w, 6) AS w, round(norm, 6) AS norm,
+       round(w / norm, 6) AS wn FROM (
+  SELECT dw.doc_id, dw.term, tf.tf, dw.w, sqrt(sum(dw.w * dw.w) OVER (PARTITION BY dw.doc_id)) AS norm
+  FROM dw JOIN tf USING (field, doc_id, term))"""
+
+SQL["tokenize"] = f"""
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens
+FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_RE}') AS toks
+      FROM documents)"""
+
+SQL["search_with_text"] = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + """
+SELECT h.qid, h.doc_id, h.score, h.rank, d.text FROM (""" + _topk_select(5) + """) h
+LEFT JOIN d USING (doc_id)"""
+
+VEC = """n AS (SELECT CAST(vec_id AS VARCHAR) AS id, v, label, sqrt(list_dot_product(v, v)) AS nv
+  FROM (SELECT vec_id, {expr} AS v, label FROM embeddings)),
+p AS (SELECT a.id AS qid, b.id AS doc_id, a.label AS qlabel, b.label AS dlabel,
+  CASE WHEN a.nv = 0 OR b.nv = 0 THEN 0.0::DOUBLE
+       ELSE list_dot_product(a.v, b.v) / (a.nv * b.nv) END AS cos FROM n a, n b)"""
+
+
+def _dense_topk(expr: str, score: str, k: int, asc: bool = False) -> str:
+    direction = "ASC" if asc else "DESC"
+    return f"""WITH {VEC.format(expr=expr)}
+SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM (
+  SELECT qid, doc_id, {score} AS score, CAST(row_number() OVER (PARTITION BY qid
+         ORDER BY round({score}, 6) {direction}, doc_id) AS BIGINT) AS rank FROM p)
+WHERE rank <= {k}"""
+
+
+SQL["dense_search_exact"] = _dense_topk("embedding::DOUBLE[]", "cos + 1.0::DOUBLE", 5)
+SQL["dense_search_distance"] = _dense_topk("embedding::DOUBLE[]", "1.0::DOUBLE - cos", 5, True)
+SQL["vector_truncate_search"] = _dense_topk("embedding[1:32]::DOUBLE[]", "cos + 1.0::DOUBLE", 5)
+
+SQL["vector_validate"] = """
+SELECT vec_id, reason IS NULL AS valid, reason FROM (
+  SELECT vec_id, CASE
+    WHEN embedding IS NULL THEN 'null vector'
+    WHEN len(embedding) <> 64 THEN 'expected 64 dimensions, got ' || CAST(len(embedding) AS VARCHAR)
+    WHEN list_count(embedding) < len(embedding) THEN 'null element'
+    WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'NaN element'
+    WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 'zero vector'
+    END AS reason FROM embeddings)"""
+
+SQL["nearest_title_gate"] = f"""WITH {VEC.format(expr="embedding::DOUBLE[]")},
+best AS (SELECT qid, doc_id, cos FROM (
+  SELECT qid, doc_id, cos, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 6) DESC,
+         doc_id) AS rn FROM p WHERE qlabel = dlabel AND qid <> doc_id) WHERE rn = 1)
+SELECT n.id AS qid, best.doc_id, round(best.cos, 6) AS cos_sim,
+  CASE WHEN best.cos >= 0.95 THEN 'Success' ELSE 'Fail' END AS status,
+  CASE WHEN best.cos >= 0.95 THEN 'Episode ' || best.doc_id || ' matched.'
+       ELSE 'Failed to download the podcast. Please try again.' END AS status_message
+FROM n LEFT JOIN best ON n.id = best.qid"""
+
+SQL["vector_mean_pool"] = """
+SELECT label, CAST(i - 1 AS BIGINT) AS dim, round(avg(x), 6) AS value FROM (
+  SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS i
+  FROM embeddings) GROUP BY label, i"""
+
+
+def _bucket(t: str, n: int) -> str:
+    return f"(('0x' || substring(md5({t}), 1, 8))::BIGINT % {n})"
+
+
+def _hashed(rel: str, id_col: str, text_expr: str, n: int, field: str) -> str:
+    return (f"SELECT '{field}' AS f, {id_col} AS id, {_bucket('t', n)} AS b FROM "
+            f"(SELECT {id_col}, unnest(regexp_extract_all(lower(coalesce({text_expr}, '')), "
+            f"'{TOKEN_RE}')) AS t FROM {rel})")
+
+
+SQL["hash_encode"] = f"""
+SELECT id AS doc_id, CAST(b AS BIGINT) AS dim, CAST(count(*) AS DOUBLE) AS value
+FROM ({_hashed('documents', 'doc_id', 'text', 64, 'text')}) GROUP BY ALL"""
+
+SQL["dense_search_multifield"] = f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents WHERE lang = 'en'),
+q AS ({BENCH_SRC}),
+dv AS (SELECT f, id, b, count(*)::DOUBLE AS x FROM (
+  {_hashed('d', 'doc_id', 'text', 64, 'text')} UNION ALL
+  {_hashed('d', 'doc_id', 'source', 64, 'source')}) GROUP BY ALL),
+qv AS (SELECT f, id, b, count(*)::DOUBLE AS x FROM (
+  {_hashed('q', 'qid', 'query', 64, 'text')} UNION ALL
+  {_hashed('q', 'qid', 'query', 64, 'source')}) GROUP BY ALL),
+du AS (SELECT f, id, b, x / sqrt(sum(x * x) OVER (PARTITION BY f, id)) AS u FROM dv),
+qu AS (SELECT f, id, b, x / sqrt(sum(x * x) OVER (PARTITION BY f, id))
+          * (CASE f WHEN 'text' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS u FROM qv),
+s AS (SELECT CAST(qu.id AS VARCHAR) AS qid, du.id AS doc_id, sum(qu.u * du.u) AS score
+      FROM qu JOIN du USING (f, b) GROUP BY ALL)
+{_topk_select(10)}"""

@@ -24,7 +24,8 @@ def query(name):
 
 
 def r6(col):
-    return F.round(col, SCORE_DIGITS)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 so that equal values hash equally
+    return F.round(col, SCORE_DIGITS) + F.lit(0.0)
 
 
 # ---------------------------------------------------------------- sparse search (2C, 2D)
@@ -50,3 +51,171 @@ def tfidf_search(spark, sf_dir):
     idx = sparse.fit(corpus(spark, sf_dir), ["text"], ["lang", "source"])
     return _hits(sparse.search(idx, bench_queries(spark, sf_dir), boost_dict={"text": 3.0},
                                num_results=10))
+
+
+@query("tfidf_search_filtered")
+def tfidf_search_filtered(spark, sf_dir):
+    """B1: keyword filter lang = 'de' applied before scoring; IDF from the whole corpus."""
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], ["lang", "source"])
+    return _hits(sparse.search(idx, bench_queries(spark, sf_dir), filter_dict={"lang": "de"},
+                               boost_dict={"text": 3.0}, num_results=10))
+
+
+def bench_queries_with_source(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("qid"),
+                    F.concat_ws(" ", "text", F.concat(F.lit("src"),
+                                (F.col("item_id") % 20).cast("string"))).alias("query"))
+
+
+@query("tfidf_search_multifield")
+def tfidf_search_multifield(spark, sf_dir):
+    """D3: two text fields, text boosted 3, source with the default boost 1."""
+    idx = sparse.fit(corpus(spark, sf_dir), ["text", "source"], ["lang"])
+    return _hits(sparse.search(idx, bench_queries_with_source(spark, sf_dir),
+                               boost_dict={"text": 3.0}, num_results=10))
+
+
+@query("tfidf_search_params")
+def tfidf_search_params(spark, sf_dir):
+    """Vectoriser parameters min_df=2 and sublinear_tf."""
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], [],
+                     params={"min_df": 2, "sublinear_tf": True})
+    return _hits(sparse.search(idx, bench_queries(spark, sf_dir), num_results=10))
+
+
+@query("tfidf_idf")
+def tfidf_idf(spark, sf_dir):
+    """Document frequency and smoothed IDF per term."""
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
+    return idx.idf.select("field", "term", "df", r6(F.col("idf")).alias("idf"))
+
+
+@query("tfidf_postings")
+def tfidf_postings(spark, sf_dir):
+    """Term frequency, tf*idf weight, document norm and unit weight per posting."""
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
+    return idx.postings.select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"),
+                               r6(F.col("w")).alias("w"), r6(F.col("norm")).alias("norm"),
+                               r6(F.col("wn")).alias("wn"))
+
+
+@query("tokenize")
+def tokenize_docs(spark, sf_dir):
+    """H1: the vectoriser's tokens of every whole document, rendered as one string."""
+    from .functions.text import tokenize
+    d = table(spark, sf_dir, "documents")
+    t = d.select("doc_id", tokenize(F.col("text")).alias("toks"))
+    return t.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"),
+                    F.array_join("toks", " ").alias("tokens"))
+
+
+@query("search_with_text")
+def search_with_text(spark, sf_dir):
+    """Top-5 hits, then the payload text joined to the hits only."""
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
+    hits = sparse.search(idx, bench_queries(spark, sf_dir), boost_dict={"text": 3.0},
+                         num_results=5)
+    return sparse.attach_text(_hits(hits), idx).select("qid", "doc_id", "score", "rank", "text")
+
+
+# ---------------------------------------------------------------- dense search (2C, 2D, 2J)
+
+HASH_DIMS = 64
+
+
+def vectors(spark, sf_dir):
+    """embeddings stand for the chunk vectors; every vector is also a query (self-search)."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+
+
+def vector_queries(spark, sf_dir):
+    return vectors(spark, sf_dir).withColumnRenamed("doc_id", "qid")
+
+
+def _dhits(h):
+    return h.select("qid", "doc_id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query("dense_search_exact")
+def dense_search_exact(spark, sf_dir):
+    """Exact cosine + 1.0 (search-server script score), top 5 of every vector."""
+    from .operators import dense
+    return _dhits(dense.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k=5,
+                               metric="cos_plus_one"))
+
+
+@query("dense_search_distance")
+def dense_search_distance(spark, sf_dir):
+    """C4 exact path: cosine distance 1 - cos ascending, top 5."""
+    from .operators import dense
+    return _dhits(dense.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k=5,
+                               metric="cos_distance"))
+
+
+@query("vector_truncate_search")
+def vector_truncate_search(spark, sf_dir):
+    """Vectors cut to their first 32 dimensions, then C2."""
+    from .functions.vectors import truncate
+    from .operators import dense
+    v = vectors(spark, sf_dir).withColumn("vector", truncate("vector", 32))
+    q = v.withColumnRenamed("doc_id", "qid")
+    return _dhits(dense.search(q, v, k=5, metric="cos_plus_one"))
+
+
+@query("vector_validate")
+def vector_validate(spark, sf_dir):
+    """Per vector, accepted for a 64-dimensional index or the reason it is not."""
+    from .functions.vectors import validity_reason
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", validity_reason("embedding", 64).alias("reason")).select(
+        "vec_id", F.col("reason").isNull().alias("valid"), "reason")
+
+
+@query("nearest_title_gate")
+def nearest_title_gate(spark, sf_dir):
+    """C3 + B3 + B9: best other vector of the same label (feed), gated at 0.95."""
+    from .operators import dense
+    g = dense.nearest_in_feed(vector_queries(spark, sf_dir), vectors(spark, sf_dir), "label",
+                              exclude_self=True)
+    return g.select("qid", "doc_id", r6(F.col("cos_sim")).alias("cos_sim"), "status",
+                    "status_message")
+
+
+@query("vector_mean_pool")
+def vector_mean_pool(spark, sf_dir):
+    """Mean vector per label, one row per (label, dimension)."""
+    from .operators import dense
+    m = dense.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return m.select("label", F.posexplode("vector").alias("dim", "value")).select(
+        "label", F.col("dim").cast("bigint").alias("dim"), r6(F.col("value")).alias("value"))
+
+
+@query("hash_encode")
+def hash_encode(spark, sf_dir):
+    """J1 default encoder: md5-bucketed token counts of every whole document (non-zero dims)."""
+    from .functions.vectors import with_hash_vector
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = with_hash_vector(d, "text", "vector", HASH_DIMS, keep=["doc_id"])
+    return (v.select("doc_id", F.posexplode_outer("vector").alias("dim", "value"))
+             .where(F.col("value") > 0)
+             .select("doc_id", F.col("dim").cast("bigint").alias("dim"),
+                     F.col("value").cast("double").alias("value")))
+
+
+@query("dense_search_multifield")
+def dense_search_multifield(spark, sf_dir):
+    """K2: hashed vectors for text and source, boost text 3, filter lang='en', positives only."""
+    from .functions.vectors import with_hash_vector
+    from .operators import dense
+    d = corpus(spark, sf_dir).where(F.col("lang") == "en").select(
+        F.col("id").alias("doc_id"), "text", "source")
+    d = with_hash_vector(d, "text", "text", HASH_DIMS, keep=["doc_id", "source"])
+    d = with_hash_vector(d, "source", "source", HASH_DIMS, keep=["doc_id", "text"])
+    q = bench_queries_with_source(spark, sf_dir)
+    q = with_hash_vector(q, "query", "text", HASH_DIMS, keep=["qid", "query"])
+    q = q.withColumn("source", F.col("text"))
+    h = dense.blocked_search(q, d, ["text", "source"], 10, "cosine", boosts=[3.0, 1.0],
+                             positive_only=True)
+    return _dhits(h)
