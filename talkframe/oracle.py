@@ -164,3 +164,61 @@ qu AS (SELECT f, id, b, x / sqrt(sum(x * x) OVER (PARTITION BY f, id))
 s AS (SELECT CAST(qu.id AS VARCHAR) AS qid, du.id AS doc_id, sum(qu.u * du.u) AS score
       FROM qu JOIN du USING (f, b) GROUP BY ALL)
 {_topk_select(10)}"""
+
+BENCH_Q = "SELECT item_id AS qid, text AS query FROM benchmark"
+GT = """gt AS (SELECT b.item_id AS qid, CAST(d.doc_id AS VARCHAR) AS id
+  FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0)"""
+REL = """rel AS (SELECT gt.qid, gt.id, h.rank, h.doc_id, coalesce(h.doc_id = gt.id, false) AS is_rel
+  FROM gt LEFT JOIN hits h ON gt.qid = h.qid)"""
+PERQ = """pq AS (SELECT qid, id, max(CAST(is_rel AS INTEGER)) AS hit,
+  sum(CASE WHEN is_rel THEN 1.0::DOUBLE / rank ELSE 0.0::DOUBLE END) AS rr FROM rel GROUP BY qid, id)"""
+
+
+def _eval_sql(tail: str) -> str:
+    return (_tfidf_ctes(DOCS, BENCH_Q, {"text": 3.0}) + ",\nhits AS (" + _topk_select(10)
+            + "),\n" + GT + ",\n" + REL + ",\n" + PERQ + "\n" + tail)
+
+
+SQL["eval_relevance"] = _eval_sql("SELECT qid, id, rank, doc_id, is_rel FROM rel")
+SQL["eval_hit_rate"] = _eval_sql("SELECT round(avg(hit), 6) + 0.0 AS hit_rate FROM pq")
+SQL["eval_mrr"] = _eval_sql("SELECT round(avg(rr), 6) + 0.0 AS mrr FROM pq")
+
+
+def _dense_hits(metric_expr: str, asc: bool, k: int, dims: int) -> str:
+    direction = "ASC" if asc else "DESC"
+    return f"""
+SELECT qid, doc_id, rank FROM (
+  SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid
+         ORDER BY round({metric_expr}, 6) {direction}, doc_id) AS BIGINT) AS rank FROM cs)
+WHERE rank <= {k}"""
+
+
+def _eval_report_sql(dims: int = 256) -> str:
+    ctes = _tfidf_ctes(DOCS, BENCH_Q, {"text": 3.0})
+    return ctes + f""",
+th AS ({_topk_select(10)}),
+{GT},
+dv AS (SELECT id, b, count(*)::DOUBLE AS x FROM ({_hashed('d', 'doc_id', 'text', dims, 'text')})
+       GROUP BY ALL),
+qv AS (SELECT id, b, count(*)::DOUBLE AS x FROM ({_hashed('q', 'qid', 'query', dims, 'text')})
+       GROUP BY ALL),
+du AS (SELECT id, b, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS u FROM dv),
+qu AS (SELECT id, b, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS u FROM qv),
+cs AS (SELECT qu.id AS qid, du.id AS doc_id, sum(qu.u * du.u) AS cos FROM qu JOIN du USING (b)
+       GROUP BY ALL),
+sh AS ({_dense_hits('cos + 1.0::DOUBLE', False, 5, dims)}),
+vh AS ({_dense_hits('1.0::DOUBLE - cos', True, 5, dims)}),
+allh AS (SELECT 'tfidf' AS backend, qid, doc_id, rank FROM th
+         UNION ALL SELECT 'search_server', qid, doc_id, rank FROM sh
+         UNION ALL SELECT 'vector_store', qid, doc_id, rank FROM vh),
+be AS (SELECT * FROM (VALUES ('tfidf'), ('search_server'), ('vector_store')) t(backend)),
+rel AS (SELECT be.backend, gt.qid, gt.id, h.rank, coalesce(h.doc_id = gt.id, false) AS is_rel
+        FROM be CROSS JOIN gt LEFT JOIN allh h ON h.backend = be.backend AND h.qid = gt.qid),
+pq AS (SELECT backend, qid, id, max(CAST(is_rel AS INTEGER)) AS hit,
+       sum(CASE WHEN is_rel THEN 1.0::DOUBLE / rank ELSE 0.0::DOUBLE END) AS rr
+       FROM rel GROUP BY backend, qid, id)
+SELECT backend, round(avg(hit), 6) + 0.0 AS hit_rate, round(avg(rr), 6) + 0.0 AS mrr
+FROM pq GROUP BY backend"""
+
+
+SQL["eval_report"] = _eval_report_sql()

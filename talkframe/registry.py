@@ -219,3 +219,84 @@ def dense_search_multifield(spark, sf_dir):
     h = dense.blocked_search(q, d, ["text", "source"], 10, "cosine", boosts=[3.0, 1.0],
                              positive_only=True)
     return _dhits(h)
+
+
+# ---------------------------------------------------------------- evaluation (2C, 2D, 2K)
+
+EVAL_DIMS = 256
+
+
+def ground_truth(spark, sf_dir, idx):
+    """Benchmark passages contained verbatim in documents: (qid, id, question)."""
+    from .operators.evaluate import containment_ground_truth
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
+                                                     F.col("text").alias("question"))
+    return containment_ground_truth(items, idx.docs.select("doc_id", "text"), idx.idf,
+                                    idx.postings)
+
+
+def tfidf_backend(idx, k=10):
+    def run(questions):
+        return sparse.search(idx, questions, text_col="question", boost_dict={"text": 3.0},
+                             num_results=k)
+    return run
+
+
+def dense_backends(spark, sf_dir, k=5):
+    """Search-server (cos + 1, desc) and vector-store (1 - cos, asc) backends over the default
+    hashed encoder; both exact."""
+    from .functions.vectors import with_hash_vector
+    from .operators import dense
+    docs = with_hash_vector(corpus(spark, sf_dir).select(F.col("id").alias("doc_id"), "text"),
+                            "text", "vector", EVAL_DIMS, keep=["doc_id"])
+
+    def make(metric):
+        def run(questions):
+            q = with_hash_vector(questions, "question", "vector", EVAL_DIMS, keep=["qid"])
+            return dense.search(q, docs, "vector", k, metric)
+        return run
+    return {"search_server": make("cos_plus_one"), "vector_store": make("cos_distance")}
+
+
+def _eval_setup(spark, sf_dir):
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
+    return idx, ground_truth(spark, sf_dir, idx)
+
+
+@query("eval_relevance")
+def eval_relevance(spark, sf_dir):
+    """Relevance of every TF-IDF hit (top 10) for every ground-truth row."""
+    from .operators import evaluate as ev
+    idx, gt = _eval_setup(spark, sf_dir)
+    questions = gt.select("qid", "question").dropDuplicates(["qid"])
+    return ev.relevance(gt, tfidf_backend(idx)(questions))
+
+
+@query("eval_hit_rate")
+def eval_hit_rate(spark, sf_dir):
+    """Hit rate of the TF-IDF backend at k=10."""
+    from .operators import evaluate as ev
+    idx, gt = _eval_setup(spark, sf_dir)
+    questions = gt.select("qid", "question").dropDuplicates(["qid"])
+    return ev.hit_rate(ev.relevance(gt, tfidf_backend(idx)(questions))).select(
+        r6(F.col("hit_rate")).alias("hit_rate"))
+
+
+@query("eval_mrr")
+def eval_mrr(spark, sf_dir):
+    """MRR (sum over all relevant positions) of the TF-IDF backend at k=10."""
+    from .operators import evaluate as ev
+    idx, gt = _eval_setup(spark, sf_dir)
+    questions = gt.select("qid", "question").dropDuplicates(["qid"])
+    return ev.mrr(ev.relevance(gt, tfidf_backend(idx)(questions))).select(
+        r6(F.col("mrr")).alias("mrr"))
+
+
+@query("eval_report")
+def eval_report(spark, sf_dir):
+    """One row per backend: TF-IDF k=10, search server k=5, vector store k=5."""
+    from .operators import evaluate as ev
+    idx, gt = _eval_setup(spark, sf_dir)
+    backends = {"tfidf": tfidf_backend(idx, 10), **dense_backends(spark, sf_dir, 5)}
+    return ev.report(gt, backends).select("backend", r6(F.col("hit_rate")).alias("hit_rate"),
+                                          r6(F.col("mrr")).alias("mrr"))
