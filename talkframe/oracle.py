@@ -222,3 +222,187 @@ FROM pq GROUP BY backend"""
 
 
 SQL["eval_report"] = _eval_report_sql()
+
+# ---------------------------------------------------------------- RAG, ground truth, text
+
+from .functions.prompts import (QUESTION_PROMPT_HEAD, QUESTION_PROMPT_TAIL,  # noqa: E402
+                                RAG_PROMPT_HEAD, RAG_PROMPT_MID)
+from .functions.text import HTML_ENTITIES, HTML_STEPS  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+SENTS = ("list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[^.!?]+[.!?]*'), "
+         "lambda s: " + STRIP.format(x="s") + "), lambda s: s <> '')")
+NL2 = "chr(10) || chr(10)"
+
+_RAG_BASE = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + f""",
+hits AS ({_topk_select(5)}),
+ctx AS (SELECT h.qid, string_agg(coalesce(d.text, '') || {NL2}, '' ORDER BY h.rank) AS context
+        FROM hits h JOIN d USING (doc_id) GROUP BY h.qid)"""
+
+SQL["prompt_render"] = _RAG_BASE + f"""
+SELECT q.qid, {STRIP.format(x=f"{lit(RAG_PROMPT_HEAD)} || coalesce(q.query, '') || "
+                              f"{lit(RAG_PROMPT_MID)} || coalesce(ctx.context, '')")} AS prompt
+FROM q LEFT JOIN ctx USING (qid)"""
+
+
+def _word_rows(rel: str, keys: str, text: str) -> str:
+    return f"""
+SELECT {keys}, CAST(i - 1 AS BIGINT) AS pos, w || ' ' AS word FROM (
+  SELECT {keys}, unnest(string_split_regex(s, '\\s+')) AS w,
+         unnest(range(1, len(string_split_regex(s, '\\s+')) + 1)) AS i
+  FROM (SELECT {keys}, {STRIP.format(x=f"coalesce({text}, '')")} AS s FROM {rel}) WHERE s <> '')"""
+
+
+SQL["rag_batch"] = _RAG_BASE + f""",
+ans AS (SELECT q.qid, coalesce(d.text, '') AS answer FROM q
+        LEFT JOIN hits h ON h.qid = q.qid AND h.rank = 1 LEFT JOIN d ON d.doc_id = h.doc_id)
+""" + _word_rows("ans", "qid", "answer")
+
+SQL["word_stream"] = _word_rows("(SELECT * FROM conversations WHERE role = 'assistant')",
+                                "conv_id, turn", "text")
+
+SQL["question_prompt"] = (f"SELECT doc_id AS id, {lit(QUESTION_PROMPT_HEAD)} || coalesce(text, '')"
+                          f" || {lit(QUESTION_PROMPT_TAIL)} AS prompt FROM documents")
+
+SQL["question_explode"] = f"""
+WITH todo AS (SELECT doc_id, text FROM documents d
+              WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+s AS (SELECT doc_id, {SENTS.format(x="text")} AS l FROM todo),
+e AS (SELECT doc_id, len(l) AS n, unnest(l) AS question, unnest(range(0, len(l))) AS i FROM s)
+SELECT CAST(doc_id AS VARCHAR) AS id, question FROM e
+WHERE n <= 5 OR floor((i * 5 + n - 1) / n) * n < 5 * (i + 1)"""
+
+SQL["resume_anti_join"] = """
+SELECT doc_id, n_chars FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+SQL["sentence_chunks"] = f"""
+SELECT doc_id, CAST(i AS BIGINT) AS pos, s AS text FROM (
+  SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS i FROM (
+    SELECT doc_id, {SENTS.format(x="text")} AS l FROM documents))"""
+
+SQL["chunk_renumber"] = f"""
+WITH e AS (SELECT conv_id, turn, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM (
+  SELECT conv_id, turn, {SENTS.format(x="text")} AS l FROM conversations))
+SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS VARCHAR) AS id, text FROM e"""
+
+SQL["transcript_concat"] = """
+SELECT conv_id, ' ' || string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
+WHERE text IS NOT NULL GROUP BY conv_id"""
+
+SQL["chat_pairs"] = """
+SELECT u.conv_id, u.turn, u.text AS question,
+  CASE WHEN n.role = 'assistant' THEN n.text END AS answer
+FROM conversations u LEFT JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
+WHERE u.role = 'user'"""
+
+SQL["chat_transcript"] = """
+SELECT conv_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS transcript
+FROM conversations GROUP BY conv_id"""
+
+# ---------------------------------------------------------------- topics
+
+SQL["entity_extract"] = r"""
+SELECT doc_id, 'Number' AS label, unnest(regexp_extract_all(coalesce(text, ''), '\p{N}+')) AS text,
+  1.0::DOUBLE AS score FROM documents
+UNION ALL
+SELECT doc_id, 'Capitalized', unnest(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{Ll}+')),
+  1.0::DOUBLE FROM documents"""
+
+STATS = """stats AS (SELECT event_type AS label, CAST(user_id AS VARCHAR) AS text,
+  sum(value) AS total_score, count(*) AS count FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY count DESC,
+  round(total_score, 6) DESC, text) AS rank FROM stats)"""
+
+SQL["topic_stats"] = f"""WITH {STATS}
+SELECT label, text, round(total_score, 6) + 0.0 AS total_score, count FROM stats"""
+
+SQL["topic_top_words"] = f"""WITH {STATS}
+SELECT label, count(*) AS n_words, string_agg(text, ' | ' ORDER BY rank) AS words
+FROM r WHERE rank <= 15 GROUP BY label"""
+
+SQL["topic_pivot"] = f"""WITH {STATS}
+SELECT CAST(rank AS BIGINT) AS rank,
+""" + ",\n".join(f"  coalesce(max(CASE WHEN label = '{x}' THEN text END), '') AS {x}"
+                 for x in ["click", "error", "purchase", "signup", "view"]) + """
+FROM r WHERE rank <= 15 GROUP BY rank"""
+
+# ---------------------------------------------------------------- URLs, HTML, media, catalogue
+
+SQL["url_episode"] = """
+WITH s AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/')
+  AS parts FROM pages)
+SELECT page_id, substring(parts[-1], 3) AS podcast_id, replace(parts[-2], '-', ' ') AS episode_title
+FROM s"""
+
+
+def _html_sql() -> str:
+    x = "coalesce(html, '')"
+    for pattern, repl in HTML_STEPS:
+        r = "chr(10)" if repl == "\n" else lit(repl)
+        x = f"regexp_replace({x}, {lit(pattern)}, {r}, 'g')"
+    for entity, repl in HTML_ENTITIES:
+        x = f"replace({x}, {lit(entity)}, {lit(repl)})"
+    return f"SELECT page_id, {x} AS text FROM pages"
+
+
+SQL["html_to_text"] = _html_sql()
+
+SQL["title_normalize"] = r"""
+SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '\.', '', 'g'),
+  '\p{P}', ' ', 'g')), '\s+', ' ', 'g')) AS title FROM documents"""
+
+SQL["segment_plan"] = r"""
+WITH m AS (SELECT o_orderkey AS media_id, CAST(round(o_totalprice * 10) AS BIGINT) AS length_ms,
+  './audio/' || o_orderpriority || '/episode_' || CAST(o_orderkey AS VARCHAR) || '.mp3' AS path
+  FROM orders),
+e AS (SELECT *, unnest(range(0, 4)) AS i FROM m)
+SELECT media_id, CAST(i + 1 AS BIGINT) AS part, CAST(i * (length_ms // 4) AS BIGINT) AS start_ms,
+  CAST(CASE WHEN i < 3 THEN (i + 1) * (length_ms // 4) ELSE length_ms END AS BIGINT) AS end_ms,
+  regexp_extract(path, '^(.*?)(\.[^./]*)?$', 1) || '_part_' || CAST(i + 1 AS VARCHAR)
+  || regexp_extract(path, '^(.*?)(\.[^./]*)?$', 2) AS part_path FROM e"""
+
+SQL["download_manifest"] = """
+SELECT p_partkey, './audio/' || replace(replace(replace(p_brand || ': ' || p_name || '.', ' ', '_'),
+  ':', '-'), '.', '') || '/episode_0.mp3' AS path, 'planned' AS status FROM part"""
+
+SQL["catalog_search"] = f"""
+WITH cat AS (SELECT p_partkey AS collection_id, p_name AS collection_name, p_brand AS artist_name,
+  list_distinct(regexp_extract_all(lower(coalesce(p_name, '')), '{TOKEN_RE}')) AS nt FROM part),
+terms AS (SELECT DISTINCT term FROM (SELECT p_name AS term FROM part UNION ALL
+  SELECT s_name FROM supplier)),
+t AS (SELECT term, list_distinct(regexp_extract_all(lower(coalesce(term, '')), '{TOKEN_RE}')) AS tt
+  FROM terms),
+m AS (SELECT t.term, cat.collection_id, cat.collection_name, cat.artist_name FROM t JOIN cat
+  ON len(t.tt) > 0 AND list_has_all(cat.nt, t.tt)),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY collection_id) AS rank FROM m)
+SELECT t.term, CAST(r.rank AS BIGINT) AS rank, r.collection_id, r.collection_name, r.artist_name,
+  r.collection_name || ' by ' || r.artist_name AS label,
+  CASE WHEN r.rank IS NULL THEN 'Fail' ELSE 'Success' END AS status
+FROM t LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON r.term = t.term"""
+
+SQL["catalog_lookup"] = """
+WITH ids AS (SELECT DISTINCT o_custkey AS podcast_id FROM orders),
+cat AS (SELECT s_suppkey AS collection_id, s_name AS collection_name,
+  'nation ' || CAST(s_nationkey AS VARCHAR) AS artist_name FROM supplier),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection_id
+  ORDER BY collection_name, artist_name) AS rn FROM cat) WHERE rn = 1)
+SELECT ids.podcast_id, f.collection_name, f.artist_name,
+  CASE WHEN f.collection_name IS NULL THEN 'Fail' ELSE 'Success' END AS status
+FROM ids LEFT JOIN f ON f.collection_id = ids.podcast_id"""
+
+SQL["latest_episode"] = """
+WITH c AS (SELECT DISTINCT c_custkey AS podcast_id FROM customer),
+f AS (SELECT podcast_id, pos, summary, price FROM (
+  SELECT o_custkey AS podcast_id, o_orderkey AS pos, o_orderpriority AS summary,
+    round(o_totalprice, 6) + 0.0 AS price,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1)
+SELECT c.podcast_id, f.pos, f.summary, f.price,
+  CASE WHEN f.pos IS NULL THEN 'Fail' ELSE 'Success' END AS status
+FROM c LEFT JOIN f ON f.podcast_id = c.podcast_id"""

@@ -300,3 +300,243 @@ def eval_report(spark, sf_dir):
     backends = {"tfidf": tfidf_backend(idx, 10), **dense_backends(spark, sf_dir, 5)}
     return ev.report(gt, backends).select("backend", r6(F.col("hit_rate")).alias("hit_rate"),
                                           r6(F.col("mrr")).alias("mrr"))
+
+
+# ---------------------------------------------------------------- RAG and ground truth (2H, 2K)
+
+def _rag_hits(spark, sf_dir, k=5):
+    idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
+    hits = sparse.search(idx, bench_queries(spark, sf_dir), boost_dict={"text": 3.0},
+                         num_results=k)
+    return sparse.attach_text(hits, idx)
+
+
+@query("prompt_render")
+def prompt_render(spark, sf_dir):
+    """H8 + D10: RAG prompt of every benchmark question over its top-5 TF-IDF hits."""
+    from .operators import rag
+    return rag.render_prompts(bench_queries(spark, sf_dir), _rag_hits(spark, sf_dir)).select(
+        "qid", "prompt")
+
+
+@query("rag_batch")
+def rag_batch(spark, sf_dir):
+    """K1: search -> context -> prompt -> default extractive answer -> words."""
+    from .operators import rag
+    hits = _rag_hits(spark, sf_dir)
+    prompts = rag.render_prompts(bench_queries(spark, sf_dir), hits)
+    answers = prompts.join(rag.extractive_answer(hits), "qid", "left").select(
+        "qid", F.coalesce(F.col("answer"), F.lit("")).alias("answer"))
+    return rag.word_stream(answers, ["qid"], "answer")
+
+
+@query("question_prompt")
+def question_prompt_q(spark, sf_dir):
+    """H9: question-generation prompt for every whole document."""
+    from .operators import rag
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rag.question_prompts(d)
+
+
+@query("question_explode")
+def question_explode(spark, sf_dir):
+    """K5: resume (skip labelled docs) -> default answers -> parse JSON -> one row a question."""
+    from .operators import rag
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    todo = rag.resume(d, done, "id")
+    rows, _bad = rag.parse_questions(rag.default_question_answer(todo))
+    return rows.select(F.col("id").cast("string").alias("id"), "question")
+
+
+@query("resume_anti_join")
+def resume_anti_join(spark, sf_dir):
+    """Documents not yet processed (absent from labels)."""
+    from .operators import rag
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return rag.resume(d, table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("word_stream")
+def word_stream_q(spark, sf_dir):
+    """Assistant answers as a stream of 'word ' rows."""
+    from .operators import rag
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return rag.word_stream(c, ["conv_id", "turn"], "text")
+
+
+# ---------------------------------------------------------------- transcripts and chat
+
+@query("sentence_chunks")
+def sentence_chunks_q(spark, sf_dir):
+    """H4: every whole document split into sentences."""
+    from .operators import transcript
+    return transcript.sentence_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("chunk_renumber")
+def chunk_renumber(spark, sf_dir):
+    """G1 + E3: sentences of all turns of a conversation numbered "1".."N" in turn order."""
+    from .operators import transcript
+    return transcript.renumber_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn",
+                                      "text")
+
+
+@query("transcript_concat")
+def transcript_concat(spark, sf_dir):
+    """D9 + F2: turn texts concatenated in turn order with the leading space."""
+    from .operators import transcript
+    return transcript.concat_transcript(table(spark, sf_dir, "conversations"), "conv_id",
+                                        "turn", "text")
+
+
+@query("chat_pairs")
+def chat_pairs_q(spark, sf_dir):
+    """Each user turn with the assistant turn that follows (NULL if none)."""
+    from .operators import chat
+    return chat.chat_pairs(table(spark, sf_dir, "conversations"))
+
+
+@query("chat_transcript")
+def chat_transcript_q(spark, sf_dir):
+    """replay of every conversation as 'role: text' lines."""
+    from .operators import chat
+    return chat.chat_transcript(table(spark, sf_dir, "conversations"))
+
+
+# ---------------------------------------------------------------- topics (2D, 2E, 2J)
+
+def mentions(spark, sf_dir):
+    """events stand for entity mentions: event_type = label, user_id = text, value = score."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("label"),
+                    F.col("user_id").cast("string").alias("text"),
+                    F.col("value").alias("score"))
+
+
+@query("entity_extract")
+def entity_extract(spark, sf_dir):
+    """J2 default + G2: rule-based mentions over every whole document."""
+    from .operators import topics
+    return topics.extract_entities(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("topic_stats")
+def topic_stats_q(spark, sf_dir):
+    """Total score and count per (label, text)."""
+    from .operators import topics
+    s = topics.topic_stats(mentions(spark, sf_dir))
+    return s.select("label", "text", r6(F.col("total_score")).alias("total_score"), "count")
+
+
+@query("topic_top_words")
+def topic_top_words(spark, sf_dir):
+    """E2 + D12: top 15 texts per label by (count, total score), as an ordered list."""
+    from .operators import topics
+    ranked = topics.rank_in_label(topics.topic_stats(mentions(spark, sf_dir)))
+    tw = topics.top_words(ranked)
+    return tw.select("label", F.size("words").cast("bigint").alias("n_words"),
+                     F.array_join("words", " | ").alias("words"))
+
+
+TOPIC_LABELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("topic_pivot")
+def topic_pivot(spark, sf_dir):
+    """Rank rows x label columns, '' padding."""
+    from .operators import topics
+    ranked = topics.rank_in_label(topics.topic_stats(mentions(spark, sf_dir)))
+    return topics.pivot(ranked, TOPIC_LABELS)
+
+
+# ---------------------------------------------------------------- URLs, HTML, media, catalogue
+
+@query("url_episode")
+def url_episode(spark, sf_dir):
+    """H3: podcast id and episode title from every page URL."""
+    from .functions.urls import episode_from_url
+    p = table(spark, sf_dir, "pages")
+    pid, title = episode_from_url(F.col("url"))
+    return p.select("page_id", pid.alias("podcast_id"), title.alias("episode_title"))
+
+
+@query("html_to_text")
+def html_to_text_q(spark, sf_dir):
+    """H5: every page's HTML as plain text."""
+    from .functions.text import html_to_text
+    return table(spark, sf_dir, "pages").select("page_id", html_to_text("html").alias("text"))
+
+
+@query("title_normalize")
+def title_normalize_q(spark, sf_dir):
+    """H2: normalised form of every whole document text."""
+    from .functions.text import title_normalize
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", title_normalize("text").alias("title"))
+
+
+def media(spark, sf_dir):
+    """orders stand for media files: id o_orderkey, length from the price, path per order."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("media_id"),
+                    F.round(F.col("o_totalprice") * 10).cast("bigint").alias("length_ms"),
+                    F.concat(F.lit("./audio/"), F.col("o_orderpriority"), F.lit("/episode_"),
+                             F.col("o_orderkey").cast("string"), F.lit(".mp3")).alias("path"))
+
+
+@query("segment_plan")
+def segment_plan_q(spark, sf_dir):
+    """H11 + H12: four ranges per media file, last one takes the rest, with part names."""
+    from .operators.media import segment_plan
+    return segment_plan(media(spark, sf_dir), 4)
+
+
+@query("download_manifest")
+def download_manifest_q(spark, sf_dir):
+    """A13 + H13: target path per catalogue entry (name 'brand: name.' made safe)."""
+    from .operators.media import download_manifest
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.col("p_brand"), F.lit(": "), F.col("p_name"), F.lit("."))
+        .alias("podcast_name"))
+    return download_manifest(p, "p_partkey", "podcast_name")
+
+
+def part_catalogue(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("collection_id"),
+                    F.col("p_name").alias("collection_name"),
+                    F.col("p_brand").alias("artist_name"))
+
+
+@query("catalog_search")
+def catalog_search(spark, sf_dir):
+    """B11 + B13: part names and supplier names as search terms over the part catalogue."""
+    from .operators.catalog import term_search
+    terms = (table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))
+             .unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("term"))))
+    return term_search(terms, part_catalogue(spark, sf_dir), 3)
+
+
+@query("catalog_lookup")
+def catalog_lookup(spark, sf_dir):
+    """Every ordering customer's id looked up in the supplier catalogue."""
+    from .operators.catalog import lookup
+    ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("podcast_id"))
+    s = table(spark, sf_dir, "supplier")
+    cat = s.select(F.col("s_suppkey").alias("collection_id"),
+                   F.col("s_name").alias("collection_name"),
+                   F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+                   .alias("artist_name"))
+    return lookup(ids, cat)
+
+
+@query("latest_episode")
+def latest_episode(spark, sf_dir):
+    """E5: first feed entry (lowest order key) of every customer; none -> Fail."""
+    from .operators.catalog import latest_entry
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("podcast_id"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("podcast_id"), F.col("o_orderkey").alias("pos"),
+        F.col("o_orderpriority").alias("summary"), r6(F.col("o_totalprice")).alias("price"))
+    return latest_entry(c, o, "podcast_id", "pos")
