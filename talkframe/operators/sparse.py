@@ -36,6 +36,9 @@ from .topk import top_k
 
 # Upper bound of query-term rows broadcast in one block (about 100 bytes a row).
 MAX_BROADCAST_QUERY_TERMS = 2_000_000
+# Keep the (doc, term, tf) rows between the df aggregate and the weighting join instead of
+# tokenising every text twice.
+PERSIST_TERMS = False
 
 _PARAM_NAMES = {"lowercase", "token_pattern", "min_df", "max_df", "stop_words",
                 "sublinear_tf", "smooth_idf", "use_idf"}
@@ -156,8 +159,9 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
     kw_only = [f for f in keyword_fields if f not in text_fields]
     # tokenising whole texts is the costly step and its rows feed both the df aggregate and
     # the weighting join: compute them once (spills to disk; lost blocks recompute from lineage)
-    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only]).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only])
+    if PERSIST_TERMS:
+        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
 
     dfreq = terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     lo = p.doc_count_bound(p.min_df, n_docs)
@@ -233,8 +237,18 @@ def query_terms(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
               .select("qid", "field", "term", (F.col("qw") / F.col("qnorm") * bcol).alias("qwn")))
 
 
+def query_term_bound(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
+                     text_col: str = "query") -> int:
+    """Upper bound of the vectorised query rows, from the queries alone (no index pass)."""
+    q = queries.select(F.col(qid_col).alias("qid"), F.col(text_col).cast("string").alias("_q"))
+    toks = q.select(F.size(F.array_distinct(_tokens(F.col("_q"), index.params))).alias("_n"))
+    n = toks.agg(F.sum("_n")).first()[0] or 0
+    return int(n) * len(index.text_fields)
+
+
 def score(index: SparseIndex, qterms: DataFrame, filter_dict: dict | None = None,
-          max_broadcast_rows: int = MAX_BROADCAST_QUERY_TERMS) -> DataFrame:
+          max_broadcast_rows: int = MAX_BROADCAST_QUERY_TERMS,
+          n_rows: int | None = None) -> DataFrame:
     """(qid, doc_id, score) for every pair sharing a vocabulary term, filters applied first.
 
     Filtering before scoring equals masking after it: masked documents score 0 and are
@@ -242,7 +256,8 @@ def score(index: SparseIndex, qterms: DataFrame, filter_dict: dict | None = None
     """
     postings = index.postings.where(keyword_mask(index, filter_dict)).select(
         "field", "term", "doc_id", "wn")
-    n_rows = qterms.count()
+    if n_rows is None:
+        n_rows = qterms.count()
     n_blocks = max(1, math.ceil(n_rows / max_broadcast_rows))
     if n_blocks == 1:
         blocks = [qterms]
@@ -266,7 +281,8 @@ def search(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
     Returns (qid, doc_id, score, rank).
     """
     qt = query_terms(index, queries, qid_col, text_col, boost_dict)
-    scored = score(index, qt, filter_dict).where(F.col("score") > 0)
+    bound = query_term_bound(index, queries, qid_col, text_col)
+    scored = score(index, qt, filter_dict, n_rows=bound).where(F.col("score") > 0)
     return top_k(scored, ["qid"], "score", num_results, tie="doc_id")
 
 
