@@ -166,3 +166,43 @@ def mean_pool(df: DataFrame, key: str, vector: str, out: str = "vector") -> Data
     return (per_dim.groupBy(key)
                    .agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_p"))
                    .select(key, F.transform("_p", lambda s: s["x"]).alias(out)))
+
+
+def ann_search(queries: DataFrame, docs: DataFrame, vector: str = "vector", k: int = 5,
+               n_cells: int = 16, nprobe: int = 4, metric: str = "cos_distance",
+               seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """C4 approximate path: KMeans cells on unit vectors, each query searched exactly in the
+    ``nprobe`` cells nearest to it (|a-b|^2 = 2(1-cos) on unit vectors).
+
+    The centroids (``n_cells`` x dims, a parameter, not data-sized) travel with the UDF that
+    picks the probes; documents and queries meet per (cell, block) in the exact kernel.
+    Returns (qid, doc_id, score, rank).
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(c):
+        v = as_double(c)
+        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+    d = docs.select(F.col("doc_id"), unit(vector).alias(vector))
+    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f",
+                   predictionCol="cell").fit(d.select(array_to_vector(vector).alias("_f")))
+    centers = np.stack(model.clusterCenters())
+    cells = model.transform(d.withColumn("_f", array_to_vector(vector))).select(
+        "doc_id", vector, F.col("cell").cast("int").alias("cell"))
+
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<int>")
+    def probes(vs: pd.Series) -> pd.Series:
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else \
+            np.zeros((0, centers.shape[1]))
+        dist = ((m[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :nprobe]
+        return pd.Series([row.astype(np.int32).tolist() for row in order])
+
+    q = queries.select("qid", unit(vector).alias(vector))
+    q = q.select("qid", vector, F.explode(probes(F.col(vector))).alias("cell"))
+    return blocked_search(q, cells, [vector], k, metric, key="cell")

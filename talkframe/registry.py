@@ -540,3 +540,13 @@ def latest_episode(spark, sf_dir):
         F.col("o_custkey").alias("podcast_id"), F.col("o_orderkey").alias("pos"),
         F.col("o_orderpriority").alias("summary"), r6(F.col("o_totalprice")).alias("price"))
     return latest_entry(c, o, "podcast_id", "pos")
+
+
+@query("dense_search_ann")
+def dense_search_ann(spark, sf_dir):
+    """C4 approximate path: KMeans cells (16) on unit vectors, 4 probes, distance ascending.
+
+    No SQL oracle (approximate); pytest checks recall and candidate share against exact."""
+    from .operators import dense
+    return _dhits(dense.ann_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir),
+                                   "vector", k=5, n_cells=16, nprobe=4))
