@@ -1,9 +1,10 @@
 """Prompt templates (H8, H9) as Column expressions.
 
-Fixed values: the two templates below must equal the reference's strings byte for byte
+Fixed values: the two templates below reproduce the reference's prompts byte for byte
 (inner lines of the RAG template are indented by four spaces; the line after QUESTION holds
 four spaces; "CONTEXT: " keeps its trailing space; the question template keeps the trailing
-space after "from the record.").
+space after "from the record."). The question template names the calling application; that
+name is a parameter here (``APP_NAME`` by default).
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ RAG_PROMPT_HEAD = (
 )
 RAG_PROMPT_MID = "\n    \n    CONTEXT: \n    "
 
+APP_NAME = "podcast"
+
 QUESTION_PROMPT_HEAD = (
-    "You emulate a user of our podcast application.\n"
+    "You emulate a user of our {app} application.\n"
     "Formulate 5 questions this user might ask based on a provided text.\n"
     "Make the questions specific to this text.\n"
     "The record should contain the answer to the questions, and the questions should\n"
@@ -50,7 +53,11 @@ def rag_prompt(question: Column, context: Column) -> Column:
                               F.lit(RAG_PROMPT_MID), F.coalesce(context, F.lit(""))))
 
 
-def question_prompt(text: Column) -> Column:
+def question_prompt_head(app: str = APP_NAME) -> str:
+    return QUESTION_PROMPT_HEAD.replace("{app}", app)
+
+
+def question_prompt(text: Column, app: str = APP_NAME) -> Column:
     """H9: question-generation prompt for one record (the text itself is not stripped)."""
-    return F.concat(F.lit(QUESTION_PROMPT_HEAD), F.coalesce(text, F.lit("")),
+    return F.concat(F.lit(question_prompt_head(app)), F.coalesce(text, F.lit("")),
                     F.lit(QUESTION_PROMPT_TAIL))

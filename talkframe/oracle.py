@@ -225,8 +225,8 @@ SQL["eval_report"] = _eval_report_sql()
 
 # ---------------------------------------------------------------- RAG, ground truth, text
 
-from .functions.prompts import (QUESTION_PROMPT_HEAD, QUESTION_PROMPT_TAIL,  # noqa: E402
-                                RAG_PROMPT_HEAD, RAG_PROMPT_MID)
+from .functions.prompts import (QUESTION_PROMPT_TAIL, RAG_PROMPT_HEAD,  # noqa: E402
+                                RAG_PROMPT_MID, question_prompt_head)
 from .functions.text import HTML_ENTITIES, HTML_STEPS  # noqa: E402
 
 
@@ -266,7 +266,7 @@ ans AS (SELECT q.qid, coalesce(d.text, '') AS answer FROM q
 SQL["word_stream"] = _word_rows("(SELECT * FROM conversations WHERE role = 'assistant')",
                                 "conv_id, turn", "text")
 
-SQL["question_prompt"] = (f"SELECT doc_id AS id, {lit(QUESTION_PROMPT_HEAD)} || coalesce(text, '')"
+SQL["question_prompt"] = (f"SELECT doc_id AS id, {lit(question_prompt_head())} || coalesce(text, '')"
                           f" || {lit(QUESTION_PROMPT_TAIL)} AS prompt FROM documents")
 
 SQL["question_explode"] = f"""
