@@ -65,7 +65,7 @@ def with_hash_vector(df, text_col: str, out: str, n_buckets: int, keep: list | N
     """
     keep = list(keep if keep is not None else df.columns)
     toks = tokenize(F.col(text_col))
-    x = df.select(*keep, F.array_sort(F.transform(toks, lambda t: token_bucket(t, n_buckets)))
+    x = df.select(*keep, F.sort_array(F.transform(toks, lambda t: token_bucket(t, n_buckets)))
                   .alias("_s"))
     x = x.select(*keep, "_s", F.size("_s").alias("_n"))
     x = x.select(*keep, F.map_from_entries(term_runs("_s", "_n")).alias("_m"))

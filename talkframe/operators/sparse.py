@@ -10,9 +10,10 @@ Definition (per text field; N counts every document, empty ones included)::
 
 Physical layout, chosen for a corpus far larger than one machine:
 
-* term frequencies are computed inside each row (``term_counts``), so tokens are never
-  shuffled; ``df`` is a partial-then-final aggregate, so a term present in every document costs
-  one row per map partition, not one per document;
+* term frequencies are computed inside each row (``term_runs``), so tokens are never
+  shuffled; the (doc, term, tf) rows are shuffled once by doc_id and read twice from that
+  exchange; ``df`` is a partial-then-final aggregate, so a term present in every document
+  costs one row per map partition, not one per document;
 * postings carry the keyword fields (filters are plain predicates, no join) and are
   hash-partitioned by ``doc_id`` once, when the document norms are computed;
 * a search broadcasts the query terms (size checked; above the bound the queries are cut into
@@ -112,7 +113,7 @@ def _term_rows(df: DataFrame, id_col: str, fields: list, p: TfidfParams,
                carry: list) -> DataFrame:
     """(field, id, term, tf) for every field, tf computed in-row, then exploded."""
     per_field = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.array_sort(_tokens(F.col(f), p)).alias("_s"))
+        F.struct(F.lit(f).alias("field"), F.sort_array(_tokens(F.col(f), p)).alias("_s"))
         for f in fields])
     keep = [id_col, *carry]
     x = df.select(*keep, F.inline(per_field))
@@ -159,7 +160,11 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
     kw_only = [f for f in keyword_fields if f not in text_fields]
     # tokenising whole texts is the costly step and its rows feed both the df aggregate and
     # the weighting join: compute them once (spills to disk; lost blocks recompute from lineage)
-    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only])
+    # One shuffle by doc_id (unique keys: no skew). The df aggregate and the weighting join
+    # both read this exchange (Spark reuses it), so every text is tokenised once, and the
+    # per-document norm window below needs no further shuffle.
+    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only]).repartition(
+        "doc_id")
     if PERSIST_TERMS:
         terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -179,10 +184,10 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
 
     weighted = (terms.join(idf.select("field", "term", "idf"), ["field", "term"])
                      .withColumn("w", _tf_weight(F.col("tf"), p) * F.col("idf")))
-    # one shuffle by doc_id; the window's (doc_id, field) clustering is satisfied by it
-    by_doc = weighted.repartition("doc_id")
+    # the (doc_id, field) window is satisfied by the doc_id partitioning of the terms as long
+    # as the idf join is a broadcast; AQE re-shuffles by doc_id only when it is not
     wnorm = Window.partitionBy("doc_id", "field")
-    postings = (by_doc.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(wnorm)))
+    postings = (weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(wnorm)))
                       .withColumn("wn", F.col("w") / F.col("norm"))
                       .select("field", "doc_id", "term", "tf", "w", "norm", "wn", *kw_only))
     return SparseIndex(list(text_fields), keyword_fields, p, n_docs, base, idf, postings,

@@ -259,8 +259,11 @@ def dense_backends(spark, sf_dir, k=5):
 
 
 def _eval_setup(spark, sf_dir):
+    """The ground truth is read by every backend: build it once and cut its lineage (a
+    reliable checkpoint in spark.checkpoint.dir; it holds one row per relevant pair)."""
+    from .session import cut_lineage
     idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
-    return idx, ground_truth(spark, sf_dir, idx)
+    return idx, cut_lineage(ground_truth(spark, sf_dir, idx))
 
 
 @query("eval_relevance")

@@ -62,6 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never localCheckpoint): survives executor loss, keeps partitioning."""
+    """Reliable checkpoint (never localCheckpoint): survives executor loss, keeps partitioning.
+
+    The frame is persisted first: writing a reliable checkpoint otherwise recomputes it in a
+    second job. The cache is dropped once the checkpoint files exist.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
