@@ -168,7 +168,9 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
     if PERSIST_TERMS:
         terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
 
-    dfreq = terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    # count(tf), not count(*): both readers of the term exchange then need the same columns,
+    # so column pruning leaves one exchange for Spark to reuse
+    dfreq = terms.groupBy("field", "term").agg(F.count("tf").alias("df"))
     lo = p.doc_count_bound(p.min_df, n_docs)
     hi = p.doc_count_bound(p.max_df, n_docs)
     dfreq = dfreq.where((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
