@@ -2,11 +2,13 @@
 
 Layout under an index root: ``docs/``, ``idf/``, ``postings/`` (sparse), ``vectors/`` and
 ``rejects/`` (dense). Creating an index replaces the directories (drop-then-create).
-Postings are written hash-clustered by ``doc_id`` so a search scans them without shuffling.
+Postings are written bucketed by ``doc_id`` so a search scans them without shuffling.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +18,42 @@ from ..operators.sparse import SparseIndex, TfidfParams
 EMPTY_VECTORS = "doc_id string, text string, vector array<float>"
 
 
-def save_sparse(index: SparseIndex, root: str) -> None:
-    """A7 + A10: write (replace) a fitted TF-IDF index."""
+def _table_name(root: str) -> str:
+    return "talkframe_postings_" + hashlib.sha1(root.encode()).hexdigest()[:16]
+
+
+def save_sparse(index: SparseIndex, root: str, buckets: int | None = None) -> None:
+    """A7 + A10: write (replace) a fitted TF-IDF index.
+
+    Postings are bucketed by doc_id, so a search over the loaded index sums per
+    (query, doc) inside each bucket without a shuffle, as it does on a freshly fitted one.
+    """
+    spark = index.docs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     index.docs.write.mode("overwrite").parquet(f"{root}/docs")
     index.idf.write.mode("overwrite").parquet(f"{root}/idf")
-    index.postings.write.mode("overwrite").parquet(f"{root}/postings")
-    spark = index.docs.sparkSession
+    name = _table_name(root)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (index.postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id")
+          .option("path", f"{root}/postings").saveAsTable(name))
     meta = spark.createDataFrame(
-        [(index.n_docs, ",".join(index.text_fields), ",".join(index.keyword_fields))],
-        "n_docs bigint, text_fields string, keyword_fields string")
+        [(index.n_docs, ",".join(index.text_fields), ",".join(index.keyword_fields), buckets)],
+        "n_docs bigint, text_fields string, keyword_fields string, buckets int")
     meta.write.mode("overwrite").json(f"{root}/meta")
 
 
 def load_sparse(spark: SparkSession, root: str, params: dict | None = None) -> SparseIndex:
-    """Open a saved TF-IDF index."""
+    """Open a saved TF-IDF index (registers the bucketed postings table if needed)."""
     meta = spark.read.json(f"{root}/meta").first()
     docs = spark.read.parquet(f"{root}/docs")
     kw = [f for f in (meta["keyword_fields"] or "").split(",") if f]
+    name = _table_name(root)
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) "
+                  f"INTO {int(meta['buckets'])} BUCKETS LOCATION '{root}/postings'")
     return SparseIndex(meta["text_fields"].split(","), kw, TfidfParams.of(params),
                        int(meta["n_docs"]), docs, spark.read.parquet(f"{root}/idf"),
-                       spark.read.parquet(f"{root}/postings"),
-                       {f: docs.schema[f].dataType for f in kw})
+                       spark.table(name), {f: docs.schema[f].dataType for f in kw})
 
 
 def populate_vectors(docs: DataFrame, root: str, dims: int, vector: str = "vector",

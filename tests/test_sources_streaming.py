@@ -72,6 +72,11 @@ def test_sparse_index_save_load(spark, tmpdir_path):
     a = sorted(map(tuple, sparse.search(idx, q).collect()))
     b = sorted(map(tuple, sparse.search(idx2, q, filter_dict={"lang": "a"}).collect()))
     assert a[0] == b[0] and len(b) == 1
+    assert sorted(map(tuple, sparse.search(idx2, q).collect())) == a
+    # bucketed postings: no exchange between the postings scan and the (qid, doc) sum
+    scored = sparse.score(idx2, sparse.query_terms(idx2, q))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("HashAggregate")[-1].split("BroadcastExchange")[0]
 
 
 def test_populate_vectors_and_fetch(spark, tmpdir_path):
