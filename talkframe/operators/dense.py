@@ -26,6 +26,8 @@ from .topk import SCORE_DIGITS, top_k
 # Rows per block: a 1024 x 4096 float64 score matrix is 32 MiB.
 QUERY_BLOCK = 1024
 DOC_BLOCK = 4096
+# Keys (feeds, cells) whose block counts are broadcast: 3 longs a key, about 50 MiB at most.
+MAX_BROADCAST_KEYS = 2_000_000
 
 METRICS = {
     # name: (score from cosine, ascending order)
@@ -118,6 +120,11 @@ def blocked_search(queries: DataFrame, docs: DataFrame, fields: list, k: int,
     qsz = q.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq"))
     dsz = d.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / doc_block).alias("_nd"))
     sz = qsz.join(dsz, "_key")
+    # one row per key: broadcast it when the key count is under the bound, so that documents
+    # are never shuffled by key (a single global key would put every row in one task);
+    # beyond the bound the join shuffles on many distinct keys and AQE splits a skewed one
+    if sz.count() <= MAX_BROADCAST_KEYS:
+        sz = F.broadcast(sz)
     qb = (q.join(sz, "_key")
            .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")))
            .withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
