@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 
+
 def containment_ground_truth(items: DataFrame, docs: DataFrame, idf: DataFrame,
                              postings: DataFrame) -> DataFrame:
     """(id, question, qid): every document whose whole text contains the item's whole text.

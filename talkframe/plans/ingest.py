@@ -57,3 +57,55 @@ def build_ground_truth(chunks: DataFrame, done: DataFrame | None, out_path: str
     if out_path:
         files.write_ground_truth(gt, out_path)
     return gt, bad
+
+
+def episodes_from_urls(urls: DataFrame, catalogue: DataFrame, entries: DataFrame,
+                       dims: int = 768, threshold: float = 0.95) -> DataFrame:
+    """K3, URL path, for a table of episode URLs.
+
+    H3 (podcast id, title from the URL) -> B12 (catalogue lookup) -> the podcast's feed
+    entries -> H2 + J1 (normalised titles, default encoder) -> C3 (nearest entry of that feed,
+    ties to the earlier feed position) -> B3/B9 (0.95 gate, status) -> A13 (target path).
+
+    ``catalogue``: (collection_id, collection_name, artist_name, feed_url);
+    ``entries``: (feed_url, pos, title, summary, published_date, audio_url), e.g. from
+    ``sources.files.read_feeds`` with ``feed_url`` set to the feed's address.
+    """
+    from ..functions.text import title_normalize
+    from ..functions.urls import episode_from_url
+    from ..operators.catalog import lookup
+    from ..operators.dense import nearest_in_feed
+    from ..operators.media import download_manifest
+
+    pid, title = episode_from_url(F.col("url"))
+    u = urls.select("url", pid.alias("podcast_id"), title.alias("episode_title"))
+    pods = lookup(u.select("podcast_id"), catalogue)
+    q = (u.join(pods.where(F.col("status") == "Success")
+                    .select("podcast_id", "collection_name", "feed_url"), "podcast_id")
+          .select(F.col("url").alias("qid"), "feed_url",
+                  title_normalize("episode_title").alias("norm")))
+    q = with_hash_vector(q, "norm", "vector", dims, keep=["qid", "feed_url"])
+    # zero-padded position: the string tie-break then follows the feed order
+    e = entries.select("feed_url", F.lpad(F.col("pos").cast("string"), 12, "0").alias("doc_id"),
+                       title_normalize("title").alias("norm"))
+    e = with_hash_vector(e, "norm", "vector", dims, keep=["doc_id", "feed_url"])
+    best = nearest_in_feed(q, e, "feed_url", threshold=threshold)
+    chosen = (best.withColumnRenamed("qid", "url")
+                  .withColumn("pos", F.col("doc_id").cast("bigint")).drop("doc_id"))
+    out = (u.join(pods.select("podcast_id", "collection_name", "feed_url",
+                              F.col("status").alias("lookup_status")), "podcast_id", "left")
+            .join(chosen, "url", "left")
+            .join(entries.select("feed_url", "pos", "title", "audio_url"), ["feed_url", "pos"],
+                  "left"))
+    ok = (F.col("lookup_status") == "Success") & (F.col("status") == "Success")
+    manifest = download_manifest(out.where(ok).select("url", "collection_name"), "url",
+                                 "collection_name")
+    return (out.join(manifest.select("url", "path"), "url", "left")
+               .select("url", "podcast_id", "episode_title", "pos", "title", "audio_url",
+                       "cos_sim", F.when(ok, F.lit("Success")).otherwise(F.lit("Fail"))
+                       .alias("status"),
+                       F.when(ok, F.concat(F.lit("Podcast "), F.col("collection_name"),
+                                           F.lit(" downloaded successfully.")))
+                        .otherwise(F.lit("Failed to download the podcast. Please try again."))
+                        .alias("status_message"),
+                       "path"))

@@ -81,3 +81,24 @@ def test_stream_index_documents(spark, tmpdir_path):
     q.awaitTermination(120)
     assert [r.id for r in spark.read.parquet(f"{root}/vectors").collect()] == ["1"]
     assert [r.reason for r in spark.read.parquet(f"{root}/rejects").collect()] == ["zero vector"]
+
+
+def test_episodes_from_urls(spark):
+    cat = spark.createDataFrame([("1682047968", "Big Ideas: Show.", "Ann", "f1")],
+                                "collection_id string, collection_name string, "
+                                "artist_name string, feed_url string")
+    entries = spark.createDataFrame(
+        [("f1", 0, "Why the Bolsheviks won", "http://a/0.mp3"),
+         ("f1", 1, "What If the Russian Revolution Failed?", "http://a/1.mp3"),
+         ("f1", 2, "What if the Russian revolution failed", "http://a/2.mp3")],
+        "feed_url string, pos long, title string, audio_url string")
+    urls = spark.createDataFrame(
+        [("https://x.example/us/podcast/what-if-the-russian-revolution-failed/id1682047968?i=1",),
+         ("https://x.example/us/podcast/some-title/id999",)], "url string")
+    rows = {r.podcast_id: r for r in ingest.episodes_from_urls(urls, cat, entries, dims=64)
+            .collect()}
+    ok = rows["1682047968"]
+    # positions 1 and 2 normalise to the same title: the earlier feed position wins
+    assert (ok.pos, ok.audio_url, ok.status) == (1, "http://a/1.mp3", "Success")
+    assert ok.path == "./audio/Big_Ideas-_Show/episode_0.mp3"
+    assert rows["999"].status == "Fail" and rows["999"].path is None
