@@ -31,10 +31,21 @@ def safe_dir_name(name) -> Column:
     return F.replace(c, F.lit("."), F.lit(""))
 
 
-def part_file_name(path, part_index) -> Column:
-    """H12: '{dir}/{base}_part_{i}{ext}' for a 1-based part index (extension = last '.x' of
-    the file name)."""
-    p = _c(path)
-    stem = F.regexp_extract(p, r"^(.*?)(\.[^./]*)?$", 1)
-    ext = F.regexp_extract(p, r"^(.*?)(\.[^./]*)?$", 2)
+# Fixed value: path = stem + extension, the extension being the last '.x' of the file name.
+PATH_SPLIT = r"^(.*?)(\.[^./]*)?$"
+
+
+def path_stem(path) -> Column:
+    return F.regexp_extract(_c(path), PATH_SPLIT, 1)
+
+
+def path_ext(path) -> Column:
+    return F.regexp_extract(_c(path), PATH_SPLIT, 2)
+
+
+def part_file_name(path, part_index, stem=None, ext=None) -> Column:
+    """H12: '{dir}/{base}_part_{i}{ext}' for a 1-based part index. ``stem``/``ext`` may be
+    given as columns computed once per file instead of once per part."""
+    stem = path_stem(path) if stem is None else _c(stem)
+    ext = path_ext(path) if ext is None else _c(ext)
     return F.concat(stem, F.lit("_part_"), _c(part_index).cast("string"), ext)

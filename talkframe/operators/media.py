@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import part_file_name, safe_dir_name
+from ..functions.urls import part_file_name, path_ext, path_stem, safe_dir_name
 
 
 def segment_plan(media: DataFrame, n_splits: int, key: str = "media_id",
@@ -15,14 +15,17 @@ def segment_plan(media: DataFrame, n_splits: int, key: str = "media_id",
     except the last, which ends at L."""
     n = F.lit(n_splits)
     step = F.floor(F.col(length) / n)
-    x = media.select(key, length, path,
-                     F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("i"))
+    # the file name is split once per file, before the parts are generated
+    m = media.select(key, length, path_stem(F.col(path)).alias("_stem"),
+                     path_ext(F.col(path)).alias("_ext"))
+    x = m.select(key, length, "_stem", "_ext",
+                 F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("i"))
     return x.select(
         key, (F.col("i") + 1).cast("bigint").alias("part"),
         (F.col("i") * step).cast("bigint").alias("start_ms"),
         F.when(F.col("i") < n - 1, (F.col("i") + 1) * step).otherwise(F.col(length))
          .cast("bigint").alias("end_ms"),
-        part_file_name(F.col(path), F.col("i") + 1).alias("part_path"))
+        part_file_name(None, F.col("i") + 1, "_stem", "_ext").alias("part_path"))
 
 
 def download_manifest(episodes: DataFrame, key: str, podcast_name: str,
