@@ -38,11 +38,14 @@ def extractive_answer(hits_with_text: DataFrame) -> DataFrame:
     return best
 
 
-def generate(prompts: DataFrame, fn, out: str = "answer", batch_size: int = 32) -> DataFrame:
+def generate(prompts: DataFrame, fn, out: str = "answer", batch_size: int = 32,
+             deterministic: bool = False) -> DataFrame:
     """J3 hook: ``fn(list[str]) -> list[str]`` called on Arrow batches of prompts.
 
     The model is loaded once per Python worker by the caller's ``fn``; a failing batch
-    yields NULL answers and the error text instead of failing the job.
+    yields NULL answers and the error text instead of failing the job. A sampling model is
+    not deterministic, so unless the caller says otherwise the answers are computed once and
+    checkpointed: a retried task or a second consumer then sees the same answers.
     """
     import pandas as pd
 
@@ -63,7 +66,11 @@ def generate(prompts: DataFrame, fn, out: str = "answer", batch_size: int = 32)
             yield pdf.assign(**{out: pd.Series(answers, dtype=object),
                                 f"{out}_error": pd.Series(errors, dtype=object)})
 
-    return prompts.mapInPandas(run, f"{schema}, {out} string, {out}_error string")
+    answers = prompts.mapInPandas(run, f"{schema}, {out} string, {out}_error string")
+    if deterministic:
+        return answers
+    from ..session import cut_lineage
+    return cut_lineage(answers)
 
 
 def word_stream(df: DataFrame, key: list, text: str) -> DataFrame:
