@@ -13,6 +13,7 @@ query is replicated only to the blocks of its own key.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,23 +117,32 @@ def blocked_search(queries: DataFrame, docs: DataFrame, fields: list, k: int,
                        *[as_double(f).alias(f) for f in fields])
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), kq.alias("_key"),
                     *[as_double(f).alias(f) for f in fields])
-    # blocks per key, from per-key counts (one row per key; joined back, AQE sizes the join)
-    qsz = q.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq"))
-    dsz = d.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / doc_block).alias("_nd"))
-    sz = qsz.join(dsz, "_key")
-    # one row per key: broadcast it when the key count is under the bound, so that documents
-    # are never shuffled by key (a single global key would put every row in one task);
-    # beyond the bound the join shuffles on many distinct keys and AQE splits a skewed one
-    if sz.count() <= MAX_BROADCAST_KEYS:
-        sz = F.broadcast(sz)
-    qb = (q.join(sz, "_key")
-           .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")))
-           .withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
-           .drop("_nq", "_nd"))
-    db = (d.join(sz, "_key")
-           .withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.col("_nd")))
-           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-           .drop("_nq", "_nd"))
+    if key is None:
+        # one global key: block counts are two numbers, used as literals (no join at all)
+        n_qb = max(1, math.ceil(q.count() / query_block))
+        n_db = max(1, math.ceil(d.count() / doc_block))
+        qb = (q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(n_qb)))
+               .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_db - 1)))))
+        db = (d.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_db)))
+               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
+    else:
+        # blocks per key, from per-key counts (one row per key, joined back on the key)
+        qsz = q.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq"))
+        dsz = d.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / doc_block).alias("_nd"))
+        sz = qsz.join(dsz, "_key")
+        # broadcast it when the key count is under the bound, so that documents are never
+        # shuffled by key; beyond the bound the join shuffles on many distinct keys and AQE
+        # splits a skewed one
+        if sz.count() <= MAX_BROADCAST_KEYS:
+            sz = F.broadcast(sz)
+        qb = (q.join(sz, "_key")
+               .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")))
+               .withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
+               .drop("_nq", "_nd"))
+        db = (d.join(sz, "_key")
+               .withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.col("_nd")))
+               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+               .drop("_nq", "_nd"))
     keys = ["_key", "_qb", "_db"]
     local = (qb.groupBy(*keys).cogroup(db.groupBy(*keys))
                .applyInPandas(_block_topk(spec), "qid string, doc_id string, score double"))

@@ -39,6 +39,9 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert _digest(sdf.columns, [tuple(r) for r in sdf.collect()]) == \
         _digest(rel.columns, rel.fetchall())
+    # no query pairs rows without an equi-join key
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
 def test_entry_smoke(spark):
@@ -48,4 +51,7 @@ def test_entry_smoke(spark):
 
 def test_queries_without_oracle_run(spark):
     for name in set(E.queries()) - set(E.oracle_sql()):
-        assert E.queries()[name](spark, SF).count() >= 0
+        df = E.queries()[name](spark, SF)
+        assert df.count() >= 0
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
