@@ -144,6 +144,9 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
         cols.append(F.coalesce(src.cast("string"), F.lit("")).alias(f))
     kw_types = {}
     for f in keyword_fields:
+        if f in text_fields:           # already projected (as a string, missing -> '')
+            kw_types[f] = T.StringType()
+            continue
         if f in docs.columns:
             dtype = docs.schema[f].dataType
             cols.append(F.col(f))
@@ -151,19 +154,16 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
             dtype = T.StringType()
             cols.append(F.lit("").alias(f))
         kw_types[f] = dtype
-    base = docs.select(F.col(id_col).cast("string").alias("doc_id"),
-                       *[c for c in cols if True])
-    # keyword fields may share a name with a text field; keep one column per name
-    base = base.select("doc_id", *dict.fromkeys(text_fields + keyword_fields))
+    base = docs.select(F.col(id_col).cast("string").alias("doc_id"), *cols)
 
     n_docs = base.count()   # one long to the driver; N includes empty documents
-    kw_only = [f for f in keyword_fields if f not in text_fields]
+    kw_carry = list(keyword_fields)   # carried on every posting (filters are predicates)
     # tokenising whole texts is the costly step and its rows feed both the df aggregate and
     # the weighting join: compute them once (spills to disk; lost blocks recompute from lineage)
     # One shuffle by doc_id (unique keys: no skew). The df aggregate and the weighting join
     # both read this exchange (Spark reuses it), so every text is tokenised once, and the
     # per-document norm window below needs no further shuffle.
-    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_only]).repartition(
+    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_carry]).repartition(
         "doc_id")
     if PERSIST_TERMS:
         terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
     wnorm = Window.partitionBy("doc_id", "field")
     postings = (weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(wnorm)))
                       .withColumn("wn", F.col("w") / F.col("norm"))
-                      .select("field", "doc_id", "term", "tf", "w", "norm", "wn", *kw_only))
+                      .select("field", "doc_id", "term", "tf", "w", "norm", "wn", *kw_carry))
     return SparseIndex(list(text_fields), keyword_fields, p, n_docs, base, idf, postings,
                        kw_types)
 

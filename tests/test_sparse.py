@@ -116,3 +116,12 @@ def test_permuting_input_changes_nothing(spark):
     b = sparse.search(sparse.fit(docs.orderBy(F.desc("id")).repartition(3), ["text"], []),
                       q).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_field_both_text_and_keyword(spark):
+    docs = spark.createDataFrame([(1, "red fish", "news"), (2, "blue fish", "sport")],
+                                 "id long, text string, source string")
+    idx = sparse.fit(docs, ["text", "source"], ["source"])
+    q = spark.createDataFrame([(1, "fish news")], "qid long, query string")
+    rows = sparse.search(idx, q, filter_dict={"source": "news"}).collect()
+    assert [r.doc_id for r in rows] == ["1"]
