@@ -75,3 +75,21 @@ def chat_log(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str
                .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
+
+
+def topic_ranking(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+                  top_n: int = topics.TOP_N, schema: str = schemas.ENTITY,
+                  available_now: bool = True):
+    """I3 with the ranking: the running (label, text) counts (complete mode) are ranked in
+    each micro-batch (E2) and written to ``batch_id=<n>/``, replacing a replayed batch."""
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+    agg = topics.topic_stats(stream)
+
+    def handle(batch: DataFrame, batch_id: int):
+        ranked = topics.rank_in_label(batch, top_n)
+        ranked.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    w = (agg.writeStream.outputMode("complete").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()

@@ -147,3 +147,20 @@ def test_backend_dispatch(spark):
     q = spark.createDataFrame([(1, [1.0, 0.1])], "qid long, vector array<float>")
     r = backends.search(vs, q, k=1).first()
     assert r.doc_id == "1"
+
+
+def test_stream_topic_ranking_equals_batch(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "m")
+    rows = [("L", f"t{i % 5}", float(i % 3)) for i in range(40)] + [("K", "x", 1.0)]
+    for part in range(2):
+        spark.createDataFrame(rows[part::2], "label string, text string, score double") \
+            .write.mode("append").parquet(src)
+    out = os.path.join(tmpdir_path, "ranked")
+    q = streams.topic_ranking(spark, src, out, os.path.join(tmpdir_path, "ck"), top_n=3)
+    _wait(q)
+    got = spark.read.parquet(out)
+    last = got.agg({"batch_id": "max"}).first()[0]
+    stream = sorted((r.label, r.rank, r.text) for r in got.where(f"batch_id = {last}").collect())
+    batch = sorted((r.label, r.rank, r.text) for r in topics.rank_in_label(topics.topic_stats(
+        spark.createDataFrame(rows, "label string, text string, score double")), 3).collect())
+    assert stream == batch
