@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +58,15 @@ def uniform(*cols, salt: str) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def per_worker(key: str, make: Callable[[], Any]) -> Any:
+    """``make()``, kept under ``key`` for as long as the Python worker lives.
+
+    Functions of this package travel to the workers by value, so a global of their own module
+    is new in each task; a module registered in sys.modules stays.
+    """
+    kept = sys.modules.setdefault("_talkframe_worker", types.ModuleType("_talkframe_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from .op2 import op2_simhash
+from .op3 import op3_near_dedup
+from .op4 import op4_mixing
+from .op6 import op6_byte_bpe
+from .op9 import op9_sharding
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_mixing": op4_mixing,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
