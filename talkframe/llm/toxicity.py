@@ -279,16 +279,17 @@ def _feature_batches(model):
 
 
 def _origin_batches(model, names):
-    """For each toxic text its candidate features and MIN_HASHES least hashes of its features."""
+    """For each toxic text its candidate features and MIN_HASHES least hashes of its word pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, words = Decoder(model.value), {}
         for b in batches:
             rows, least = [], []
             for t in b.column(0):
-                found = _text_features(decoder, t.as_py() or "", words)
-                rows.append(sorted(found & names.value.keys()))
-                least.append([min((zlib.crc32(f.encode("utf-8", "surrogatepass"), k + 1) for f in found), default=0)
-                              for k in range(MIN_HASHES)])
+                text = t.as_py() or ""
+                rows.append(sorted(_text_features(decoder, text, words) & names.value.keys()))
+                tokens = text.lower().split()
+                pairs = {f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in zip(tokens, tokens[1:] or tokens)}
+                least.append([min((zlib.crc32(p, k + 1) for p in pairs), default=0) for k in range(MIN_HASHES)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.string())), pa.array(least, pa.list_(pa.int64()))], names=["features", "least"])
     return run
@@ -298,7 +299,7 @@ def origins(texts: list[tuple[list[str], list[int]]]) -> dict[str, int]:
     """From how many different texts each feature comes, copies and near copies counted once.
 
     Copies of one toxic text make all its words look toxic. Near copies mostly agree in a least
-    hash of their features; a feature counts as many origins as its texts have different
+    hash of their word pairs; a feature counts as many origins as its texts have different
     least hashes, by the hash that tells the fewest apart.
     """
     seen: dict[str, list[set[int]]] = {}

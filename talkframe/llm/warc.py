@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 16
+VERSION_LINE = re.compile(r"WARC/\d+\.\d+")
+FIELD = re.compile(r"([!#$%&'*+.^_`|~0-9A-Za-z-]+):([^\x00-\x08\x0a-\x1f\x7f]*)")
+ONCE = frozenset(["content-length", "warc-record-id", "warc-type", "warc-date", "warc-block-digest"])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 10_000
 EMPTY_MEMBER = gzip.compress(b"", 1, mtime=0)
@@ -125,13 +128,21 @@ def _parse(data, at: int, alone: bool) -> tuple[dict[str, str], bytes, int]:
     stop = data.find(b"\r\n\r\n", at)
     if data[at:at + 5] != b"WARC/" or stop < 0:
         raise Broken("no version line or end of headers")
-    lines = bytes(data[at:stop]).decode("utf-8", "replace").split("\r\n")
-    head = {}
+    try:
+        lines = bytes(data[at:stop]).decode("utf-8", "surrogatepass").split("\r\n")
+    except UnicodeDecodeError:
+        raise Broken("headers aren't text") from None
+    if not VERSION_LINE.fullmatch(lines[0]):
+        raise Broken("version line")
+    head: dict[str, str] = {}
     for line in lines[1:]:
-        key, colon, value = line.partition(":")
-        if not colon:
-            raise Broken("header line without a colon")
-        head[key.strip().lower()] = value.strip()
+        m = FIELD.fullmatch(line)
+        if not m:
+            raise Broken("header line")
+        key = m[1].lower()
+        if key in head and key in ONCE:
+            raise Broken(f"two headers {key}")
+        head[key] = m[2].strip()
     size = head.get("content-length", "")
     if not size.isdigit():
         raise Broken("no content length")
