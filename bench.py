@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from talkframe.registry import REGISTRY  # noqa: E402
 from talkframe.session import build_session  # noqa: E402
+from talkframe.tables import SCAN_PARTITIONS  # noqa: E402
 
 HEADLINE = [
     "tfidf_search", "tfidf_search_filtered", "tfidf_search_multifield", "search_with_text",
@@ -28,7 +29,9 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8),
+                          # the bench tables are single row groups: deal them to all cores
+                          extra={SCAN_PARTITIONS: str(cpus)})
     # warm-up on the smallest tables only (JIT of the regex / array code paths, Python
     # workers, parquet reader); nothing computed here is reused by the measured runs
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

@@ -1,13 +1,19 @@
 """Text expressions: tokenising, title normalising, sentence split, HTML to text, word stream.
 
 Every function maps Columns to a Column and stays inside the JVM (whole-stage codegen for the
-scalar parts, higher-order functions for the array parts).
+scalar parts, higher-order functions for the array parts), but for the character references of
+HTML, which are decoded on Arrow batches.
 """
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Fixed values that must equal the reference's behaviour.
 # Word runs of two or more letters, digits or underscores (the vectoriser's default pattern
@@ -79,20 +85,6 @@ def sentences(col) -> Column:
     return F.filter(F.transform(parts, strip_all), lambda x: x != "")
 
 
-# Entity replacements applied after tag removal, '&amp;' last so that an escaped
-# entity such as '&amp;quot;' yields '&quot;' and not '"'.
-HTML_ENTITIES = [
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&nbsp;", " "),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&amp;", "&"),
-]
-
 # Removal steps, in order (comments, doctype, script/style with their content,
 # line breaks, any other tag).
 HTML_STEPS = [
@@ -105,14 +97,18 @@ HTML_STEPS = [
 ]
 
 
+@pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    """All named and numeric character references of HTML, decoded once, on Arrow batches."""
+    return texts.map(lambda t: html.unescape(t) if "&" in t else t)
+
+
 def html_to_text(col) -> Column:
-    """H5: HTML summary to plain text, <br> as newline."""
+    """H5: HTML summary to plain text, <br> as newline, character references decoded."""
     c = F.coalesce(_c(col), F.lit(""))
     for pattern, repl in HTML_STEPS:
         c = F.regexp_replace(c, pattern, repl)
-    for entity, repl in HTML_ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(repl))
-    return c
+    return _unescape(c)
 
 
 def words(col) -> Column:

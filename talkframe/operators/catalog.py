@@ -54,18 +54,21 @@ def select_option(results: DataFrame, position: int) -> DataFrame:
     return results.where(F.col("rank") == position)
 
 
-def lookup(ids: DataFrame, catalogue: DataFrame) -> DataFrame:
+def lookup(ids: DataFrame, catalogue: DataFrame, pos: str = "pos") -> DataFrame:
     """First catalogue entry per requested id; unknown id -> status Fail.
 
-    ``ids``: (podcast_id); ``catalogue``: (collection_id, ...).
+    ``ids``: (podcast_id); ``catalogue``: (collection_id, [pos], ...). First is the smallest
+    ``pos`` (position in the answer, dropped from the result); equal positions, or a catalogue
+    without positions, fall back on the smallest entry. An entry with NULL columns is still a
+    match.
     """
-    cols = [c for c in catalogue.columns if c != "collection_id"]
-    first = (catalogue.groupBy("collection_id")
-                      .agg(F.min_by(F.struct(*cols), F.struct(*cols)).alias("_e"))
-                      .select(F.col("collection_id").alias("podcast_id"), "_e.*"))
+    cols = [c for c in catalogue.columns if c not in ("collection_id", pos)]
+    order = F.struct(*([pos] if pos in catalogue.columns else []), *cols)
+    first = (catalogue.groupBy("collection_id").agg(F.min_by(F.struct(*cols), order).alias("_e"))
+                      .select(F.col("collection_id").alias("podcast_id"), "_e.*", F.lit(True).alias("_found")))
     return (ids.select("podcast_id").distinct().join(first, "podcast_id", "left")
-               .withColumn("status", F.when(F.col(cols[0]).isNull(), F.lit(FAIL))
-                           .otherwise(F.lit(SUCCESS))))
+               .withColumn("status", F.when(F.col("_found"), F.lit(SUCCESS)).otherwise(F.lit(FAIL)))
+               .drop("_found"))
 
 
 def latest_entry(podcasts: DataFrame, entries: DataFrame, key: str, pos: str) -> DataFrame:

@@ -9,6 +9,8 @@ extractive answer); there is none for transcription.
 
 from __future__ import annotations
 
+import sys
+import types
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -16,15 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-_MODELS: dict = {}
-
-
-def _model(factory: Callable):
-    """Build the model once per Python worker process."""
-    key = id(factory)
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
+def _model(factory: Callable, name: str | None = None):
+    """The model of ``factory``, built once per Python worker.
+
+    Functions of this package travel by value, so a global of this module is new in every task;
+    models are kept in a module of the worker's own instead, under the caller's ``name`` (or
+    the factory's module, name and code).
+    """
+    kept = sys.modules.setdefault("_talkframe_models", types.ModuleType("_talkframe_models")).__dict__
+    code = getattr(factory, "__code__", None)
+    key = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', '')} {hash(code)}"
+    if key not in kept:
+        kept[key] = factory()
+    return kept[key]
 
 
 def encode(df: DataFrame, text_col: str, out: str, factory: Callable[[], Callable],

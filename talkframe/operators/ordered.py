@@ -18,8 +18,10 @@ def ordered_offsets(parts: DataFrame, group: str, order: str, size: str,
     """Exclusive prefix sum of ``size`` per ``group`` in ``order``: adds column ``offset``.
 
     Two levels: sums per block of ``block`` consecutive order values, a prefix over blocks,
-    then a prefix inside each block. No window holds more than ``block`` rows of a group
-    at the first level, nor more than (#parts / block) at the second.
+    then a prefix inside each block. Order values should be dense (turns, parts, positions): then
+    no window holds more than ``block`` rows of a group at the first level, nor more than
+    (#parts / block) at the second. With sparse ones (timestamps) the second level is as long as
+    the group.
     """
     p = parts.withColumn("_blk", F.floor(F.col(order) / block))
     blocks = p.groupBy(group, "_blk").agg(F.sum(size).alias("_bs"))
@@ -28,9 +30,11 @@ def ordered_offsets(parts: DataFrame, group: str, order: str, size: str,
     wi = Window.partitionBy(group, "_blk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
     p = p.withColumn("_ioff", F.coalesce(F.sum(size).over(wi), F.lit(0)))
-    return (p.join(blocks.select(group, "_blk", "_boff"), [group, "_blk"])
+    b = blocks.select(F.col(group).alias("_g"), F.col("_blk").alias("_b"), "_boff")
+    # null-safe: rows without a group or an order (first in their group) are numbered too
+    return (p.join(b, p[group].eqNullSafe(b["_g"]) & p["_blk"].eqNullSafe(b["_b"]))
              .withColumn("offset", (F.col("_boff") + F.col("_ioff")).cast("bigint"))
-             .drop("_blk", "_boff", "_ioff"))
+             .drop("_blk", "_boff", "_ioff", "_g", "_b"))
 
 
 def ordered_concat(df: DataFrame, group: str, order: str, text: str, sep: str,

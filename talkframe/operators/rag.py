@@ -42,8 +42,7 @@ def generate(prompts: DataFrame, fn, out: str = "answer", batch_size: int = 32,
              deterministic: bool = False) -> DataFrame:
     """J3 hook: ``fn(list[str]) -> list[str]`` called on Arrow batches of prompts.
 
-    The model is loaded once per Python worker by the caller's ``fn``; a failing batch
-    yields NULL answers and the error text instead of failing the job. A sampling model is
+    A batch that fails or returns another number of answers than prompts yields NULL answers and the error text instead of failing the job or shifting answers. A sampling model is
     not deterministic, so unless the caller says otherwise the answers are computed once and
     checkpointed: a retried task or a second consumer then sees the same answers.
     """
@@ -58,6 +57,8 @@ def generate(prompts: DataFrame, fn, out: str = "answer", batch_size: int = 32,
                 chunk = pdf["prompt"].iloc[i:i + batch_size].tolist()
                 try:
                     res = list(fn(chunk))
+                    if len(res) != len(chunk):
+                        raise ValueError(f"{len(res)} answers to {len(chunk)} prompts")
                     answers += res
                     errors += [None] * len(res)
                 except Exception as e:  # noqa: BLE001 - reported per row

@@ -27,7 +27,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field as dc_field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +36,6 @@ from .topk import top_k
 
 # Upper bound of query-term rows broadcast in one block (about 100 bytes a row).
 MAX_BROADCAST_QUERY_TERMS = 2_000_000
-# Keep the (doc, term, tf) rows between the df aggregate and the weighting join instead of
-# tokenising every text twice.
-PERSIST_TERMS = False
 
 _PARAM_NAMES = {"lowercase", "token_pattern", "min_df", "max_df", "stop_words",
                 "sublinear_tf", "smooth_idf", "use_idf"}
@@ -130,11 +126,21 @@ def _tf_weight(tf: Column, p: TfidfParams) -> Column:
     return (F.log(tf) + F.lit(1.0)) if p.sublinear_tf else tf
 
 
+def document_key(id_col: str | list) -> Column:
+    """The document key as a string. Several columns (episode, chunk) become one key that
+    tells them apart whatever their values: a JSON array."""
+    if isinstance(id_col, str):
+        return F.col(id_col).cast("string")
+    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_col]))
+
+
 def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
-        id_col: str = "id", params: dict | TfidfParams | None = None) -> SparseIndex:
+        id_col: str | list = "id", params: dict | TfidfParams | None = None) -> SparseIndex:
     """D1 + D2 (A10): fit one vectoriser per text field over ``docs``.
 
-    Missing text or keyword values behave as '' (B4); ids become strings (B5).
+    Missing text or keyword values (strings) behave as '' (B4); ids become strings (B5). Chunk ids
+    that repeat over episodes need both columns as ``id_col`` (``document_key``); rows that agree
+    in the whole key would count as one document, see ``duplicate_keys``.
     """
     p = params if isinstance(params, TfidfParams) else TfidfParams.of(params)
     keyword_fields = list(keyword_fields or [])
@@ -149,12 +155,12 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
             continue
         if f in docs.columns:
             dtype = docs.schema[f].dataType
-            cols.append(F.col(f))
+            cols.append(F.coalesce(F.col(f), F.lit("")).alias(f) if isinstance(dtype, T.StringType) else F.col(f))
         else:
             dtype = T.StringType()
             cols.append(F.lit("").alias(f))
         kw_types[f] = dtype
-    base = docs.select(F.col(id_col).cast("string").alias("doc_id"), *cols)
+    base = docs.select(document_key(id_col).alias("doc_id"), *cols)
 
     n_docs = base.count()   # one long to the driver; N includes empty documents
     kw_carry = list(keyword_fields)   # carried on every posting (filters are predicates)
@@ -165,8 +171,6 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
     # per-document norm window below needs no further shuffle.
     terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_carry]).repartition(
         "doc_id")
-    if PERSIST_TERMS:
-        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
 
     # count(tf), not count(*): both readers of the term exchange then need the same columns,
     # so column pruning leaves one exchange for Spark to reuse
@@ -196,6 +200,12 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
                        kw_types)
 
 
+def duplicate_keys(docs: DataFrame, id_col: str | list = "id") -> DataFrame:
+    """Quarantine check before ``fit``: (doc_id, rows) of the keys that more than one row has."""
+    return (docs.groupBy(document_key(id_col).alias("doc_id")).agg(F.count("*").alias("rows"))
+            .where(F.col("rows") > 1))
+
+
 def _type_matches(value, dtype: T.DataType) -> bool:
     if isinstance(value, bool):
         return isinstance(dtype, T.BooleanType)
@@ -293,6 +303,34 @@ def search(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
     return top_k(scored, ["qid"], "score", num_results, tie="doc_id")
 
 
-def attach_text(hits: DataFrame, index: SparseIndex, text_field: str = "text") -> DataFrame:
+# Hits broadcast in one block (about 100 bytes a row).
+MAX_BROADCAST_HITS = 1_000_000
+
+
+def join_payload(hits: DataFrame, docs: DataFrame, max_rows: int | None = None, key: str = "doc_id",
+                 block_rows: int = MAX_BROADCAST_HITS) -> DataFrame:
+    """``hits`` with the columns of their documents, without moving the documents.
+
+    ``max_rows`` is a proven bound of the hits (k times the questions); without one they are
+    checkpointed and counted. Hits up to ``block_rows`` are broadcast and the documents
+    streamed past them; more are cut into blocks by key, each broadcast on its own. Every hit
+    id is an id of ``docs``, so this inner join keeps all hits.
+    """
+    if max_rows is None:
+        from ..session import cut_lineage
+        hits = cut_lineage(hits)
+        max_rows = hits.count()
+    n = max(1, math.ceil(max_rows / block_rows))
+    cols = [*hits.columns, *[c for c in docs.columns if c != key]]
+    out = None
+    for i in range(n):
+        part = hits if n == 1 else hits.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+        part = docs.join(F.broadcast(part), key).select(*cols)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def attach_text(hits: DataFrame, index: SparseIndex, text_field: str = "text",
+                max_rows: int | None = None) -> DataFrame:
     """Join the payload after top-k (late materialisation; the hit side is k per query)."""
-    return hits.join(index.docs.select("doc_id", text_field), "doc_id", "left")
+    return join_payload(hits, index.docs.select("doc_id", text_field), max_rows)

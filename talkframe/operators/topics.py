@@ -53,13 +53,17 @@ def top_words(ranked: DataFrame) -> DataFrame:
                   .select("label", F.transform("_w", lambda x: x["text"]).alias("words")))
 
 
-def pivot(ranked: DataFrame, labels: list) -> DataFrame:
+def pivot(ranked: DataFrame, labels: list | None = None) -> DataFrame:
     """One row per rank, one column per label, '' where a label has fewer words.
 
-    Labels are passed explicitly (the user's selection), so the pivot needs no extra job.
+    ``labels`` is the user's selection; without one every label found gets a column (one small
+    job; a label holds at most ``top_n`` rows).
     """
+    if labels is None:
+        found = ranked.select("label").where(F.col("label").isNotNull()).distinct().orderBy("label")
+        labels = [r.label for r in found.collect()]
     p = ranked.groupBy("rank").pivot("label", labels).agg(F.first("text"))
-    return p.na.fill("", subset=list(labels))
+    return p.na.fill("", subset=list(labels)) if labels else p
 
 
 def report(chunks: DataFrame, key: str, text: str, labels_rules: dict,

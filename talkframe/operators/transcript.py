@@ -25,13 +25,15 @@ def renumber_chunks(parts: DataFrame, episode: str, part: str, text: str) -> Dat
     sentences. Part sizes are known in-row, so ids come from a prefix sum over part sizes:
     no window over all chunks of an episode.
     """
-    p = parts.select(episode, part, sentences(F.col(text)).alias("_s"))
-    p = p.withColumn("_n", F.size("_s"))
-    off = ordered_offsets(p, episode, part, "_n")
-    ch = (off.select(episode, part, "offset", F.posexplode_outer("_s").alias("pos", "text"))
-             .where(F.col("text").isNotNull()))
+    # only the sizes travel to be summed; the sentences stay with their part
+    p = parts.select(episode, part, text, F.size(sentences(F.col(text))).alias("_n"))
+    off = ordered_offsets(p.select(episode, part, "_n"), episode, part, "_n").select(
+        F.col(episode).alias("_e"), F.col(part).alias("_p"), "offset")
+    ch = (p.join(off, F.col(episode).eqNullSafe(F.col("_e")) & F.col(part).eqNullSafe(F.col("_p")))
+             .select(episode, part, "offset", F.posexplode_outer(sentences(F.col(text))).alias("pos", "_t"))
+             .where(F.col("_t").isNotNull()))
     return ch.select(episode, part, F.col("pos").cast("bigint").alias("pos"),
-                     (F.col("offset") + F.col("pos") + 1).cast("string").alias("id"), "text")
+                     (F.col("offset") + F.col("pos") + 1).cast("string").alias("id"), F.col("_t").alias("text"))
 
 
 def concat_transcript(parts: DataFrame, episode: str, part: str, text: str) -> DataFrame:

@@ -89,6 +89,13 @@ SQL["search_with_text"] = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + """
 SELECT h.qid, h.doc_id, h.score, h.rank, d.text FROM (""" + _topk_select(5) + """) h
 LEFT JOIN d USING (doc_id)"""
 
+SQL["tfidf_search_two_episodes"] = _tfidf_ctes("""
+SELECT to_json([CAST(conv_id AS VARCHAR), CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS VARCHAR)])::VARCHAR AS doc_id, text
+FROM (SELECT conv_id, turn, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM (
+  SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'),
+    lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l FROM conversations))""",
+    BENCH, {"text": 3.0}) + _topk_select(5)
+
 VEC = """n AS (SELECT CAST(vec_id AS VARCHAR) AS id, v, label, sqrt(list_dot_product(v, v)) AS nv
   FROM (SELECT vec_id, {expr} AS v, label FROM embeddings)),
 p AS (SELECT a.id AS qid, b.id AS doc_id, a.label AS qlabel, b.label AS dlabel,
@@ -117,7 +124,10 @@ SELECT vec_id, reason IS NULL AS valid, reason FROM (
     WHEN list_count(embedding) < len(embedding) THEN 'null element'
     WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'NaN element'
     WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 'zero vector'
-    END AS reason FROM embeddings)"""
+    END AS reason FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN embedding[1:60]
+      WHEN vec_id % 11 = 3 THEN NULL
+      WHEN vec_id % 13 = 3 THEN list_transform(embedding, lambda x: 0::FLOAT)
+      ELSE embedding END AS embedding FROM embeddings))"""
 
 SQL["nearest_title_gate"] = f"""WITH {VEC.format(expr="embedding::DOUBLE[]")},
 best AS (SELECT qid, doc_id, cos FROM (
@@ -227,7 +237,6 @@ SQL["eval_report"] = _eval_report_sql()
 
 from .functions.prompts import (QUESTION_PROMPT_TAIL, RAG_PROMPT_HEAD,  # noqa: E402
                                 RAG_PROMPT_MID, question_prompt_head)
-from .functions.text import HTML_ENTITIES, HTML_STEPS  # noqa: E402
 
 
 def lit(s: str) -> str:
@@ -263,8 +272,7 @@ ans AS (SELECT q.qid, coalesce(d.text, '') AS answer FROM q
         LEFT JOIN hits h ON h.qid = q.qid AND h.rank = 1 LEFT JOIN d ON d.doc_id = h.doc_id)
 """ + _word_rows("ans", "qid", "answer")
 
-SQL["word_stream"] = _word_rows("(SELECT * FROM conversations WHERE role = 'assistant')",
-                                "conv_id, turn", "text")
+SQL["word_stream"] = _word_rows("conversations", "conv_id, turn", "text")
 
 SQL["question_prompt"] = (f"SELECT doc_id AS id, {lit(question_prompt_head())} || coalesce(text, '')"
                           f" || {lit(QUESTION_PROMPT_TAIL)} AS prompt FROM documents")
@@ -297,10 +305,10 @@ SELECT conv_id, ' ' || string_agg(text, ' ' ORDER BY turn) AS text FROM conversa
 WHERE text IS NOT NULL GROUP BY conv_id"""
 
 SQL["chat_pairs"] = """
-SELECT u.conv_id, u.turn, u.text AS question,
-  CASE WHEN n.role = 'assistant' THEN n.text END AS answer
-FROM conversations u LEFT JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
-WHERE u.role = 'user'"""
+SELECT conv_id, turn, question, answer FROM (
+  SELECT conv_id, turn * 2 + CASE WHEN turn > 1 THEN 5 ELSE 0 END AS turn, role, text AS question,
+    CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'"""
 
 SQL["chat_transcript"] = """
 SELECT conv_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS transcript
@@ -327,11 +335,11 @@ SQL["topic_top_words"] = f"""WITH {STATS}
 SELECT label, count(*) AS n_words, string_agg(text, ' | ' ORDER BY rank) AS words
 FROM r WHERE rank <= 15 GROUP BY label"""
 
-SQL["topic_pivot"] = f"""WITH {STATS}
-SELECT CAST(rank AS BIGINT) AS rank,
-""" + ",\n".join(f"  coalesce(max(CASE WHEN label = '{x}' THEN text END), '') AS {x}"
-                 for x in ["click", "error", "purchase", "signup", "view"]) + """
-FROM r WHERE rank <= 15 GROUP BY rank"""
+SQL["topic_pivot"] = f"""WITH {STATS}, top AS (SELECT * FROM r WHERE rank <= 15),
+cells AS (SELECT ranks.rank, labels.label, coalesce(top.text, '') AS text
+  FROM (SELECT DISTINCT rank FROM top) ranks CROSS JOIN (SELECT DISTINCT label FROM top) labels
+  LEFT JOIN top ON top.rank = ranks.rank AND top.label = labels.label)
+SELECT * REPLACE (CAST(rank AS BIGINT) AS rank) FROM (PIVOT cells ON label USING first(text) GROUP BY rank)"""
 
 # ---------------------------------------------------------------- URLs, HTML, media, catalogue
 
@@ -342,17 +350,15 @@ SELECT page_id, substring(parts[-1], 3) AS podcast_id, replace(parts[-2], '-', '
 FROM s"""
 
 
-def _html_sql() -> str:
-    x = "coalesce(html, '')"
-    for pattern, repl in HTML_STEPS:
-        r = "chr(10)" if repl == "\n" else lit(repl)
-        x = f"regexp_replace({x}, {lit(pattern)}, {r}, 'g')"
-    for entity, repl in HTML_ENTITIES:
-        x = f"replace({x}, {lit(entity)}, {lit(repl)})"
-    return f"SELECT page_id, {x} AS text FROM pages"
-
-
-SQL["html_to_text"] = _html_sql()
+# the pages hold four named references only; "&amp;" last, so that "&amp;quot;" gives "&quot;"
+SQL["html_to_text"] = r"""
+WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(x, '(?i)<!DOCTYPE[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(x, '(?is)<(script)\b[^>]*>.*?</script\s*>', '', 'g') AS x FROM b),
+d AS (SELECT page_id, regexp_replace(x, '(?is)<(style)\b[^>]*>.*?</style\s*>', '', 'g') AS x FROM c),
+e AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM d)
+SELECT page_id, replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
+  '&amp;?', '&', 'g'), chr(0), '') AS text FROM e"""
 
 SQL["title_normalize"] = r"""
 SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '\.', '', 'g'),
@@ -387,18 +393,20 @@ SELECT t.term, CAST(r.rank AS BIGINT) AS rank, r.collection_id, r.collection_nam
   CASE WHEN r.rank IS NULL THEN 'Fail' ELSE 'Success' END AS status
 FROM t LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON r.term = t.term"""
 
+SQL["catalogue_parse"] = """
+SELECT row_number() OVER (PARTITION BY p_size, p_partkey // 50 ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS pos,
+  CAST(p_partkey AS VARCHAR) AS collection_id, p_name AS collection_name, p_brand AS artist_name, p_type AS feed_url FROM part"""
+
 SQL["catalog_lookup"] = """
 WITH ids AS (SELECT DISTINCT o_custkey AS podcast_id FROM orders),
-cat AS (SELECT s_suppkey AS collection_id, s_name AS collection_name,
-  'nation ' || CAST(s_nationkey AS VARCHAR) AS artist_name FROM supplier),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection_id
-  ORDER BY collection_name, artist_name) AS rn FROM cat) WHERE rn = 1)
-SELECT ids.podcast_id, f.collection_name, f.artist_name,
-  CASE WHEN f.collection_name IS NULL THEN 'Fail' ELSE 'Success' END AS status
-FROM ids LEFT JOIN f ON f.collection_id = ids.podcast_id"""
+f AS (SELECT s_nationkey AS podcast_id, max(s_suppkey) AS s_suppkey FROM supplier GROUP BY ALL)
+SELECT ids.podcast_id, CASE WHEN s.s_suppkey % 5 <> 0 THEN s.s_name END AS collection_name,
+  'supplier ' || CAST(s.s_suppkey AS VARCHAR) AS artist_name,
+  CASE WHEN s.s_suppkey IS NULL THEN 'Fail' ELSE 'Success' END AS status
+FROM ids LEFT JOIN f USING (podcast_id) LEFT JOIN supplier s ON s.s_suppkey = f.s_suppkey"""
 
 SQL["latest_episode"] = """
-WITH c AS (SELECT DISTINCT c_custkey AS podcast_id FROM customer),
+WITH c AS (SELECT c_custkey AS podcast_id FROM customer UNION SELECT -c_custkey - 1 FROM customer),
 f AS (SELECT podcast_id, pos, summary, price FROM (
   SELECT o_custkey AS podcast_id, o_orderkey AS pos, o_orderpriority AS summary,
     round(o_totalprice, 6) + 0.0 AS price,

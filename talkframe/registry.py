@@ -6,6 +6,8 @@ Each entry takes (spark, sf_dir) and returns a DataFrame; double columns are rou
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +116,20 @@ def tokenize_docs(spark, sf_dir):
 def search_with_text(spark, sf_dir):
     """Top-5 hits, then the payload text joined to the hits only."""
     idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
-    hits = sparse.search(idx, bench_queries(spark, sf_dir), boost_dict={"text": 3.0},
-                         num_results=5)
-    return sparse.attach_text(_hits(hits), idx).select("qid", "doc_id", "score", "rank", "text")
+    q = bench_queries(spark, sf_dir)
+    hits = sparse.search(idx, q, boost_dict={"text": 3.0}, num_results=5)
+    return sparse.attach_text(_hits(hits), idx, max_rows=5 * q.count()).select(
+        "qid", "doc_id", "score", "rank", "text")
+
+
+@query("tfidf_search_two_episodes")
+def tfidf_search_two_episodes(spark, sf_dir):
+    """D2 + A9: sentences numbered per conversation (an episode each) in one index; the key is
+    (conv_id, chunk id), as chunk ids repeat over episodes."""
+    from .operators import transcript
+    c = transcript.renumber_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    idx = sparse.fit(c, ["text"], [], id_col=["conv_id", "id"])
+    return _hits(sparse.search(idx, bench_queries(spark, sf_dir), boost_dict={"text": 3.0}, num_results=5))
 
 
 # ---------------------------------------------------------------- dense search (2C, 2D, 2J)
@@ -166,9 +179,14 @@ def vector_truncate_search(spark, sf_dir):
 
 @query("vector_validate")
 def vector_validate(spark, sf_dir):
-    """Per vector, accepted for a 64-dimensional index or the reason it is not."""
-    from .functions.vectors import validity_reason
-    e = table(spark, sf_dir, "embeddings")
+    """Per vector, accepted for a 64-dimensional index or the reason it is not. Every
+    seventh vector is cut short, every eleventh is missing and every thirteenth is zero."""
+    from .functions.vectors import validity_reason, truncate
+    e = table(spark, sf_dir, "embeddings").withColumn(
+        "embedding", F.when(F.col("vec_id") % 7 == 3, truncate("embedding", 60))
+        .when(F.col("vec_id") % 11 == 3, F.lit(None))
+        .when(F.col("vec_id") % 13 == 3, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float")))
+        .otherwise(F.col("embedding")))
     return e.select("vec_id", validity_reason("embedding", 64).alias("reason")).select(
         "vec_id", F.col("reason").isNull().alias("valid"), "reason")
 
@@ -231,8 +249,7 @@ def ground_truth(spark, sf_dir, idx):
     from .operators.evaluate import containment_ground_truth
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
                                                      F.col("text").alias("question"))
-    return containment_ground_truth(items, idx.docs.select("doc_id", "text"), idx.idf,
-                                    idx.postings)
+    return containment_ground_truth(items, idx.docs.select("doc_id", "text"))
 
 
 def tfidf_backend(idx, k=10):
@@ -309,9 +326,9 @@ def eval_report(spark, sf_dir):
 
 def _rag_hits(spark, sf_dir, k=5):
     idx = sparse.fit(corpus(spark, sf_dir), ["text"], [])
-    hits = sparse.search(idx, bench_queries(spark, sf_dir), boost_dict={"text": 3.0},
-                         num_results=k)
-    return sparse.attach_text(hits, idx)
+    q = bench_queries(spark, sf_dir)
+    hits = sparse.search(idx, q, boost_dict={"text": 3.0}, num_results=k)
+    return sparse.attach_text(hits, idx, max_rows=k * q.count())
 
 
 @query("prompt_render")
@@ -362,10 +379,9 @@ def resume_anti_join(spark, sf_dir):
 
 @query("word_stream")
 def word_stream_q(spark, sf_dir):
-    """Assistant answers as a stream of 'word ' rows."""
+    """All messages as a stream of 'word ' rows."""
     from .operators import rag
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    return rag.word_stream(c, ["conv_id", "turn"], "text")
+    return rag.word_stream(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
 
 # ---------------------------------------------------------------- transcripts and chat
@@ -395,9 +411,11 @@ def transcript_concat(spark, sf_dir):
 
 @query("chat_pairs")
 def chat_pairs_q(spark, sf_dir):
-    """Each user turn with the assistant turn that follows (NULL if none)."""
+    """Each user turn with the assistant turn that follows (NULL if none), on a log whose turn
+    numbers have gaps (doubled)."""
     from .operators import chat
-    return chat.chat_pairs(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
+    return chat.chat_pairs(c.withColumn("turn", F.col("turn") * 2 + F.when(F.col("turn") > 1, 5).otherwise(0)))
 
 
 @query("chat_transcript")
@@ -442,15 +460,12 @@ def topic_top_words(spark, sf_dir):
                      F.array_join("words", " | ").alias("words"))
 
 
-TOPIC_LABELS = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("topic_pivot")
 def topic_pivot(spark, sf_dir):
     """Rank rows x label columns, '' padding."""
     from .operators import topics
     ranked = topics.rank_in_label(topics.topic_stats(mentions(spark, sf_dir)))
-    return topics.pivot(ranked, TOPIC_LABELS)
+    return topics.pivot(ranked)
 
 
 # ---------------------------------------------------------------- URLs, HTML, media, catalogue
@@ -521,24 +536,41 @@ def catalog_search(spark, sf_dir):
     return term_search(terms, part_catalogue(spark, sf_dir), 3)
 
 
+@query("catalogue_parse")
+def catalogue_parse(spark, sf_dir):
+    """A3: the part catalogue landed as answers (one JSON document a line, one per size) and read
+    back, positions kept."""
+    from .session import ensure_checkpoint_dir
+    from .sources.files import read_catalogue
+    p = table(spark, sf_dir, "part")
+    entry = F.struct(F.col("p_partkey").cast("string").alias("collectionId"), F.col("p_name").alias("collectionName"),
+                     F.col("p_brand").alias("artistName"), F.col("p_type").alias("feedUrl"))
+    answers = p.groupBy("p_size", F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("results"))
+    path = f"{ensure_checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex[:12]}"
+    answers.select(F.size("results").alias("resultCount"), "results").write.json(path)
+    return read_catalogue(spark, path)
+
+
 @query("catalog_lookup")
 def catalog_lookup(spark, sf_dir):
-    """Every ordering customer's id looked up in the supplier catalogue."""
+    """Every ordering customer's id looked up in answers that list the suppliers of a nation
+    with the largest key first; unknown ids fail."""
     from .operators.catalog import lookup
     ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("podcast_id"))
     s = table(spark, sf_dir, "supplier")
-    cat = s.select(F.col("s_suppkey").alias("collection_id"),
-                   F.col("s_name").alias("collection_name"),
-                   F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
-                   .alias("artist_name"))
+    cat = s.select(F.col("s_nationkey").cast("long").alias("collection_id"), (-F.col("s_suppkey")).alias("pos"),
+                   F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).alias("collection_name"),
+                   F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("artist_name"))
     return lookup(ids, cat)
 
 
 @query("latest_episode")
 def latest_episode(spark, sf_dir):
-    """E5: first feed entry (lowest order key) of every customer; none -> Fail."""
+    """E5: first feed entry (lowest order key) of every customer; none -> Fail. Every customer also
+    asks for a podcast that has no feed."""
     from .operators.catalog import latest_entry
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("podcast_id"))
+    c = table(spark, sf_dir, "customer").select(F.explode(F.array(
+        F.col("c_custkey"), -F.col("c_custkey") - 1)).alias("podcast_id"))
     o = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("podcast_id"), F.col("o_orderkey").alias("pos"),
         F.col("o_orderpriority").alias("summary"), r6(F.col("o_totalprice")).alias("price"))

@@ -20,26 +20,30 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.host": "127.0.0.1",
-    "spark.driver.bindAddress": "127.0.0.1",
 }
+# Settings of a single machine only: executors elsewhere could not reach a loopback driver.
+LOCAL_CONF = {"spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1"}
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "talkframe", extra: dict | None = None) -> SparkSession:
-    """Local/test session builder. On a cluster, pass master=None and let spark-submit decide."""
+    """Session builder. On a cluster, pass master=None and let spark-submit decide master, memory,
+    host and shuffle width; a local master gets loopback, 8 shuffle partitions and 16 GB."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("TALKFRAME_DRIVER_MEMORY", "16g"))
+    if (master or "").startswith("local"):
+        conf.update(LOCAL_CONF)
+        shuffle_partitions = shuffle_partitions or 8
+        conf.setdefault("spark.driver.memory", os.environ.get("TALKFRAME_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -47,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that one is always used. Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    when it is unset, on a local master (tests), a fresh scratch folder is created; elsewhere a
+    folder of one machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="talkframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

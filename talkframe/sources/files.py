@@ -47,17 +47,35 @@ def published_ts(published_date) -> "F.Column":
     return F.coalesce(a, b)
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """A3: landed lookup/search answers (one JSON document per line or file) ->
-    (collection_id, collection_name, artist_name, feed_url)."""
-    raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.from_json("value", schemas.CATALOGUE).alias("j"))
-    return (parsed.select(F.inline_outer("j.results"))
-                  .where(F.col("collectionId").isNotNull())
-                  .select(F.col("collectionId").alias("collection_id"),
-                          F.col("collectionName").alias("collection_name"),
-                          F.col("artistName").alias("artist_name"),
-                          F.col("feedUrl").alias("feed_url")))
+def _catalogue(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = f"{schemas.CATALOGUE}, _corrupt string"
+    return (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt").json(path)
+            .withColumn("file", F.input_file_name()))
+
+
+def read_catalogue(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A3: landed lookup/search answers -> (pos, collection_id, collection_name, artist_name,
+    feed_url); ``pos`` is the position in the answer ("first result", "option k").
+
+    One JSON document per line, or with ``multi_line`` one per file. Documents that don't parse
+    are left out here and found by ``catalogue_rejects``.
+    """
+    return (_catalogue(spark, path, multi_line).select(F.posexplode_outer("results").alias("pos", "r"))
+            .where(F.col("r.collectionId").isNotNull())
+            .select(F.col("pos").cast("bigint").alias("pos"),
+                    F.col("r.collectionId").alias("collection_id"),
+                    F.col("r.collectionName").alias("collection_name"),
+                    F.col("r.artistName").alias("artist_name"),
+                    F.col("r.feedUrl").alias("feed_url")))
+
+
+def catalogue_rejects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A3 quarantine: (file, raw) of the documents that don't parse."""
+    # the reader refuses a plan that needs the corrupt column alone: the parsed columns are read too
+    raw = _catalogue(spark, path, multi_line).select(
+        "file", F.when(F.col("results").isNull() & F.col("resultCount").isNull(), F.col("_corrupt")).alias("raw"))
+    return raw.where(F.col("raw").isNotNull())
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

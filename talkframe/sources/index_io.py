@@ -1,14 +1,18 @@
 """Index storage as Parquet directories.
 
-Layout under an index root: ``docs/``, ``idf/``, ``postings/`` (sparse), ``vectors/`` and
-``rejects/`` (dense). Creating an index replaces the directories (drop-then-create).
+Layout under an index root: ``docs/``, ``idf/``, ``postings/`` (sparse), ``vectors/batch_id=*/``
+and ``rejects/batch_id=*/`` (dense; batch and streaming writes alike). Creating an index replaces the directories (drop-then-create).
 Postings are written bucketed by ``doc_id`` so a search scans them without shuffling.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
+import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,8 @@ from ..operators.sparse import SparseIndex, TfidfParams
 EMPTY_VECTORS = "doc_id string, text string, vector array<float>"
 
 
-def _table_name(root: str) -> str:
-    return "talkframe_postings_" + hashlib.sha1(root.encode()).hexdigest()[:16]
+def _table_name(root: str, version: str) -> str:
+    return "talkframe_postings_" + hashlib.sha1(f"{root} {version}".encode()).hexdigest()[:16]
 
 
 def save_sparse(index: SparseIndex, root: str, buckets: int | None = None) -> None:
@@ -32,46 +36,70 @@ def save_sparse(index: SparseIndex, root: str, buckets: int | None = None) -> No
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     index.docs.write.mode("overwrite").parquet(f"{root}/docs")
     index.idf.write.mode("overwrite").parquet(f"{root}/idf")
-    name = _table_name(root)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    version = uuid.uuid4().hex
     (index.postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id")
-          .option("path", f"{root}/postings").saveAsTable(name))
+          .option("path", f"{root}/postings").saveAsTable(_table_name(root, version)))
     meta = spark.createDataFrame(
-        [(index.n_docs, ",".join(index.text_fields), ",".join(index.keyword_fields), buckets)],
-        "n_docs bigint, text_fields string, keyword_fields string, buckets int")
-    meta.write.mode("overwrite").json(f"{root}/meta")
+        [(index.n_docs, list(index.text_fields), list(index.keyword_fields), buckets, version,
+          json.dumps(dataclasses.asdict(index.params)))],
+        "n_docs bigint, text_fields array<string>, keyword_fields array<string>, buckets int, "
+        "version string, params string")
+    meta.write.mode("overwrite").parquet(f"{root}/meta")
 
 
 def load_sparse(spark: SparkSession, root: str, params: dict | None = None) -> SparseIndex:
-    """Open a saved TF-IDF index (registers the bucketed postings table if needed)."""
-    meta = spark.read.json(f"{root}/meta").first()
+    """Open a saved TF-IDF index with the parameters it was fitted with.
+
+    ``params`` may repeat them; others are refused, as the stored weights would not fit. Each
+    save has its own table name, so an index that another session rewrote is read as it is now.
+    """
+    meta = spark.read.parquet(f"{root}/meta").first()
     docs = spark.read.parquet(f"{root}/docs")
-    kw = [f for f in (meta["keyword_fields"] or "").split(",") if f]
-    name = _table_name(root)
+    stored = json.loads(meta["params"])
+    fitted = TfidfParams.of({**stored, "stop_words": list(stored["stop_words"])})
+    if params is not None and TfidfParams.of({**stored, "stop_words": list(stored["stop_words"]), **params}) != fitted:
+        raise ValueError(f"the index was fitted with {stored}; it can't be opened with {params}")
+    kw = list(meta["keyword_fields"])
+    name = _table_name(root, meta["version"])
     if not spark.catalog.tableExists(name):
         spark.sql(f"CREATE TABLE {name} USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) "
                   f"INTO {int(meta['buckets'])} BUCKETS LOCATION '{root}/postings'")
-    return SparseIndex(meta["text_fields"].split(","), kw, TfidfParams.of(params),
-                       int(meta["n_docs"]), docs, spark.read.parquet(f"{root}/idf"),
-                       spark.table(name), {f: docs.schema[f].dataType for f in kw})
+    return SparseIndex(list(meta["text_fields"]), kw, fitted, int(meta["n_docs"]), docs,
+                       spark.read.parquet(f"{root}/idf"), spark.table(name),
+                       {f: docs.schema[f].dataType for f in kw})
 
 
 def populate_vectors(docs: DataFrame, root: str, dims: int, vector: str = "vector",
-                     mode: str = "append") -> None:
-    """A8 + B8: valid vectors appended to ``vectors/``, the others to ``rejects/`` with their
-    reason (the reference prints the error and skips the document)."""
+                     mode: str = "append", batch_id: str | int | None = None) -> None:
+    """A8 + B8: valid vectors go to ``vectors/``, the others to ``rejects/`` with their
+    reason (the reference prints the error and skips the document).
+
+    Each write has its folder ``batch_id=<id>`` (a new id if none is given), replaced if it
+    exists, so a repeated batch doesn't double its rows. ``mode="overwrite"`` drops all
+    earlier batches first.
+    """
+    batch = uuid.uuid4().hex if batch_id is None else batch_id
     tagged = docs.withColumn("reason", validity_reason(vector, dims))
-    tagged.where(F.col("reason").isNull()).drop("reason").write.mode(mode).parquet(
-        f"{root}/vectors")
-    tagged.where(F.col("reason").isNotNull()).write.mode(mode).parquet(f"{root}/rejects")
+    for name, rows in (("vectors", tagged.where(F.col("reason").isNull()).drop("reason")),
+                       ("rejects", tagged.where(F.col("reason").isNotNull()))):
+        if mode == "overwrite":
+            rows.withColumn("batch_id", F.lit(str(batch))).write.mode("overwrite").partitionBy("batch_id").parquet(f"{root}/{name}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch}")
 
 
 def open_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """The vector collection, or an empty frame with the schema when it is missing."""
+    """The vector collection, or an empty frame with the schema when it is missing.
+
+    Only a missing path is an empty index; an unreadable one raises.
+    """
     try:
-        return spark.read.parquet(f"{root}/vectors")
-    except Exception:  # noqa: BLE001 - a missing index is an empty index
+        found = spark.read.parquet(f"{root}/vectors")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], EMPTY_VECTORS)
+    return found.drop("batch_id")
 
 
 def fetch_by_ids(collection: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,20 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.vectors import validity_reason
 from ..operators import topics
 from ..plans import backends
+from ..sources.index_io import populate_vectors
 
 
 def answer_questions(spark: SparkSession, source_dir: str, index: backends.Index,
                      out_dir: str, checkpoint: str, k: int = 5, schema: str = "qid long, query string",
-                     available_now: bool = True):
-    """Questions landing as Parquet files -> top-k hits per micro-batch."""
+                     available_now: bool = True, generate=None, encode=None):
+    """Questions landing as Parquet files -> per micro-batch the hits (``hits/``), the answers
+    (``answers/``: qid, query, prompt, answer) and their words (``words/``).
+
+    ``generate`` is the J3 hook and ``encode`` the J1 hook (questions -> questions with vector)
+    of ``plans.rag.answer``. The index should be saved or materialised once before.
+    """
+    from ..plans import rag as plan
+    from ..session import cut_lineage
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def handle(batch: DataFrame, batch_id: int):
-        hits = backends.search(index, batch, k)
-        hits.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        asked = encode(batch) if encode else batch
+        hits = cut_lineage(backends.search(index, asked, k))
+        hits.write.mode("overwrite").parquet(f"{out_dir}/hits/batch_id={batch_id}")
+        answers = cut_lineage(plan.answer(index, asked, k, generate, hits=hits))
+        answers.write.mode("overwrite").parquet(f"{out_dir}/answers/batch_id={batch_id}")
+        plan.answer_words(answers).write.mode("overwrite").parquet(f"{out_dir}/words/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
@@ -41,26 +52,23 @@ def index_documents(spark: SparkSession, source_dir: str, root: str, checkpoint:
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def handle(batch: DataFrame, batch_id: int):
-        tagged = batch.withColumn("reason", validity_reason("vector", dims)).withColumn(
-            "batch_id", F.lit(batch_id))
-        good = tagged.where(F.col("reason").isNull()).drop("reason")
-        bad = tagged.where(F.col("reason").isNotNull())
-        good.write.mode("overwrite").parquet(f"{root}/vectors/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
+        populate_vectors(batch, root, dims, batch_id=f"stream-{batch_id}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def topic_counts(spark: SparkSession, source_dir: str, query_name: str, checkpoint: str,
-                 schema: str = schemas.ENTITY, output_mode: str = "complete",
-                 available_now: bool = True):
-    """Running (label, text) -> total_score, count over arriving mentions, in a memory
-    table named ``query_name`` (rank it with ``topics.rank_in_label`` when read)."""
+def topic_counts(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+                 schema: str = schemas.ENTITY, available_now: bool = True):
+    """Running (label, text) -> total_score, count over arriving mentions; the state after each
+    micro-batch goes to ``batch_id=<n>/`` (rank it with ``topics.rank_in_label`` when read)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    agg = topics.topic_stats(stream)
-    w = (agg.writeStream.outputMode(output_mode).format("memory").queryName(query_name)
+
+    def handle(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    w = (topics.topic_stats(stream).writeStream.outputMode("complete").foreachBatch(handle)
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

@@ -7,23 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Tables whose per-row work (regex over whole texts) dominates: worth spreading over the cores
-# when the files give fewer splits than there are task slots.
+# Session setting: number of partitions that scanned tables are dealt to; unset or 0 leaves the scan
+# as it is. Only a harness on files of one row group sets it: a corpus has splits enough, and
+# dealing it out anew would shuffle all its texts.
+SCAN_PARTITIONS = "spark.talkframe.scanPartitions"
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the default parallelism, only when the scan has fewer splits.
-
-    A large corpus is stored in many files / row groups and is left untouched (no shuffle of
-    the raw text); a corpus in one row group would otherwise run every regex in one task.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    n = int(spark.conf.get(SCAN_PARTITIONS, "0"))
+    return df.repartition(n) if n and name in TEXT_TABLES else df

@@ -30,17 +30,16 @@ def test_ids_compared_as_strings(spark):
 
 
 def test_containment_ground_truth_equals_brute_force(spark):
-    from talkframe.operators import sparse
     docs = spark.createDataFrame(
         [(1, "Alpha beta gamma delta."), (2, "xbeta gamma deltax and more"), (3, "beta gamma")],
         "id long, text string")
     items = spark.createDataFrame([(10, "beta gamma delta"), (11, "ta gamma del"),
-                                   (12, "nothing here")], "qid long, question string")
-    idx = sparse.fit(docs, ["text"], [])
+                                   (12, "nothing here"), (13, "amm"), (14, "."), (15, "amm")],
+                                  "qid long, question string")
     got = {(r.qid, r.id) for r in ev.containment_ground_truth(
-        items, idx.docs.select("doc_id", "text"), idx.idf, idx.postings).collect()}
-    brute = {(q, str(d)) for q, qt in [(10, "beta gamma delta"), (11, "ta gamma del"),
-                                       (12, "nothing here")]
+        items, docs.withColumnRenamed("id", "doc_id")).collect()}
+    brute = {(q, str(d)) for q, qt in [(10, "beta gamma delta"), (11, "ta gamma del"), (12, "nothing here"),
+                                       (13, "amm"), (14, "."), (15, "amm")]
              for d, dt in [(1, "Alpha beta gamma delta."), (2, "xbeta gamma deltax and more"),
                            (3, "beta gamma")] if qt in dt}
     assert got == brute

@@ -110,9 +110,11 @@ def test_stream_topic_counts_equal_batch(spark, tmpdir_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 10:(part + 1) * 10], "label string, text string, score double") \
             .write.mode("append").parquet(src)
-    q = streams.topic_counts(spark, src, "tc_test", os.path.join(tmpdir_path, "ck"))
+    out = os.path.join(tmpdir_path, "counts")
+    q = streams.topic_counts(spark, src, out, os.path.join(tmpdir_path, "ck"))
     _wait(q)
-    stream = sorted(map(tuple, spark.sql("SELECT * FROM tc_test").collect()))
+    last = max(os.listdir(out), key=lambda d: int(d.partition("batch_id=")[2] or -1))
+    stream = sorted(map(tuple, spark.read.parquet(f"{out}/{last}").collect()))
     batch = sorted(map(tuple, topics.topic_stats(spark.createDataFrame(
         rows, "label string, text string, score double")).collect()))
     assert stream == batch
@@ -126,8 +128,10 @@ def test_stream_answers_and_chat_log(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "answers")
     q = streams.answer_questions(spark, src, idx, out, os.path.join(tmpdir_path, "ck1"))
     _wait(q)
-    got = spark.read.parquet(out).collect()
-    assert [(r.qid, r.doc_id) for r in got] == [(1, "1")]
+    assert [(r.qid, r.doc_id) for r in spark.read.parquet(f"{out}/hits").collect()] == [(1, "1")]
+    answers = spark.read.parquet(f"{out}/answers").collect()
+    assert [(r.qid, r.answer) for r in answers] == [(1, "red fish")] and "red" in answers[0].prompt
+    assert sorted((r.pos, r.word) for r in spark.read.parquet(f"{out}/words").collect()) == [(0, "red "), (1, "fish ")]
     log_src = os.path.join(tmpdir_path, "log")
     spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string") \
         .write.parquet(log_src)
