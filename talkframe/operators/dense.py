@@ -78,8 +78,11 @@ def _block_topk(spec: _Spec):
         if spec.positive_only:
             valid &= s > 0
         if spec.exclude_self:
-            valid &= qids[:, None] != dids[None, :]
-        key = np.round(s, SCORE_DIGITS)
+            # ids as numbers once, not as strings for each pair
+            codes = pd.factorize(np.concatenate([qids, dids]))[0]
+            valid &= codes[:len(qids), None] != codes[None, len(qids):]
+        # half up, as the global cut rounds; the margin covers products just below a half
+        key = np.floor(s * 10.0 ** SCORE_DIGITS + 0.5 + 1e-9) / 10.0 ** SCORE_DIGITS
         key = key if ascending else -key
         key = np.where(valid, key, np.inf)
         k = min(spec.k, s.shape[1])
@@ -107,7 +110,8 @@ def blocked_search(queries: DataFrame, docs: DataFrame, fields: list, k: int,
                    query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
     """Exact top-k per query. ``queries``: (qid, fields..., [key]); ``docs``: (doc_id, ...).
 
-    Returns (qid, doc_id, score, rank); ``qid`` and ``doc_id`` are strings.
+    Vectors that are NULL or hold a NULL or NaN are left out (a query then has no hits), and
+    only vectors of equal dimensions meet. Returns (qid, doc_id, score, rank); ``qid`` and ``doc_id`` are strings.
     """
     boosts = list(boosts or [1.0] * len(fields))
     spec = _Spec(tuple(fields), tuple(float(b) for b in boosts), metric, k, positive_only,
@@ -117,6 +121,11 @@ def blocked_search(queries: DataFrame, docs: DataFrame, fields: list, k: int,
                        *[as_double(f).alias(f) for f in fields])
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), kq.alias("_key"),
                     *[as_double(f).alias(f) for f in fields])
+    for f in fields:
+        sound = F.col(f).isNotNull() & ~F.exists(f, lambda x: x.isNull() | F.isnan(x))
+        q, d = q.where(sound), d.where(sound)
+    dims = F.concat_ws(",", *[F.size(f) for f in fields]).alias("_dims")
+    q, d = q.select("*", dims), d.select("*", dims)
     if key is None:
         # one global key: block counts are two numbers, used as literals (no join at all)
         n_qb = max(1, math.ceil(q.count() / query_block))
@@ -143,7 +152,7 @@ def blocked_search(queries: DataFrame, docs: DataFrame, fields: list, k: int,
                .withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.col("_nd")))
                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
                .drop("_nq", "_nd"))
-    keys = ["_key", "_qb", "_db"]
+    keys = ["_key", "_qb", "_db", "_dims"]
     local = (qb.groupBy(*keys).cogroup(db.groupBy(*keys))
                .applyInPandas(_block_topk(spec), "qid string, doc_id string, score double"))
     _, ascending = METRICS[metric]

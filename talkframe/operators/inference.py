@@ -33,23 +33,65 @@ def _model(factory: Callable, name: str | None = None):
     return kept[key]
 
 
+def _in_batches(fn: Callable, texts: list, batch_size: int, *more) -> tuple[list, list]:
+    """(results, errors) of ``fn`` over batches: a batch that fails or returns another number
+    of results than texts has NULL results and the error, and shifts nothing."""
+    out, errors = [], []
+    for i in range(0, len(texts), batch_size):
+        part = texts[i:i + batch_size]
+        try:
+            res = list(fn(part, *more))
+            if len(res) != len(part):
+                raise ValueError(f"{len(res)} results for {len(part)} texts")
+            out += res
+            errors += [None] * len(part)
+        except Exception as e:  # noqa: BLE001 - reported per row
+            out += [None] * len(part)
+            errors += [repr(e)] * len(part)
+    return out, errors
+
+
 def encode(df: DataFrame, text_col: str, out: str, factory: Callable[[], Callable],
-           dims: int | None = None, batch_size: int = 32) -> DataFrame:
+           dims: int | None = None, batch_size: int = 32, error: str | None = None) -> DataFrame:
     """``factory()`` returns ``fn(list[str]) -> list[list[float]]``; vectors are cut to
-    ``dims`` (B7, no renormalising) when given."""
+    ``dims`` (B7, no renormalising) when given. Rows of a failing batch get a NULL vector, and
+    the error in the column ``error`` if one is named."""
 
-    @pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = _model(factory)
         for texts in batches:
-            vals = []
-            for i in range(0, len(texts), batch_size):
-                for v in fn(texts.iloc[i:i + batch_size].fillna("").tolist()):
-                    v = list(v)
-                    vals.append(v[:dims] if dims else v)
-            yield pd.Series(vals)
-
-    return df.withColumn(out, run(F.col(text_col)))
+            vals, errors = _in_batches(fn, texts.fillna("").tolist(), batch_size)
+            vals = [None if v is None else list(v)[:dims] if dims else list(v) for v in vals]
+            yield pd.DataFrame({"vector": pd.Series(vals, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    got = df.withColumn("_encoded", run(F.col(text_col)))
+    got = got.withColumn(out, F.col("_encoded.vector"))
+    return (got.withColumn(error, F.col("_encoded.error")) if error else got).drop("_encoded")
+
+
+def entities(df: DataFrame, key: str, text: str, labels: list, factory: Callable[[], Callable],
+             batch_size: int = 32) -> DataFrame:
+    """``factory()`` returns ``fn(list[str], labels) -> list[list[(label, text, score)]]``, a
+    model that looks for the user's labels.
+
+    Returns (key, label, text, score, error): a row per mention, and one with only the error for
+    each text of a failing batch (``topics.topic_stats`` takes those without an error).
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        fn = _model(factory)
+        for pdf in batches:
+            found, errors = _in_batches(fn, pdf["_text"].fillna("").tolist(), batch_size, labels)
+            rows = []
+            for k, mentions, e in zip(pdf["_key"], found, errors):
+                rows += [(k, None, None, None, e)] if e else [(k, lb, t, float(s), None) for lb, t, s in mentions]
+            yield pd.DataFrame(rows, columns=[key, "label", "text", "score", "error"]).astype(
+                {"label": object, "text": object, "score": "float64", "error": object})
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(
+        run, f"{key} {kind}, label string, text string, score double, error string")
 
 
 def transcribe(segments: DataFrame, factory: Callable[[], Callable]) -> DataFrame:

@@ -14,6 +14,16 @@ from ..operators import rag, transcript
 from ..sources import files, index_io
 
 
+def add_vectors(df: DataFrame, text: str, dims: int, encoder: Callable | None,
+                keep: list | None = None) -> DataFrame:
+    """J1 for every ingest path: the encoder hook when given, else the hashed default."""
+    keep = list(keep if keep is not None else df.columns)
+    if encoder is None:
+        return with_hash_vector(df, text, "vector", dims, keep=keep)
+    from ..operators.inference import encode
+    return encode(df, text, "vector", encoder, dims).select(*keep, "vector")
+
+
 def episode_documents(episodes: DataFrame, dims: int = 768,
                       encoder: Callable | None = None) -> DataFrame:
     """K3 (sample path): chunks of landed episodes -> (episode_id, id, text, vector).
@@ -23,17 +33,15 @@ def episode_documents(episodes: DataFrame, dims: int = 768,
     # the sample file carries chunk ids; a chunk without one gets its 1-based position
     docs = ch.select("episode_id", F.coalesce(F.col("id"), (F.col("pos") + 1).cast("string"))
                      .alias("id"), "text")
-    if encoder is None:
-        return with_hash_vector(docs, "text", "vector", dims)
-    from ..operators.inference import encode
-    return encode(docs, "text", "vector", encoder, dims)
+    return add_vectors(docs, "text", dims, encoder)
 
 
-def transcript_documents(parts: DataFrame, dims: int = 768) -> DataFrame:
+def transcript_documents(parts: DataFrame, dims: int = 768,
+                         encoder: Callable | None = None) -> DataFrame:
     """K3 (transcription path): transcribed parts (media_id, part, text) -> sentence chunks
-    numbered across parts (G1 + E3) -> hashed vectors."""
+    numbered across parts (G1 + E3) -> vectors by the J1 hook or the hashed default."""
     ch = transcript.renumber_chunks(parts, "media_id", "part", "text")
-    return with_hash_vector(ch.select("media_id", "id", "text"), "text", "vector", dims)
+    return add_vectors(ch.select("media_id", "id", "text"), "text", dims, encoder)
 
 
 def index_documents(docs: DataFrame, root: str, dims: int) -> None:
@@ -60,11 +68,12 @@ def build_ground_truth(chunks: DataFrame, done: DataFrame | None, out_path: str
 
 
 def episodes_from_urls(urls: DataFrame, catalogue: DataFrame, entries: DataFrame,
-                       dims: int = 768, threshold: float = 0.95) -> DataFrame:
+                       dims: int = 768, threshold: float = 0.95,
+                       encoder: Callable | None = None) -> DataFrame:
     """K3, URL path, for a table of episode URLs.
 
     H3 (podcast id, title from the URL) -> B12 (catalogue lookup) -> the podcast's feed
-    entries -> H2 + J1 (normalised titles, default encoder) -> C3 (nearest entry of that feed,
+    entries -> H2 + J1 (normalised titles, encoder hook or default) -> C3 (nearest entry of that feed,
     ties to the earlier feed position) -> B3/B9 (0.95 gate, status) -> A13 (target path).
 
     ``catalogue``: (collection_id, collection_name, artist_name, feed_url);
@@ -84,11 +93,11 @@ def episodes_from_urls(urls: DataFrame, catalogue: DataFrame, entries: DataFrame
                     .select("podcast_id", "collection_name", "feed_url"), "podcast_id")
           .select(F.col("url").alias("qid"), "feed_url",
                   title_normalize("episode_title").alias("norm")))
-    q = with_hash_vector(q, "norm", "vector", dims, keep=["qid", "feed_url"])
+    q = add_vectors(q, "norm", dims, encoder, ["qid", "feed_url"])
     # zero-padded position: the string tie-break then follows the feed order
     e = entries.select("feed_url", F.lpad(F.col("pos").cast("string"), 12, "0").alias("doc_id"),
                        title_normalize("title").alias("norm"))
-    e = with_hash_vector(e, "norm", "vector", dims, keep=["doc_id", "feed_url"])
+    e = add_vectors(e, "norm", dims, encoder, ["doc_id", "feed_url"])
     best = nearest_in_feed(q, e, "feed_url", threshold=threshold)
     chosen = (best.withColumnRenamed("qid", "url")
                   .withColumn("pos", F.col("doc_id").cast("bigint")).drop("doc_id"))

@@ -154,3 +154,35 @@ def test_checkpoints_need_a_shared_folder():
             get = staticmethod(lambda *a: None)
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_invalid_vectors_are_left_out(spark):
+    from talkframe.operators import dense
+    rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", None), ("d", [1.0]), ("e", [float("nan"), 1.0]), ("f", [None, 1.0])]
+    v = spark.createDataFrame(rows, "doc_id string, vector array<float>")
+    hits = dense.search(v.withColumnRenamed("doc_id", "qid"), v, "vector", 5, "cosine").collect()
+    assert sorted((r.qid, r.doc_id) for r in hits) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("d", "d")]
+
+
+def test_hooks_report_errors_per_row(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "id long, t string").coalesce(1)
+    bad = inference.encode(df, "t", "v", lambda: lambda texts: [[1.0]], error="why").collect()
+    assert all(r.v is None and "1 results for 4 texts" in r.why for r in bad)
+    names = lambda: lambda texts, labels: [[(labels[0], t.split()[-1], 0.5)] for t in texts]
+    got = inference.entities(df, "id", "t", ["Number", "Person"], names).collect()
+    assert sorted((r.id, r.label, r.text, r.score, r.error) for r in got) == [(i, "Number", str(i), 0.5, None) for i in range(4)]
+
+    def broken():
+        def fn(texts, labels):
+            raise RuntimeError("no model")
+        return fn
+    failed = inference.entities(df, "id", "t", ["Number"], broken).collect()
+    assert len(failed) == 4 and all("no model" in r.error and r.label is None for r in failed)
+
+
+def test_every_ingest_path_takes_the_encoder(spark):
+    from talkframe.plans import ingest
+    enc = lambda: lambda texts: [[float(len(t)), 1.0, 2.0] for t in texts]
+    parts = spark.createDataFrame([("m", 1, "One. Two.")], "media_id string, part long, text string")
+    assert sorted((r.id, r.vector) for r in ingest.transcript_documents(parts, 2, enc).collect()) == [
+        ("1", [4.0, 1.0]), ("2", [4.0, 1.0])]
