@@ -62,14 +62,6 @@ def term_runs(sorted_col: str, size_col: str) -> Column:
     return F.when(n > 0, runs).otherwise(empty)
 
 
-def with_term_counts(df, tokens: Column, out: str = "tc", keep: list | None = None):
-    """Project ``keep`` columns plus ``out`` = term_runs of ``tokens`` (three projections)."""
-    keep = list(keep if keep is not None else df.columns)
-    x = df.select(*keep, F.sort_array(tokens).alias("_s"))
-    x = x.select(*keep, "_s", F.size("_s").alias("_n"))
-    return x.select(*keep, term_runs("_s", "_n").alias(out))
-
-
 def title_normalize(col) -> Column:
     """H2: delete '.', other punctuation becomes a space, lowercase, squeeze spaces."""
     c = F.regexp_replace(_c(col), r"\.", "")

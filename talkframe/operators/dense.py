@@ -195,12 +195,14 @@ def mean_pool(df: DataFrame, key: str, vector: str, out: str = "vector") -> Data
 
 
 def ann_search(queries: DataFrame, docs: DataFrame, vector: str = "vector", k: int = 5,
-               n_cells: int = 16, nprobe: int = 4, metric: str = "cos_distance",
+               n_cells: int | None = None, nprobe: int = 4, metric: str = "cos_distance",
                seed: int = 42, max_iter: int = 20) -> DataFrame:
     """C4 approximate path: KMeans cells on unit vectors, each query searched exactly in the
     ``nprobe`` cells nearest to it (|a-b|^2 = 2(1-cos) on unit vectors).
 
-    The centroids (``n_cells`` x dims, a parameter, not data-sized) travel with the UDF that
+    Without ``n_cells`` there are about sqrt(documents) cells, so that with a fixed ``nprobe`` a
+    query reads a share of the collection that shrinks as it grows; raise ``nprobe`` for recall.
+    The centroids (``n_cells`` x dims) travel with the UDF that
     picks the probes; documents and queries meet per (cell, block) in the exact kernel.
     Returns (qid, doc_id, score, rank).
     """
@@ -212,6 +214,7 @@ def ann_search(queries: DataFrame, docs: DataFrame, vector: str = "vector", k: i
         n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
         return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
+    n_cells = n_cells or max(1, math.isqrt(docs.count()))
     d = docs.select(F.col("doc_id"), unit(vector).alias(vector))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f",
                    predictionCol="cell").fit(d.select(array_to_vector(vector).alias("_f")))
@@ -225,7 +228,8 @@ def ann_search(queries: DataFrame, docs: DataFrame, vector: str = "vector", k: i
     def probes(vs: pd.Series) -> pd.Series:
         m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else \
             np.zeros((0, centers.shape[1]))
-        dist = ((m[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+        # squared distances up to the query's own norm, as one matrix product
+        dist = (centers ** 2).sum(axis=1)[None, :] - 2.0 * (m @ centers.T)
         order = np.argsort(dist, axis=1, kind="stable")[:, :nprobe]
         return pd.Series([row.astype(np.int32).tolist() for row in order])
 

@@ -341,6 +341,14 @@ cells AS (SELECT ranks.rank, labels.label, coalesce(top.text, '') AS text
   LEFT JOIN top ON top.rank = ranks.rank AND top.label = labels.label)
 SELECT * REPLACE (CAST(rank AS BIGINT) AS rank) FROM (PIVOT cells ON label USING first(text) GROUP BY rank)"""
 
+SQL["topic_report"] = r"""
+WITH m AS (SELECT 'Number' AS label, unnest(regexp_extract_all(coalesce(text, ''), '\p{N}+')) AS text FROM documents
+  UNION ALL SELECT 'Capitalized', unnest(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{Ll}+')) FROM documents),
+r AS (SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, text) AS rank FROM m GROUP BY label, text)
+SELECT rank, coalesce(max(CASE WHEN label = 'Number' THEN text END), '') AS "Number",
+  coalesce(max(CASE WHEN label = 'Capitalized' THEN text END), '') AS "Capitalized"
+FROM r WHERE rank <= 15 GROUP BY rank"""
+
 # ---------------------------------------------------------------- URLs, HTML, media, catalogue
 
 SQL["url_episode"] = """

@@ -24,7 +24,7 @@ class Index:
     sparse: sparse.SparseIndex | None = None
     vectors: DataFrame | None = None
     approximate: bool = False
-    n_cells: int = 16
+    n_cells: int | None = None
     nprobe: int = 4
 
 
@@ -38,7 +38,7 @@ def create_index(backend: str, docs: DataFrame, text_fields=("text",), keyword_f
         v = docs.select(docs["id"].cast("string").alias("doc_id"), docs[vector].alias("vector"),
                         *[c for c in docs.columns if c == "text"])
         return Index(backend, vectors=v, approximate=kw.get("approximate", False),
-                     n_cells=kw.get("n_cells", 16), nprobe=kw.get("nprobe", 4))
+                     n_cells=kw.get("n_cells"), nprobe=kw.get("nprobe", 4))
     raise ValueError(f"unknown backend {backend!r}; expected one of {BACKENDS}")
 
 

@@ -468,6 +468,14 @@ def topic_pivot(spark, sf_dir):
     return topics.pivot(ranked)
 
 
+@query("topic_report")
+def topic_report(spark, sf_dir):
+    """K6: extraction over every whole document -> stats -> top 15 per label -> pivot."""
+    from .operators import topics
+    d = table(spark, sf_dir, "documents")
+    return topics.report(d, "doc_id", "text", topics.DEFAULT_RULES)
+
+
 # ---------------------------------------------------------------- URLs, HTML, media, catalogue
 
 @query("url_episode")

@@ -186,3 +186,16 @@ def test_every_ingest_path_takes_the_encoder(spark):
     parts = spark.createDataFrame([("m", 1, "One. Two.")], "media_id string, part long, text string")
     assert sorted((r.id, r.vector) for r in ingest.transcript_documents(parts, 2, enc).collect()) == [
         ("1", [4.0, 1.0]), ("2", [4.0, 1.0])]
+
+
+def test_transcripts_round_trip_and_option(spark, tmpdir_path):
+    t = spark.createDataFrame([("m", " a b", ["a", "b"])], "media_id string, text string, c array<string>").selectExpr(
+        "media_id", "transform(c, x -> named_struct('text', x)) AS chunks", "text")
+    path = os.path.join(tmpdir_path, "tr")
+    files.write_transcripts(t, path)
+    files.write_transcripts(t, path)
+    back = spark.read.schema("media_id string, chunks array<struct<text:string>>, text string").json(path)
+    assert back.collect() == t.collect()
+    terms = spark.createDataFrame([("red",)], "term string")
+    cat = spark.createDataFrame([("1", "red one", "x"), ("2", "two red", "y")], "collection_id string, collection_name string, artist_name string")
+    assert [r.collection_id for r in catalog.select_option(catalog.term_search(terms, cat), 2).collect()] == ["2"]
