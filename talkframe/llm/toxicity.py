@@ -48,8 +48,10 @@ for _c in range(0x250):
     if "a" <= _base <= "z":
         _TABLE[_c] = ord(_base) - 96
 _TABLE[ord("\n")] = 0
-# distinct words of a task that are held before they are counted into the table of 4-grams
-HELD_WORDS = 200_000
+_SYMBOL = {chr(c): int(_TABLE[c]) for c in range(0x250)}
+# distinct words of a task that are held before they are counted into the table of 4-grams, or
+# whose features are kept
+HELD_WORDS = 50_000
 
 # documents with a label that the classifier is fitted on, at most; chosen by hash
 TRAIN_ROWS = 20_000
@@ -58,7 +60,7 @@ MIN_HASHES = 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
-PLAIN = re.compile(r"[^\W\d_]+")
+EDGES = ".,;:?\"'`´’“”«»()[]{}…-–—_~/\\"
 RUN3 = re.compile(r"(.)\1\1")
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -124,7 +126,7 @@ class Decoder:
     """Restores disguised tokens under a character model."""
 
     def __init__(self, logp: np.ndarray):
-        self.logp = logp
+        self.rows = logp.tolist()
 
     def _arcs(self, chars: str) -> list[list[tuple[str, float]]]:
         """The lattice of a token: for each run of one sign its readings and their costs."""
@@ -149,7 +151,7 @@ class Decoder:
     def best(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest reading of a lattice (Viterbi over the last three symbols; of equal
         ones the first in code point order)."""
-        square = SYMBOLS * SYMBOLS
+        square, rows = SYMBOLS * SYMBOLS, self.rows
         paths = {0: (0.0, None, "")}  # history -> score, path before, letters added
         for arcs in lattice:
             after: dict[int, tuple] = {}
@@ -159,17 +161,17 @@ class Decoder:
                     for c in letters:
                         if c == " ":
                             if h:
-                                score += float(self.logp[h, 0])
+                                score += rows[h][0]
                             h = 0
                         else:
-                            s = int(_symbols(c)[0])
-                            score += float(self.logp[h, s])
+                            s = _SYMBOL.get(c, 27)
+                            score += rows[h][s]
                             h = h % square * SYMBOLS + s
                     known = after.get(h)
                     if known is None or score > known[0]:
                         after[h] = (score, path, letters)
             paths = after
-        _, end = min((-(p[0] + (float(self.logp[h, 0]) if h else 0.0)), h) for h, p in paths.items())
+        _, end = min((-(p[0] + (rows[h][0] if h else 0.0)), h) for h, p in paths.items())
         path, out = paths[end], []
         while path is not None:
             out.append(path[2])
@@ -178,9 +180,11 @@ class Decoder:
 
     def token(self, token: str) -> str:
         """A lower-case token without its disguise."""
-        t = unicodedata.normalize("NFKC", token).lower().translate(HOMOGLYPHS)
-        core = t.strip(".,;:?\"'`´’“”«»()[]{}…-–—_~/\\")
-        if PLAIN.fullmatch(core) and not RUN3.search(core):
+        # most tokens are plain words and need nothing but their signs cut off
+        core = token.strip(EDGES)
+        if not core.isalpha() or max(core) >= "\u0250":
+            core = unicodedata.normalize("NFKC", token).lower().translate(HOMOGLYPHS).strip(EDGES)
+        if core.isalpha() and not RUN3.search(core):
             return core
         if not any(c.isalpha() for c in core):
             return core
@@ -213,32 +217,38 @@ def features(word: str) -> list[str]:
 class Scorer:
     """Score of a text: the chance that any of its restored words makes it toxic."""
 
-    MAX_TOKENS = 1 << 19  # kept scores of tokens (a bound on memory)
+    MAX_TOKENS = 1 << 18  # kept tokens (a bound on memory)
 
     def __init__(self, logp: np.ndarray, shares: dict[str, float]):
-        self.decoder, self.shares, self.kept = Decoder(logp), shares, {}
+        self.decoder, self.shares = Decoder(logp), shares
+        self.clean: set[str] = set()
+        self.toxic: dict[str, float] = {}
 
     def _token(self, token: str) -> float:
-        found = max((self.shares.get(f, 0.0) for w in self.decoder.token(token).split() for f in features(w)), default=0.0)
-        if len(self.kept) >= self.MAX_TOKENS:
-            self.kept.clear()
-        self.kept[token] = found
+        """Share of a token that isn't known yet."""
+        found, get = 0.0, self.shares.get
+        for w in self.decoder.token(token).split():
+            for f in features(w):
+                found = max(found, get(f, 0.0))
+        if len(self.clean) + len(self.toxic) >= self.MAX_TOKENS:
+            self.clean.clear()
+            self.toxic.clear()
+        if found:
+            self.toxic[token] = found
+        else:
+            self.clean.add(token)
         return found
 
     def score(self, text: str | None) -> float:
         if not text:
             return 0.0
-        kept, clean = self.kept, 1.0
         tokens = set(text.lower().split())
         for run in SPACED.findall(text):
             tokens.update(self.decoder.spaced(run).split())
-        for t in tokens:
-            s = kept.get(t)
-            if s is None:
-                s = self._token(t)
-            if s:
-                clean *= 1.0 - s
-        return 1.0 - clean
+        rest = 1.0
+        for t in sorted(tokens - self.clean):
+            rest *= 1.0 - (self.toxic.get(t) or self._token(t))
+        return 1.0 - rest
 
 
 def _text_features(decoder: Decoder, text: str, words: dict[str, list[str]]) -> set[str]:
