@@ -40,6 +40,8 @@ class Transducer:
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        # one object per id, shared by all pieces that are kept
+        self.ids = list(range(max(ranks.values()) + 1))
         # trie: node -> {byte: node}; node -> id of the token that ends there
         self.kids: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -54,14 +56,15 @@ class Transducer:
             self.ends[at] = r
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[tuple[int, int], list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
         # a state is a tuple of open starts, oldest first: (trie node, last token before it)
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, int]]] = []
+        # state * 256 + byte -> next state << 32 | last token
+        self.steps: dict[int, int] = {}
         self.start = self._number(((0, -1),))
 
     def _number(self, state: tuple) -> int:
@@ -69,7 +72,6 @@ class Transducer:
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
         return n
 
     def _split(self, token: int) -> tuple[int, int] | None:
@@ -104,7 +106,7 @@ class Transducer:
     def _stays(self, a: int, b: int) -> bool:
         """Whether tokens a, b side by side are the outcome for their bytes: while each is merged
         in the order of ranks, no merge over the border may come first."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             known = self._reached(b)
             if known and a >= 0:
@@ -126,17 +128,19 @@ class Transducer:
                         j += 1
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            self.pairs[(a, b)] = known
+            self.pairs[a << 32 | b] = known
         return known
 
-    def _step(self, number: int, byte: int) -> tuple[int, int]:
+    def _step(self, number: int, byte: int) -> int:
+        """The step of a state on a byte, worked out and kept."""
         grown, last = [], -1
+        kids, ends = self.kids, self.ends
         for node, before in self.states[number]:
-            node = self.kids[node].get(byte)
+            node = kids[node].get(byte)
             if node is not None:
-                if self.kids[node]:
+                if kids[node]:
                     grown.append((node, before))
-                t = self.ends[node]
+                t = ends[node]
                 # the one start whose token goes with the token before it
                 if t >= 0 and last < 0 and self._stays(before, t):
                     last = t
@@ -144,44 +148,57 @@ class Transducer:
             raise ValueError(f"no token ends at byte {byte}: the vocabulary lacks single bytes")
         if len(self.states) >= MAX_STATES:
             self._clear()
-        return self._number((*grown, (0, last))), last
+            return self._number((*grown, (0, last))) << 32 | last
+        grown.append((0, last))
+        found = self.steps[number << 8 | byte] = self._number(tuple(grown)) << 32 | last
+        return found
+
+    def _chain(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens up to ``end``, by the last token at each byte."""
+        out, token, ids = [], self.token, self.ids
+        while end:
+            t = ids[lasts[end - 1]]
+            out.append(t)
+            end -= len(token[t])
+        out.reverse()
+        return out
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Token ids of one piece of bytes, emitted once they are final."""
         lasts: list[int] = []  # last token at each byte since the last emission
-        at, token = self.start, self.token
-
-        def chain(end: int) -> list[int]:
-            out = []
-            while end:
-                out.append(lasts[end - 1])
-                end -= len(token[out[-1]])
-            return out[::-1]
-
-        for byte in data:
-            kept = self.steps[at].get(byte)
-            if kept is None:
-                steps = self.steps
-                kept = self._step(at, byte)
-                if steps is self.steps:
-                    steps[at][byte] = kept
-            at, last = kept
-            lasts.append(last)
-            if len(lasts) >= FLUSH:
-                # every open start lies within the longest token: compare the chains up to there
-                n = len(lasts)
-                chains = [chain(end) for end in range(max(1, n - self.longest), n + 1)]
-                common = 0
-                while all(len(c) > common and c[common] == chains[0][common] for c in chains):
-                    common += 1
-                final = chains[0][:common]
-                yield from final
-                del lasts[:sum(len(token[t]) for t in final)]
-        yield from chain(len(lasts))
+        at = self.start
+        for begin in range(0, len(data), FLUSH):
+            for byte in data[begin:begin + FLUSH]:
+                step = self.steps.get(at << 8 | byte)
+                if step is None:
+                    step = self._step(at, byte)
+                at = step >> 32
+                lasts.append(step & 0xFFFFFFFF)
+            # every open start lies within the longest token: what the chains up to there share
+            # is final
+            n = len(lasts)
+            chains = [self._chain(lasts, end) for end in range(max(1, n - self.longest), n + 1)]
+            common = 0
+            while all(len(c) > common and c[common] == chains[0][common] for c in chains):
+                common += 1
+            final = chains[0][:common]
+            yield from final
+            del lasts[:sum(len(self.token[t]) for t in final)]
+        yield from self._chain(lasts, len(lasts))
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece of bytes."""
-        return list(self.stream(data))
+        if len(data) > FLUSH:
+            return list(self.stream(data))
+        lasts, at, kept = [], self.start, self.steps.get
+        for byte in data:
+            step = kept(at << 8 | byte)
+            if step is None:
+                step = self._step(at, byte)
+                kept = self.steps.get
+            at = step >> 32
+            lasts.append(step & 0xFFFFFFFF)
+        return self._chain(lasts, len(lasts))
 
 
 # texts below this code point are split by the standard library, which is several times faster
@@ -222,33 +239,42 @@ def _splitter(pattern: str, fast: bool):
 class Encoder:
     """Encodes texts: pieces of the split pattern, each through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 1 << 18):
         self.fst = Transducer(ranks)
         self.split = _splitter(pattern, False)
         self.split_latin = _splitter(pattern, True)
+        self.names = [str(i) for i in self.fst.ids]
         self.max_pieces = max_pieces
-        self.pieces: dict[str, tuple[str, list[int]]] = {}
+        # ids of pieces, in two generations: a full one becomes the older one, which lookups still find
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def _piece(self, piece: str) -> tuple[str, list[int]]:
-        """(ids joined by commas, ids) of a piece."""
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.fst.ranks.get(raw)
-        ids = [whole] if whole is not None else self.fst.encode(raw)
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.fst.ranks.get(raw)
+            found = (self.fst.ids[whole],) if whole is not None else tuple(self.fst.encode(raw))
         if len(self.pieces) >= self.max_pieces:
-            self.pieces.clear()
-        found = (",".join(map(str, ids)), ids)
+            self.older, self.pieces = self.pieces, {}
         self.pieces[piece] = found
         return found
 
-    def encoded(self, text: str) -> Iterator[tuple[str, list[int]]]:
-        """(ids joined by commas, ids) of each piece in order."""
+    def encode(self, text: str) -> list[int]:
+        """Token ids of a text."""
+        out: list[int] = []
         kept = self.pieces
         for piece in (self.split_latin if max(text, default="") < chr(LATIN) else self.split)(text):
-            found = kept.get(piece)
-            yield found if found is not None else self._piece(piece)
-
-    def encode(self, text: str) -> list[int]:
-        return [i for _, ids in self.encoded(text) for i in ids]
+            ids = kept.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+                kept = self.pieces
+            out += ids
+        return out
+
+    def joined(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids))
 
 
 # tokens that are put together before the state machine sees them

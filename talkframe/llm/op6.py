@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, decode_stream, load_ranks
 from .common import per_worker, table
 
+# ids that one batch of rows hands on at a time
+BATCH_TOKENS = 1 << 19
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -37,24 +40,27 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         enc = _encoder(vocabulary, pattern)
         token = enc.fst.token
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for t in b.column(1):
-                pieces = list(enc.encoded(t.as_py() or ""))
-                ids = [i for _, p in pieces for i in p]
+            first, counts, digests, backs, held, tokens = 0, [], [], [], [], 0
+            for row, t in enumerate(b.column(1)):
+                ids = enc.encode(t.as_py() or "")
                 back = hashlib.sha256()
                 for part in decode_stream(ids, token):
                     back.update(part.encode())
-                cols[0].append(len(ids))
-                cols[1].append(hashlib.sha256(",".join([s for s, _ in pieces]).encode()).hexdigest())
-                cols[2].append(back.hexdigest())
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(enc.joined(ids).encode()).hexdigest())
+                backs.append(back.hexdigest())
                 if keep_ids:
-                    cols[3].append(ids)
-            arrays = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                arrays.append(pa.array(cols[3], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    held.append(np.array(ids, np.int32))
+                    tokens += len(ids)
+                if tokens >= BATCH_TOKENS or row == len(b) - 1:
+                    arrays = [b.column(0).slice(first, len(counts)), pa.array(counts, pa.int64()), pa.array(digests), pa.array(backs)]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if keep_ids:
+                        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                        arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(held)))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    first, counts, digests, backs, held, tokens = row + 1, [], [], [], [], 0
 
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
