@@ -10,6 +10,7 @@ wrapper's places (template, menu, content) then say which text of each page is t
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -215,36 +216,48 @@ def tree(html: str) -> list:
     return root
 
 
+def _slim(text: str) -> str:
+    """A long text by its hash."""
+    return text if len(text) <= 64 else "#" + hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def slim(node: list) -> list:
     """Long constant texts by their hash, so that a wrapper stays small."""
-    if node[TEXT] and len(node[TEXT]) > 64:
-        import hashlib
-        node[TEXT] = "#" + hashlib.sha1(node[TEXT].encode("utf-8", "surrogatepass")).hexdigest()
+    if node[TEXT]:
+        node[TEXT] = _slim(node[TEXT])
     for k in node[KIDS]:
         slim(k)
     return node
 
 
-def roles(wrapper: list) -> dict[str, list[str]]:
-    """{"drop": paths, "main": paths} of a wrapper; a path is the signatures from the root on.
+# A place of a wrapper as its pages need it: [signature, dropped, text, kids, texts]. kids only where a place
+# below is dropped; texts: the dropped texts below.
+DROP, PLACE_TEXT, PLACES, TEXTS = range(1, 5)
+
+
+def roles(wrapper: list) -> dict:
+    """{"drop": places, "main": paths} of a wrapper; a path is the signatures from the root on.
 
     Dropped are places that hold the same text on all of LEAST_PAGES pages or more, and places
-    outside the main element whose text is mostly links. Main are article and main elements; where
-    a host has none, the smallest element that holds most of the text that differs.
+    outside the main element whose text is mostly links. They are nodes of the wrapper, not paths: of
+    places with one path some may be dropped (null: none is). Main is, where a host has no article
+    and main elements, the smallest element that holds most of the text that differs.
     """
-    drop, main, mass = [], [], {}
+    dropped: set[int] = set()
+    mass: list[tuple[int, str, int, str]] = []
+    any_main = False
 
     def walk(node, path, inside):
+        nonlocal any_main
         name = node[SIG].split(".")[0]
         here = f"{path}/{node[SIG]}" if path or node[SIG] else ""
-        if name in MAIN and not inside:
-            main.append(here)
+        any_main = any_main or name in MAIN
         inside = inside or name in MAIN
         if name in FURNITURE or {w.lower() for w in WORD.findall(node[SIG])[1:]} & MARKS and name not in MAIN:
             return 0, 0, 0
         if node[SIG] == "#text":
             if not inside and node[PAGES] >= LEAST_PAGES and node[TEXT]:
-                drop.append(here)
+                dropped.add(id(node))
                 return 0, 0, 0
             return node[CHARS], node[LINKS], 0 if node[TEXT] else node[CHARS]
         chars = links = varying = 0
@@ -252,19 +265,112 @@ def roles(wrapper: list) -> dict[str, list[str]]:
             c, li, v = walk(k, here, inside)
             chars, links, varying = chars + c, links + li, varying + v
         if not inside and name in ("ul", "ol", "div", "section", "table", "p") and chars and links > LINKED * chars:
-            drop.append(here)
+            dropped.add(id(node))
             return 0, 0, 0
-        mass[here] = (varying, here.count("/"))
+        mass.append((here.count("/"), here, varying, name))
         return chars, links, varying
 
     _, _, total = walk(wrapper, "", False)
-    if not main and total and wrapper[PAGES] >= LEAST_PAGES:
-        good = [p for p, (v, _) in mass.items() if p and 2 * v > total and p.rsplit("/", 1)[-1].split(".")[0] not in INLINE | {"p", "li", "td"}]
-        main = [max(good, key=lambda p: (mass[p][1], p))] if good else []
-    return {"drop": sorted(set(drop)), "main": sorted(set(main))}
+    main = []
+    if not any_main and total and wrapper[PAGES] >= LEAST_PAGES:
+        good = [(depth, path) for depth, path, v, name in mass
+                if path and 2 * v > total and name not in INLINE | {"p", "li", "td"}]
+        main = [max(good)[1]] if good else []
+
+    def places(node):
+        gone = id(node) in dropped
+        kids = [] if gone else [places(k) for k in node[KIDS]]
+        text = node[TEXT] if gone and node[SIG] == "#text" else None
+        texts = sorted({text} if text else {t for k in kids for t in k[TEXTS]})
+        return [node[SIG], gone, text, kids if any(k[DROP] or k[PLACES] for k in kids) else [], texts]
+
+    return {"drop": places(wrapper) if dropped else None, "main": main}
+
+
+def _folded(kids: list[list]) -> list[list[list]]:
+    """Children of a page's element as groups, as ``fold`` makes them of a wrapper's."""
+    out: list[list[list]] = []
+    for k in kids:
+        if out and out[-1][0][0] == k[0]:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    for size in (2, 3):
+        i = 0
+        while i + 2 * size <= len(out):
+            if all(out[i + j][0][0] == out[i + size + j][0][0] for j in range(size)):
+                for j in range(size):
+                    out[i + j] += out[i + size + j]
+                del out[i + size:i + 2 * size]
+            else:
+                i += 1
+    return out
+
+
+def _texts(node: list) -> set[str]:
+    sig, kids, text = node[:3]
+    return {_slim(text)} if sig == "#text" else set().union(*map(_texts, kids))
+
+
+def _fits(group: list[list], place: list) -> int:
+    """How well a group of a page's children fits a place (0: not at all). That signatures agree
+    counts most, then dropped texts, then the share of links."""
+    if group[0][0] != place[SIG]:
+        return 0
+    if place[PLACE_TEXT] is not None:
+        return 64 if all(_slim(k[2]) == place[PLACE_TEXT] for k in group) else 0
+    linked = sum(k[5] for k in group) > LINKED * sum(k[4] for k in group)
+    seen = 2 if not place[TEXTS] else 4 * any(_texts(k) & set(place[TEXTS]) for k in group)
+    return 64 + seen + (linked == place[DROP])
+
+
+def located(events: list[tuple], found: list) -> set[int]:
+    """The dropped elements and texts of a page, by the index of their event: its children are
+    aligned with the places of the wrapper as pages are with each other."""
+    # [signature, kids, text, event, chars, characters in links]
+    root = ["", [], None, -1, 0, 0]
+    stack, links = [root], 0
+    for i, (kind, what, _) in enumerate(events):
+        if kind == "open":
+            stack.append([what, [], None, i, 0, 0])
+            links += what.split(".")[0] == "a"
+        elif kind == "close":
+            done = stack.pop()
+            links -= what.split(".")[0] == "a"
+            up = stack[-1]
+            up[1].append(done)
+            up[4], up[5] = up[4] + done[4], up[5] + done[5]
+        elif not what.isspace():
+            text = " ".join(what.split())
+            n, up = len(text), stack[-1]
+            up[1].append(["#text", [], text, i, n, n if links else 0])
+            up[4], up[5] = up[4] + n, up[5] + (n if links else 0)
+    gone: set[int] = set()
+    todo = [(root, found)]
+    while todo:
+        node, place = todo.pop()
+        if place[DROP]:
+            gone.add(node[3])
+        groups, places = _folded(node[1]) if place[PLACES] else [], place[PLACES]
+        n, m = len(groups), len(places)
+        fit = [[_fits(g, p) for p in places] for g in groups]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + fit[i][j])
+        i = j = 0
+        while i < n and j < m:
+            if fit[i][j] and best[i][j] == best[i + 1][j + 1] + fit[i][j]:
+                todo += [(k, places[j]) for k in groups[i]]
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+    return gone
 
 
-def article(html: str | None, found: dict[str, list[str]] | None) -> str:
+def article(html: str | None, found: dict | None) -> str:
     """The main text of a page by the roles of its host's wrapper (none: of the page alone).
 
     Blocks in order, joined by one \\n; white space in a block is one space. Where a page lacks the
@@ -272,8 +378,9 @@ def article(html: str | None, found: dict[str, list[str]] | None) -> str:
     """
     if not html:
         return ""
-    found = found or {"drop": [], "main": []}
-    drop, main = set(found["drop"]), set(found["main"])
+    events = list(parse(html))
+    found = found or {"drop": None, "main": []}
+    drop, main = located(events, found["drop"]) if found["drop"] else (), set(found["main"])
     blocks: list[tuple[bool, str]] = []
     part: list[str] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # path, dropped, in the main element
@@ -285,10 +392,10 @@ def article(html: str | None, found: dict[str, list[str]] | None) -> str:
         if text:
             blocks.append((stack[-1][2], text))
 
-    for kind, what, mark in parse(html):
+    for i, (kind, what, mark) in enumerate(events):
         path, gone, inside = stack[-1]
         if kind == "text":
-            if not gone and f"{path}/#text" not in drop:
+            if not gone and i not in drop:
                 part.append(what)
             continue
         name = what.split(".", 1)[0]
@@ -300,7 +407,7 @@ def article(html: str | None, found: dict[str, list[str]] | None) -> str:
             here = f"{path}/{what}"
             is_main = name in MAIN or here in main
             # a header that belongs to the article is part of it
-            gone = gone or bool(mark) or here in drop or name == "header" and not inside
+            gone = gone or bool(mark) or i in drop or name == "header" and not inside
             any_main = any_main or is_main and not gone
             stack.append((here, gone, inside or is_main))
         elif len(stack) > 1:

@@ -67,3 +67,24 @@ def test_extract(spark):
         assert sorted((str(r.page_id), r.text) for r in got) == want
         assert all(r.n_chars == len(r.text) for r in got)
     assert W.extract(df.limit(0)).collect() == []
+
+
+def test_places_of_one_path_have_their_own_marks():
+    kinds = {
+        "notice": lambda k: (f"<body><p>Constant notice</p><h1>Title {k}</h1>" + "".join(f"<p>Body {k} {i}</p>" for i in range(1 + k % 3)) + "</body>",
+                             [f"Title {k}"] + [f"Body {k} {i}" for i in range(1 + k % 3)]),
+        "menu": lambda k: ("<body>" + ("<div>" + "".join(f'<a href="/{i}">item {k} {i}</a> ' for i in range(2 + k % 3)) + "</div>" if k % 4 else "")
+                           + f"<h1>Title {k}</h1><div>Article {k} with words of its own</div></body>",
+                           [f"Article {k} with words of its own"]),  # the smallest element with most of the text
+        "a text that equals the notice": lambda k: (f"<body><p>Notice</p><h1>Title {k}</h1><p>{'Notice' if k == 3 else f'A body of page {k}'}</p></body>",
+                                                    [f"Title {k}", "Notice" if k == 3 else f"A body of page {k}"]),
+    }
+    for kind, make in kinds.items():
+        pages = [make(k) for k in range(12)]
+        wrapper = None
+        for html, _ in pages:
+            t = W.slim(W.tree(html))
+            wrapper = t if wrapper is None else W.merge(wrapper, t)
+        found = W.roles(wrapper)
+        for html, want in pages:
+            assert W.article(html, found).split("\n") == want, kind
