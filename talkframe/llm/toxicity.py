@@ -1,7 +1,8 @@
 """Toxicity of noisy text: a Viterbi decoder undoes disguises, then the restored words are scored.
 
 The channel model says how a letter may have been written: as itself, as a look-alike digit or
-sign, repeated, or with signs or spaces between letters. Each suspicious token (or run of single
+sign, repeated, or with signs or spaces between letters. Accents and doubled letters are undone by
+further readings of a word, masks and pieces by the toxic words that were learnt. Each suspicious token (or run of single
 letters) is a lattice of what its signs may stand for; the path that a character model of
 the corpus (4-grams over all texts) and the channel together find likeliest is the restored text.
 Plain tokens have one path and need no search.
@@ -62,7 +63,8 @@ THRESHOLD = 0.3
 
 EDGES = ".,;:?\"'`´’“”«»()[]{}…-–—_~/\\"
 RUN3 = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+DOUBLED = re.compile(r"(.)\1+")
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -214,22 +216,74 @@ def features(word: str) -> list[str]:
     return [word + "$"] + [word[:k] for k in PREFIXES if len(word) > k]
 
 
+def readings(word: str) -> list[str]:
+    """A restored word, and if they differ the word without accents and also without doubled
+    letters. Texts that labels are learnt from are read the same way, so that a doubled letter
+    that belongs to a word and one that disguises it meet in the last reading."""
+    plain = word
+    if not word.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return list(dict.fromkeys([word, plain, DOUBLED.sub(r"\1", plain)]))
+
+
+def _token_features(decoder: Decoder, token: str) -> list[str]:
+    return [f for w in decoder.token(token).split() for v in readings(w) for f in features(v)]
+
+
+class Lexicon:
+    """The toxic words that were learnt, for disguises that hide letters or cut a word up."""
+
+    def __init__(self, shares: dict[str, float]):
+        self.words = {f[:-1]: s for f, s in shares.items() if f.endswith("$") and len(f) > 1}
+        self.begins = {w[:k] for w in self.words for k in range(1, len(w))}
+        self.by_length: dict[int, list[str]] = {}
+        for w in sorted(self.words):
+            self.by_length.setdefault(len(w), []).append(w)
+
+    def masked(self, token: str) -> float:
+        """Share of a token whose masks stand for one letter each ("st**id"); at least two letters
+        and half of the word must show."""
+        core = unicodedata.normalize("NFKC", token).lower().translate(HOMOGLYPHS).strip(EDGES)
+        hidden = sum(c in WILDCARDS for c in core)
+        known = self.by_length.get(len(core), ())
+        if not hidden or not known or sum(c.isalpha() for c in core) < 2 or 2 * hidden > len(core):
+            return 0.0
+        like = re.compile("".join("." if c in WILDCARDS else f"[{re.escape(c + LOOKALIKES.get(c, ''))}]" for c in core), re.S)
+        return max((self.words[w] for w in known if like.fullmatch(w)), default=0.0)
+
+    def parted(self, tokens: list[str]) -> set[str]:
+        """Words that neighbouring tokens are pieces of ("stu pid", "s tup id")."""
+        found: set[str] = set()
+        tokens = [t if t.isalpha() else t.strip(EDGES) for t in tokens]
+        if self.begins.isdisjoint(tokens):
+            return found
+        for i, t in enumerate(tokens):
+            j = i + 1
+            while t in self.begins and j < len(tokens):
+                t += tokens[j]
+                j += 1
+                if t in self.words:
+                    found.add(t)
+        return found
+
+
 class Scorer:
     """Score of a text: the chance that any of its restored words makes it toxic."""
 
     MAX_TOKENS = 1 << 18  # kept tokens (a bound on memory)
 
     def __init__(self, logp: np.ndarray, shares: dict[str, float]):
-        self.decoder, self.shares = Decoder(logp), shares
+        self.decoder, self.shares, self.lexicon = Decoder(logp), shares, Lexicon(shares)
         self.clean: set[str] = set()
         self.toxic: dict[str, float] = {}
 
     def _token(self, token: str) -> float:
         """Share of a token that isn't known yet."""
         found, get = 0.0, self.shares.get
-        for w in self.decoder.token(token).split():
-            for f in features(w):
-                found = max(found, get(f, 0.0))
+        for f in _token_features(self.decoder, token):
+            found = max(found, get(f, 0.0))
+        if not found and not token.isalpha():
+            found = self.lexicon.masked(token)
         if len(self.clean) + len(self.toxic) >= self.MAX_TOKENS:
             self.clean.clear()
             self.toxic.clear()
@@ -242,9 +296,11 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if not text:
             return 0.0
-        tokens = set(text.lower().split())
+        pieces = text.lower().split()
+        tokens = set(pieces)
         for run in SPACED.findall(text):
             tokens.update(self.decoder.spaced(run).split())
+        tokens |= self.lexicon.parted(pieces)
         rest = 1.0
         for t in sorted(tokens - self.clean):
             rest *= 1.0 - (self.toxic.get(t) or self._token(t))
@@ -262,7 +318,7 @@ def _text_features(decoder: Decoder, text: str, words: dict[str, list[str]]) ->
         if f is None:
             if len(words) >= HELD_WORDS:
                 words.clear()
-            f = words[token] = [x for w in decoder.token(token).split() for x in features(w)]
+            f = words[token] = _token_features(decoder, token)
         found.update(f)
     return found
 

@@ -98,3 +98,17 @@ def test_scores_and_stage(spark, tmp_path):
 def test_copies_count_once():
     texts = [(["a", "rare"], [1, 1])] * 50 + [(["a"], [k, k]) for k in range(2, 9)]
     assert T.origins(texts) == {"a": 8, "rare": 1}
+
+
+def test_doubled_masked_parted_and_accented_words_score(logp):
+    s = T.Scorer(logp, {"stupid$": 0.9, "stupi": 0.8, "idiot$": 0.9})
+    for noisy in ("stuupid", "sttuppid", "st**id", "s***id", "st#*id!", "s t u p i d", "s  t  u  p  i  d", "s\tt u\n p i d", "stu pid",
+                  "you are stu pi d", "(id iot)", "stüpid", "stüpid", "Stüüpid."):
+        assert s.score(f"the river {noisy} garden") >= 0.8, noisy
+    for clean in ("little yellow letter", "**letter**", "s*****", "#### river", "id the iot", "stu", "st**"):
+        assert s.score(f"the river {clean} garden") == 0.0, clean
+
+
+def test_doubled_letters_of_a_word_meet_their_disguise(logp):
+    found = [set(T._token_features(T.Decoder(logp), w)) for w in ("asshat", "ashat", "assshhat")]
+    assert "ashat$" in set.intersection(*found)
