@@ -12,6 +12,9 @@ from .op6 import op6_byte_bpe
 from .op7 import op7_html_text
 from .op8 import op8_warc
 from .op9 import op9_sharding
+from .op11 import op11_spelling
+from .op12 import op12_whitening
+from .op13 import op13_language
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_search": op10.op10_search,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_language": op13_language,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_search": op10.SQL}
