@@ -1,8 +1,8 @@
 """Text expressions: tokenising, title normalising, sentence split, HTML to text, word stream.
 
 Every function maps Columns to a Column and stays inside the JVM (whole-stage codegen for the
-scalar parts, higher-order functions for the array parts), but for the character references of
-HTML, which are decoded on Arrow batches.
+scalar parts, higher-order functions for the array parts), but for ``unescape``: the character
+references of HTML are decoded on Arrow batches.
 """
 
 from __future__ import annotations
@@ -19,8 +19,14 @@ from pyspark.sql.types import StringType
 # Word runs of two or more letters, digits or underscores (the vectoriser's default pattern
 # "(?u)\b\w\w+\b" written with Unicode classes so that Java and RE2 agree with Python).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# Rule-based sentence: a run without terminal punctuation, followed by its terminators.
-SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
+# White space, the same for every regular-expression engine.
+BLANK = r"[ \t\n\x0B\f\r]"
+# A sentence may end after a terminator, further terminators and closing marks, and white space.
+SENTENCE_END = r"""([.!?][.!?"')\]}”’»]*""" + BLANK + r"+)"
+# The word before a single period at the end of a piece; whether it is an abbreviation is learnt.
+WORD_BEFORE_PERIOD = r"([\p{L}\p{N}](?:[^ \t\n\x0B\f\r]*[\p{L}\p{N}])?)\." + BLANK + r"+\z"
+# Stands where a sentence ends; no character of any text (a text that holds it is cut there).
+END_MARK = "\uffff"
 # Leading / trailing whitespace (Python str.strip without arguments).
 EDGE_WHITESPACE = r"^\s+|\s+$"
 
@@ -42,26 +48,6 @@ def tokenize(col, pattern: str = TOKEN_PATTERN, lowercase: bool = True) -> Colum
     return F.regexp_extract_all(c, F.lit(pattern), 0)
 
 
-def term_runs(sorted_col: str, size_col: str) -> Column:
-    """array<string> (sorted, materialised in column ``sorted_col`` of size ``size_col``) ->
-    array<struct<term:string, tf:int>>: the runs of equal tokens and their lengths.
-
-    This gives term frequencies inside the row, without exploding tokens and shuffling on
-    (doc, term). The sorted array must be a column of an earlier projection: a lambda that
-    referred to the sort expression itself would re-sort for every element.
-    """
-    s, n = F.col(sorted_col), F.col(size_col)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (i <= n) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))),
-    )
-    ends = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n + 1))
-    runs = F.zip_with(starts, ends, lambda b, e: F.struct(
-        F.element_at(s, b).alias("term"), (e - b).alias("tf")))
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(n > 0, runs).otherwise(empty)
-
-
 def title_normalize(col) -> Column:
     """H2: delete '.', other punctuation becomes a space, lowercase, squeeze spaces."""
     c = F.regexp_replace(_c(col), r"\.", "")
@@ -71,10 +57,20 @@ def title_normalize(col) -> Column:
     return F.trim(c)
 
 
-def sentences(col) -> Column:
-    """H4: array of sentences (stripped, empty ones dropped)."""
-    parts = F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(SENTENCE_PATTERN), 0)
-    return F.filter(F.transform(parts, strip_all), lambda x: x != "")
+def sentences(col, abbreviations: list | None = None) -> Column:
+    """H4: array of sentences (stripped, empty ones dropped).
+
+    A sentence ends at '.', '!' or '?' (with what closes quotes and brackets) before white space, so
+    decimals and addresses stay whole. A period after one of the ``abbreviations`` (lower case, without
+    their period; see ``operators.sentences.learn_abbreviations``) ends none.
+    """
+    pieces = F.split(F.regexp_replace(F.coalesce(_c(col), F.lit("")), SENTENCE_END, f"$1{END_MARK}"), END_MARK)
+    if abbreviations:
+        def glued(p):
+            return F.lower(F.regexp_extract(p, WORD_BEFORE_PERIOD, 1)).isin(abbreviations)
+        whole = F.transform(pieces, lambda p: F.when(glued(p), p).otherwise(F.concat(p, F.lit(END_MARK))))
+        pieces = F.split(F.array_join(whole, ""), END_MARK)
+    return F.filter(F.transform(pieces, strip_all), lambda x: x != "")
 
 
 # Removal steps, in order (comments, doctype, script/style with their content,
@@ -90,7 +86,7 @@ HTML_STEPS = [
 
 
 @pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
+def unescape(texts: pd.Series) -> pd.Series:
     """All named and numeric character references of HTML, decoded once, on Arrow batches."""
     return texts.map(lambda t: html.unescape(t) if "&" in t else t)
 
@@ -100,7 +96,7 @@ def html_to_text(col) -> Column:
     c = F.coalesce(_c(col), F.lit(""))
     for pattern, repl in HTML_STEPS:
         c = F.regexp_replace(c, pattern, repl)
-    return _unescape(c)
+    return unescape(c)
 
 
 def words(col) -> Column:

@@ -3,10 +3,10 @@ E5 (latest episode = first feed entry), B3/B9 status columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from .substring import first_matches, term_matches
 
 FAIL = "Fail"
 SUCCESS = "Success"
@@ -17,32 +17,19 @@ def display_label(name, artist):
     return F.concat(name, F.lit(" by "), artist)
 
 
-def term_search(terms: DataFrame, catalogue: DataFrame, limit: int = 3) -> DataFrame:
-    """Every catalogue entry whose name holds all tokens of the term, first ``limit``
+def term_search(terms: DataFrame, catalogue: DataFrame, limit: int = 3, **bounds) -> DataFrame:
+    """Every catalogue entry whose name contains the term, letters' case aside; the first ``limit``
     by collection id; a term without results gets one Fail row.
 
-    ``terms``: (term); ``catalogue``: (collection_id, collection_name, artist_name).
-    Candidates come from an equi-join on the term's rarest token, then the full token set is
-    checked, so no term is compared with the whole catalogue.
+    ``terms``: (term); ``catalogue``: (collection_id, collection_name, artist_name), ids unique. NULL and
+    empty terms have no results. The names are found through an index of their trigrams
+    (``substring.term_matches``, which also takes ``bounds``), so no term is compared with the whole catalogue.
     """
-    cat = catalogue.select("collection_id", "collection_name", "artist_name",
-                           F.array_distinct(tokenize(F.col("collection_name"))).alias("_nt"))
-    postings = cat.select("collection_id", F.explode_outer("_nt").alias("tok")).where(
-        F.col("tok").isNotNull())
-    dfreq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    t = terms.select("term", F.array_distinct(tokenize(F.col("term"))).alias("_tt")).distinct()
-    tt = t.select("term", F.explode_outer("_tt").alias("tok")).where(F.col("tok").isNotNull())
-    # a term token absent from the catalogue gets df 0: it is then the anchor and matches none
-    anchor = (tt.join(dfreq, "tok", "left").fillna(0, ["df"])
-                .groupBy("term").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok")))
-    cands = anchor.join(postings, "tok").select("term", "collection_id")
-    matched = (cands.join(t, "term").join(cat, "collection_id")
-                    .where(F.forall("_tt", lambda x: F.array_contains(F.col("_nt"), x))))
-    w = Window.partitionBy("term").orderBy("collection_id")
-    top = (matched.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-                  .select("term", F.col("_rn").cast("bigint").alias("rank"), "collection_id",
-                          "collection_name", "artist_name"))
-    return (t.select("term").join(top, "term", "left")
+    t = terms.select("term").distinct()
+    found = term_matches(t, catalogue, "collection_id", "collection_name", **bounds)
+    top = first_matches(found, "term", "collection_id", limit).withColumnRenamed("term", "_term").join(
+        catalogue.select("collection_id", "collection_name", "artist_name"), "collection_id")
+    return (t.join(top, F.col("term") == F.col("_term"), "left")
              .select("term", "rank", "collection_id", "collection_name", "artist_name",
                      display_label(F.col("collection_name"), F.col("artist_name")).alias("label"),
                      F.when(F.col("rank").isNull(), F.lit(FAIL)).otherwise(F.lit(SUCCESS))

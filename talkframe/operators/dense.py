@@ -1,34 +1,42 @@
-"""Dense vector search: C2 (cos + 1), C4 (1 - cos, exact and approximate), C3, D8, K2.
+"""Dense vector search: C2 (cos + 1), C4 (1 - cos, exact path), C3, D8, K2.
 
-Exact search compares every query with every document, but never as rows: queries and
-documents are cut into blocks of bounded size, each (query block, document block) pair meets
-in one cogroup, where numpy multiplies the two unit-normalised matrices and keeps the local
-top-k per query. The global top-k per query is then a window over at most
-k x (document blocks) candidates.
+Exact search compares every query with every document, but never as rows. Two plans, one kernel:
 
-Blocks are sized per partition key (feed, cell, or one global key): a key holding a third of
-all documents is cut into as many blocks as it needs, a small key stays one block, and a
-query is replicated only to the blocks of its own key.
+* queries of a checked size travel to the documents as one matrix; each task multiplies it with its
+  documents batch by batch and keeps a running top-k per query, so no document is moved;
+* beyond that bound, or per partition key (feed, cell), queries and documents are cut into blocks of
+  bounded size and each (query block, document block) pair meets in one cogroup. A key
+  holding a third of all documents is cut into as many blocks as it needs, a small key stays
+  one block, and a query is replicated only to the blocks of its own key.
+
+The global top-k per query is then a window over at most k rows per task or document block.
+The approximate index is in ``ann``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double
-from .topk import SCORE_DIGITS, top_k
+from .topk import RunningTopK, top_k
 
 # Rows per block: a 1024 x 4096 float64 score matrix is 32 MiB.
 QUERY_BLOCK = 1024
 DOC_BLOCK = 4096
+# Scores that a task holds at once.
+SCORES_AT_ONCE = QUERY_BLOCK * DOC_BLOCK
 # Keys (feeds, cells) whose block counts are broadcast: 3 longs a key, about 50 MiB at most.
 MAX_BROADCAST_KEYS = 2_000_000
+# Queries that travel to the documents: rows, and bytes of their vectors.
+MAX_STREAMED_QUERIES = 100_000
+MAX_STREAMED_BYTES = 64 << 20
 
 METRICS = {
     # name: (score from cosine, ascending order)
@@ -48,121 +56,190 @@ class _Spec:
     exclude_self: bool
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    if len(rows) == 0:
+@dataclass
+class _Side:
+    """Rows of one side of a product: ids and one matrix of unit vectors per field."""
+
+    ids: np.ndarray
+    units: list
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, id_col: str, fields: tuple) -> "_Side":
+        """Rows with a NULL vector, or one that holds NULL or NaN, are left out, and so are rows whose
+        dimensions aren't those of the first sound one (callers group by dimensions)."""
+        columns = [rows[f].tolist() for f in fields]
+        dims = [tuple(len(v) for v in vs) if all(v is not None and not np.isnan(v).any() for v in vs) else None
+                for vs in zip(*columns)]
+        first = next((d for d in dims if d is not None), None)
+        keep = [i for i, d in enumerate(dims) if d is not None and d == first]
+        return cls(rows[id_col].to_numpy(dtype=object)[keep], [_unit([c[i] for i in keep]) for c in columns])
+
+    def slice(self, at: int, n: int) -> "_Side":
+        return _Side(self.ids[at:at + n], [u[at:at + n] for u in self.units])
+
+    def dims(self) -> tuple:
+        return tuple(u.shape[1] for u in self.units)
+
+
+def _unit(rows: list) -> np.ndarray:
+    if not rows:
         return np.zeros((0, 0))
     m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
     n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        u = np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0)
-    return u
+    return np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0)
 
 
-def _block_topk(spec: _Spec):
-    to_score, ascending = METRICS[spec.metric]
+def _better(spec: _Spec, q: _Side, d: _Side, best: RunningTopK) -> None:
+    """Adds the documents ``d`` that may be among the k best of a query."""
+    if not len(q.ids) or not len(d.ids) or spec.k <= 0 or q.dims() != d.dims():
+        return
+    cos = sum(b * (qu @ du.T) for qu, du, b in zip(q.units, d.units, spec.boosts))
+    s = METRICS[spec.metric][0](cos)
+    valid = s > 0 if spec.positive_only else np.ones(s.shape, dtype=bool)
+    if spec.exclude_self:
+        # ids as numbers once, not as strings for each pair
+        codes = pd.factorize(np.concatenate([q.ids, d.ids]))[0]
+        valid &= codes[:len(q.ids), None] != codes[None, len(q.ids):]
+    key = np.where(valid, best.key(s), np.inf)
+    # k-th best key per query, of these documents and of the hits so far, then every candidate at
+    # least that good (ties included)
+    k = min(spec.k, s.shape[1])
+    cut = best.cut()
+    if k == spec.k:
+        cut = np.minimum(cut, np.partition(key, k - 1, axis=1)[:, k - 1])
+    rows, cols = np.nonzero((key <= cut[:, None]) & valid)
+    best.add(rows, d.ids[cols], s[rows, cols])
 
+
+def _all_of(spec: _Spec, q: _Side, d: _Side, best: RunningTopK) -> RunningTopK:
+    step = max(1, SCORES_AT_ONCE // max(1, len(q.ids)))
+    for at in range(0, len(d.ids), step):
+        _better(spec, q, d.slice(at, step), best)
+    return best
+
+
+def _nothing_yet(spec: _Spec, q: _Side) -> RunningTopK:
+    return RunningTopK(len(q.ids), spec.k, METRICS[spec.metric][1])
+
+
+HITS = "qid string, doc_id string, score double"
+
+
+def _block_topk(spec: _Spec):
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype=object),
-                              "doc_id": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype=np.float64)})
-        if len(q) == 0 or len(d) == 0:
-            return empty
-        cos = None
-        for f, b in zip(spec.fields, spec.boosts):
-            part = _unit(q[f]) @ _unit(d[f]).T * b
-            cos = part if cos is None else cos + part
-        s = to_score(cos)
-        qids = q["qid"].to_numpy(dtype=object)
-        dids = d["doc_id"].to_numpy(dtype=object)
-        valid = np.ones(s.shape, dtype=bool)
-        if spec.positive_only:
-            valid &= s > 0
-        if spec.exclude_self:
-            # ids as numbers once, not as strings for each pair
-            codes = pd.factorize(np.concatenate([qids, dids]))[0]
-            valid &= codes[:len(qids), None] != codes[None, len(qids):]
-        # half up, as the global cut rounds; the margin covers products just below a half
-        key = np.floor(s * 10.0 ** SCORE_DIGITS + 0.5 + 1e-9) / 10.0 ** SCORE_DIGITS
-        key = key if ascending else -key
-        key = np.where(valid, key, np.inf)
-        k = min(spec.k, s.shape[1])
-        if k <= 0:
-            return empty
-        # k-th best key per query, then every candidate at least that good (ties included),
-        # ordered by (key, doc_id) to apply the package-wide tie rule before cutting at k
-        kth = np.partition(key, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero((key <= kth[:, None]) & valid)
-        order = np.lexsort((dids[cols].astype(str), key[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.r_[0, np.nonzero(np.diff(rows))[0] + 1]
-        pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-        keep = pos < k
-        rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({"qid": qids[rows], "doc_id": dids[cols],
-                             "score": s[rows, cols].astype(np.float64)})
+        qs, ds = _Side.of(q, "qid", spec.fields), _Side.of(d, "doc_id", spec.fields)
+        return _all_of(spec, qs, ds, _nothing_yet(spec, qs)).frame(qs.ids)
+    return run
+
 
+def _streamed_topk(spec: _Spec, shared):
+    """Batches of documents -> the running top-k of each query over the whole task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = [(q, _nothing_yet(spec, q)) for q in (_Side(ids, units) for ids, units in shared.value)]
+        for rows in batches:
+            for _, same in rows.groupby("_dims", sort=False):
+                d = _Side.of(same, "doc_id", spec.fields)
+                for q, best in groups:
+                    _all_of(spec, q, d, best)
+        for q, best in groups:
+            if len(best.rows):
+                yield best.frame(q.ids)
     return run
 
 
+def _streamable(q: DataFrame, fields: list) -> bool:
+    """Whether the queries are small enough to travel: rows first, bytes only if these are few."""
+    if q.count() > MAX_STREAMED_QUERIES:
+        return False
+    size = sum((F.coalesce(F.sum(F.size(f).cast("bigint")), F.lit(0)) for f in fields), F.lit(0))
+    return q.agg(size.alias("n")).first().n * 8 <= MAX_STREAMED_BYTES
+
+
+def filter_mask(docs: DataFrame, filter_dict: dict | None) -> Column:
+    """B1 for a dense index: AND of equality filters on the documents' own columns. Keys that are no
+    column are ignored; a value whose type differs from the column's matches nothing."""
+    from .sparse import type_matches
+    cond = F.lit(True)
+    for name, value in (filter_dict or {}).items():
+        if name in docs.columns:
+            same = type_matches(value, docs.schema[name].dataType)
+            cond = cond & ((F.col(name) == F.lit(value)) if same else F.lit(False))
+    return cond
+
+
+def blocks(q: DataFrame, d: DataFrame, keys: list, query_block: int, doc_block: int):
+    """Both sides grouped by (keys, query block, document block), ready for ``cogroup``.
+
+    Blocks per key come from per-key row counts, taken before any vector is looked at. The counts are
+    broadcast while the keys are under the bound, so that documents aren't shuffled for it;
+    beyond it the join shuffles on many distinct keys and AQE splits a skewed one.
+    """
+    qsz = q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq"))
+    dsz = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / doc_block).alias("_nd"))
+    sz = qsz.join(dsz, keys)
+    if sz.count() <= MAX_BROADCAST_KEYS:
+        sz = F.broadcast(sz)
+    qb = (q.join(sz, keys)
+           .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")))
+           .withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
+           .drop("_nq", "_nd"))
+    db = (d.join(sz, keys)
+           .withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.col("_nd")))
+           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+           .drop("_nq", "_nd"))
+    by = [*keys, "_qb", "_db"]
+    return qb.groupBy(*by), db.groupBy(*by)
+
+
 def blocked_search(queries: DataFrame, docs: DataFrame, fields: list, k: int,
                    metric: str = "cosine", boosts: list | None = None, key: str | None = None,
                    positive_only: bool = False, exclude_self: bool = False,
-                   query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+                   query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK,
+                   filter_dict: dict | None = None, stream: bool | None = None) -> DataFrame:
     """Exact top-k per query. ``queries``: (qid, fields..., [key]); ``docs``: (doc_id, ...).
 
     Vectors that are NULL or hold a NULL or NaN are left out (a query then has no hits), and
-    only vectors of equal dimensions meet. Returns (qid, doc_id, score, rank); ``qid`` and ``doc_id`` are strings.
+    only vectors of equal dimensions meet. ``filter_dict`` keeps the documents whose columns have
+    these values (``filter_mask``). Without a ``key``, queries of a checked size travel to the documents;
+    ``stream`` says so beforehand. Returns (qid, doc_id, score, rank); ids are strings.
     """
-    boosts = list(boosts or [1.0] * len(fields))
-    spec = _Spec(tuple(fields), tuple(float(b) for b in boosts), metric, k, positive_only,
-                 exclude_self)
+    spec = _Spec(tuple(fields), tuple(float(b) for b in (boosts or [1.0] * len(fields))), metric, k,
+                 positive_only, exclude_self)
+    _, ascending = METRICS[metric]
     kq = F.col(key) if key else F.lit(0)
+    dims = F.concat_ws(",", *[F.coalesce(F.size(f), F.lit(-1)) for f in fields]).alias("_dims")
+    docs = docs.where(filter_mask(docs, filter_dict))
     q = queries.select(F.col("qid").cast("string").alias("qid"), kq.alias("_key"),
                        *[as_double(f).alias(f) for f in fields])
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), kq.alias("_key"),
                     *[as_double(f).alias(f) for f in fields])
-    for f in fields:
-        sound = F.col(f).isNotNull() & ~F.exists(f, lambda x: x.isNull() | F.isnan(x))
-        q, d = q.where(sound), d.where(sound)
-    dims = F.concat_ws(",", *[F.size(f) for f in fields]).alias("_dims")
-    q, d = q.select("*", dims), d.select("*", dims)
-    if key is None:
-        # one global key: block counts are two numbers, used as literals (no join at all)
-        n_qb = max(1, math.ceil(q.count() / query_block))
-        n_db = max(1, math.ceil(d.count() / doc_block))
+    if key is None and (stream if stream is not None else _streamable(q, fields)):
+        rows = q.select("qid", *fields, dims).toPandas()
+        sides = [_Side.of(same, "qid", spec.fields) for _, same in rows.groupby("_dims", sort=False)]
+        shared = q.sparkSession.sparkContext.broadcast([(s.ids, s.units) for s in sides if len(s.ids)])
+        local = d.select("doc_id", *fields, dims).mapInPandas(_streamed_topk(spec, shared), HITS)
+    elif key is None:
+        # one global key: block counts are two numbers, used as literals (no join at all); they are
+        # taken from the rows alone, so no vector is computed for them
+        n_qb = max(1, math.ceil(queries.count() / query_block))
+        n_db = max(1, math.ceil(docs.count() / doc_block))
         qb = (q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(n_qb)))
                .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_db - 1)))))
         db = (d.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(n_db)))
                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
+        by = ["_qb", "_db", "_dims"]
+        local = (qb.select("*", dims).groupBy(*by).cogroup(db.select("*", dims).groupBy(*by))
+                 .applyInPandas(_block_topk(spec), HITS))
     else:
-        # blocks per key, from per-key counts (one row per key, joined back on the key)
-        qsz = q.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq"))
-        dsz = d.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / doc_block).alias("_nd"))
-        sz = qsz.join(dsz, "_key")
-        # broadcast it when the key count is under the bound, so that documents are never
-        # shuffled by key; beyond the bound the join shuffles on many distinct keys and AQE
-        # splits a skewed one
-        if sz.count() <= MAX_BROADCAST_KEYS:
-            sz = F.broadcast(sz)
-        qb = (q.join(sz, "_key")
-               .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_nq")))
-               .withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
-               .drop("_nq", "_nd"))
-        db = (d.join(sz, "_key")
-               .withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.col("_nd")))
-               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-               .drop("_nq", "_nd"))
-    keys = ["_key", "_qb", "_db", "_dims"]
-    local = (qb.groupBy(*keys).cogroup(db.groupBy(*keys))
-               .applyInPandas(_block_topk(spec), "qid string, doc_id string, score double"))
-    _, ascending = METRICS[metric]
+        qg, dg = blocks(q.select("*", dims), d.select("*", dims), ["_key", "_dims"], query_block, doc_block)
+        local = qg.cogroup(dg).applyInPandas(_block_topk(spec), HITS)
     return top_k(local, ["qid"], "score", k, tie="doc_id", ascending=ascending)
 
 
 def search(queries: DataFrame, docs: DataFrame, vector: str = "vector", k: int = 5,
-           metric: str = "cos_plus_one") -> DataFrame:
+           metric: str = "cos_plus_one", filter_dict: dict | None = None) -> DataFrame:
     """C2 / C4 exact path: one vector field, every document scored."""
-    return blocked_search(queries, docs, [vector], k, metric)
+    return blocked_search(queries, docs, [vector], k, metric, filter_dict=filter_dict)
 
 
 def nearest_in_feed(queries: DataFrame, entries: DataFrame, feed_key: str,
@@ -192,47 +269,3 @@ def mean_pool(df: DataFrame, key: str, vector: str, out: str = "vector") -> Data
     return (per_dim.groupBy(key)
                    .agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_p"))
                    .select(key, F.transform("_p", lambda s: s["x"]).alias(out)))
-
-
-def ann_search(queries: DataFrame, docs: DataFrame, vector: str = "vector", k: int = 5,
-               n_cells: int | None = None, nprobe: int = 4, metric: str = "cos_distance",
-               seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """C4 approximate path: KMeans cells on unit vectors, each query searched exactly in the
-    ``nprobe`` cells nearest to it (|a-b|^2 = 2(1-cos) on unit vectors).
-
-    Without ``n_cells`` there are about sqrt(documents) cells, so that with a fixed ``nprobe`` a
-    query reads a share of the collection that shrinks as it grows; raise ``nprobe`` for recall.
-    The centroids (``n_cells`` x dims) travel with the UDF that
-    picks the probes; documents and queries meet per (cell, block) in the exact kernel.
-    Returns (qid, doc_id, score, rank).
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(c):
-        v = as_double(c)
-        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
-
-    n_cells = n_cells or max(1, math.isqrt(docs.count()))
-    d = docs.select(F.col("doc_id"), unit(vector).alias(vector))
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f",
-                   predictionCol="cell").fit(d.select(array_to_vector(vector).alias("_f")))
-    centers = np.stack(model.clusterCenters())
-    cells = model.transform(d.withColumn("_f", array_to_vector(vector))).select(
-        "doc_id", vector, F.col("cell").cast("int").alias("cell"))
-
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<int>")
-    def probes(vs: pd.Series) -> pd.Series:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else \
-            np.zeros((0, centers.shape[1]))
-        # squared distances up to the query's own norm, as one matrix product
-        dist = (centers ** 2).sum(axis=1)[None, :] - 2.0 * (m @ centers.T)
-        order = np.argsort(dist, axis=1, kind="stable")[:, :nprobe]
-        return pd.Series([row.astype(np.int32).tolist() for row in order])
-
-    q = queries.select("qid", unit(vector).alias(vector))
-    q = q.select("qid", vector, F.explode(probes(F.col(vector))).alias("cell"))
-    return blocked_search(q, cells, [vector], k, metric, key="cell")

@@ -9,57 +9,20 @@ from __future__ import annotations
 
 from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-# Characters of items that one automaton holds (a few dozen bytes each in a task's memory).
-MAX_ITEM_CHARS = 8 << 20
-
-
-def _containing(items):
-    """Rows (id, text) -> (id, qid) of every item that the text contains."""
-    def run(batches):
-        texts = items.value
-        try:
-            import ahocorasick
-            automaton = ahocorasick.Automaton()
-            for question, qids in texts.items():
-                automaton.add_word(question, qids)
-            automaton.make_automaton()
-            find = lambda t: {q for _, qids in automaton.iter(t) for q in qids}
-        except ImportError:  # optional: without it every item is looked for on its own
-            find = lambda t: {q for question, qids in texts.items() if question in t for q in qids}
-        for pdf in batches:
-            rows = [(i, q) for i, t in zip(pdf["id"], pdf["text"]) if t for q in sorted(find(t))]
-            yield pd.DataFrame({"id": [r[0] for r in rows], "qid": [r[1] for r in rows]}).astype({"qid": "int64"})
-    return run
-
+from .substring import text_matches
 
 def containment_ground_truth(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, question, qid): every document whose whole text contains the item's whole text.
 
-    One rule for items of any length: the items (checked: MAX_ITEM_CHARS characters a block,
-    more are taken block by block) travel to the documents as an automaton, and only the
-    pairs found leave. ``items``: (qid long, question); ``docs``: (doc_id, text). Null and
-    empty items are contained in nothing.
+    ``items``: (qid bigint, question), one row a qid; ``docs``: (doc_id, text). Null and empty items are
+    contained in nothing. Candidates are found by a join on character grams (``text_matches``).
     """
-    from ..session import cut_lineage
-    spark = docs.sparkSession
-    items = cut_lineage(items.select("qid", "question").where("question <> ''"))
-    chars = items.agg(F.sum(F.length("question"))).first()[0] or 0
-    n = max(1, -(-chars // MAX_ITEM_CHARS))
-    d = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
-    out = None
-    for i in range(n):
-        block: dict[str, list] = {}
-        for r in items.where(F.pmod(F.xxhash64("question"), F.lit(n)) == i).toLocalIterator():
-            block.setdefault(r.question, []).append(r.qid)
-        part = (d.mapInPandas(_containing(spark.sparkContext.broadcast(block)), "id string, qid bigint")
-                if block else spark.createDataFrame([], "id string, qid bigint"))
-        out = part if out is None else out.unionByName(part)
-    return out.join(items, "qid").select("id", "question", "qid")
+    items = items.select("qid", "question").where("question <> ''")
+    found = text_matches(items, docs.select(F.col("doc_id").cast("string").alias("id"), "text"))
+    return found.join(items, "qid").select("id", "question", "qid")
 
 
 def relevance(ground_truth: DataFrame, hits: DataFrame) -> DataFrame:

@@ -10,32 +10,50 @@ Definition (per text field; N counts every document, empty ones included)::
 
 Physical layout, chosen for a corpus far larger than one machine:
 
-* term frequencies are computed inside each row (``term_runs``), so tokens are never
-  shuffled; the (doc, term, tf) rows are shuffled once by doc_id and read twice from that
-  exchange; ``df`` is a partial-then-final aggregate, so a term present in every document
-  costs one row per map partition, not one per document;
-* postings carry the keyword fields (filters are plain predicates, no join) and are
-  hash-partitioned by ``doc_id`` once, when the document norms are computed;
+* term frequencies are computed where a text lies: the *forward* table has a row per document with its
+  terms and counts; tokens are never exploded nor shuffled. ``df`` is summed per task first, so a
+  term present in every document costs one row per task, not one per document;
+* the forward rows carry the keyword fields (filters are plain predicates, no join) and the norms;
+  ``postings`` is the same index with a row per (document, term);
 * a search broadcasts the query terms (size checked; above the bound the queries are cut into
-  blocks, each broadcast on its own) and streams the postings: the per-(query, doc) sum happens
-  in the partition that holds the document, and only the partial top-k per partition is
-  shuffled by query.
+  blocks, each on its own) and streams the forward rows. Each task bounds the score of every
+  (query, document) pair from a sketch of the document, completes the pairs whose bound
+  reaches the query's k-th best score so far, and only its top-k per query is shuffled (``search``).
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field as dc_field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN_PATTERN, term_runs, tokenize
-from .topk import top_k
+from ..functions.text import TOKEN_PATTERN, tokenize
+from .topk import RunningTopK, top_k
 
 # Upper bound of query-term rows broadcast in one block (about 100 bytes a row).
 MAX_BROADCAST_QUERY_TERMS = 2_000_000
+# A query term in more than this share of the documents is common: it goes into the sketch. All
+# documents together have few of them: fewer than terms per document / share.
+COMMON_SHARE = 1 / 32
+# Slots of a sketch: the most frequent common terms have one each, the others share.
+OWN_SLOTS, SHARED_SLOTS = 128, 64
+# Terms of all fields whose weights travel to the tasks (about 50 bytes each); beyond it postings meet
+# their term's weight in a join.
+MAX_BROADCAST_VOCABULARY = 2_000_000
+# Numbers that a task holds at once in one matrix of (documents, queries) or (documents, terms).
+CELLS_AT_ONCE = 1 << 21
+# Scores are ranked rounded: a bound this close to the k-th best may still tie with it.
+MARGIN = 2e-6
 
 _PARAM_NAMES = {"lowercase", "token_pattern", "min_df", "max_df", "stop_words",
                 "sublinear_tf", "smooth_idf", "use_idf"}
@@ -86,15 +104,24 @@ class SparseIndex:
     n_docs: int
     docs: DataFrame          # doc_id, text fields, keyword fields
     idf: DataFrame           # field, term, df, idf
-    postings: DataFrame      # field, doc_id, term, tf, w, norm, wn, keyword fields
+    forward: DataFrame       # doc_id, keyword fields, per field i: runs_i (term, tf), norm_i
     keyword_types: dict = dc_field(default_factory=dict)
+    stored_postings: DataFrame | None = None
+    source: DataFrame | None = None    # the texts, while forward is computed on reading,
+    forwarded: object = None           # and the function (carried columns) -> batches to forward batches
+
+    @property
+    def postings(self) -> DataFrame:
+        """Field, doc_id, term, tf, w, norm, wn, keyword fields."""
+        if self.stored_postings is not None:
+            return self.stored_postings
+        return _postings(self.forward, self.idf, self.text_fields, self.keyword_fields, self.params)
 
     def materialize(self) -> "SparseIndex":
-        """Cut lineage (reliable checkpoint) so that many searches reuse one build."""
-        from ..session import cut_lineage
-        return SparseIndex(self.text_fields, self.keyword_fields, self.params, self.n_docs,
-                           self.docs, cut_lineage(self.idf), cut_lineage(self.postings),
-                           self.keyword_types)
+        """Write what is still computed on reading, so that many searches reuse one build."""
+        from ..session import stored
+        return SparseIndex(self.text_fields, self.keyword_fields, self.params, self.n_docs, self.docs, self.idf,
+                           stored(self.forward, "forward"), self.keyword_types)
 
 
 def _tokens(col: Column, p: TfidfParams) -> Column:
@@ -105,21 +132,99 @@ def _tokens(col: Column, p: TfidfParams) -> Column:
     return toks
 
 
-def _term_rows(df: DataFrame, id_col: str, fields: list, p: TfidfParams,
-               carry: list) -> DataFrame:
-    """(field, id, term, tf) for every field, tf computed in-row, then exploded."""
-    per_field = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.sort_array(_tokens(F.col(f), p)).alias("_s"))
-        for f in fields])
-    keep = [id_col, *carry]
-    x = df.select(*keep, F.inline(per_field))
-    x = x.select(*keep, "field", "_s", F.size("_s").alias("_n"))
-    # explode_outer: an inner explode makes Catalyst infer size(<array>) > 0 and push that
-    # filter into the scan, inlining the whole array computation a second time
-    x = x.select(*keep, "field", F.explode_outer(term_runs("_s", "_n")).alias("_t"))
-    x = x.where(F.col("_t").isNotNull())
-    return x.select("field", id_col, F.col("_t.term").alias("term"),
-                    F.col("_t.tf").cast("double").alias("tf"), *carry)
+RUNS = "array<struct<term:string,tf:int>>"
+# TOKEN_PATTERN in Python's words: letters, numbers and underscores.
+FIND_TOKENS = re.compile(r"\w{2,}").findall
+# Terms counted in a task before the counts go on to the shuffle.
+COUNTED_TERMS = 250_000
+
+
+def _source(df: DataFrame, fields: list, p: TfidfParams, keep: list) -> DataFrame:
+    """(keep..., _s0, _s1, ...): what tokens are counted from. The default pattern is applied by the counting
+    itself, any other (a Java expression) here by the JVM."""
+    col = (lambda f: F.coalesce(F.col(f), F.lit(""))) if p.token_pattern == TOKEN_PATTERN else (lambda f: _tokens(F.col(f), p))
+    return df.select(*keep, *[col(f).alias(f"_s{i}") for i, f in enumerate(fields)])
+
+
+def _token_counter(p: TfidfParams):
+    """Value of a source column -> Counter of its tokens."""
+    if p.token_pattern != TOKEN_PATTERN:
+        return Counter
+    stop, lower = set(p.stop_words), p.lowercase
+
+    def count(text: str) -> Counter:
+        c = Counter(FIND_TOKENS(text.lower() if lower else text))
+        for word in stop & c.keys():
+            del c[word]
+        return c
+    return count
+
+
+def _counted(carried: list, n_fields: int, p: TfidfParams):
+    """Source batches -> batches with (term, tf) of the distinct terms of each text."""
+    count = _token_counter(p)
+
+    def runs(values: pa.Array) -> pa.Array:
+        terms, counts, ends = [], [], [0]
+        for v in values:
+            c = count(v.as_py())
+            terms += c.keys()
+            counts += c.values()
+            ends.append(len(terms))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(terms, pa.string()), pa.array(counts, pa.int32())], names=["term", "tf"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:len(carried)], *[runs(c) for c in b.columns[len(carried):]]],
+                names=[*carried, *[f"runs_{i}" for i in range(n_fields)]])
+    return run
+
+
+def _document_counts(n_fields: int, p: TfidfParams):
+    """Source batches of the text columns alone -> (i, term, df): texts of the task that hold a term of field i."""
+    count = _token_counter(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [Counter() for _ in range(n_fields)]
+
+        def out():
+            for i, c in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i, np.int32)), pa.array(list(c), pa.string()),
+                                                  pa.array(list(c.values()), pa.int64())], names=["i", "term", "df"])
+                c.clear()
+        for b in batches:
+            for c, values in zip(found, b.columns):
+                for v in values:
+                    c.update(count(v.as_py()).keys())
+                    if len(c) > COUNTED_TERMS:
+                        yield from out()
+        yield from out()
+    return run
+
+
+def _runs(source: DataFrame, keep: list, n_fields: int, p: TfidfParams) -> DataFrame:
+    """(keep..., runs_i per field) of a source, its text columns last."""
+    return source.mapInArrow(_counted(list(keep), n_fields, p), _schema(source, keep, n_fields))
+
+
+def _schema(df: DataFrame, keep: list, n_fields: int, norms: bool = False) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"runs_{i} {RUNS}" for i in range(n_fields)]
+                     + [f"norm_{i} double" for i in range(n_fields) if norms])
+
+
+def _term_rows(runs: DataFrame, fields: list, keep: list) -> DataFrame:
+    """(field, keep..., term, tf): a row per term of each text."""
+    out = None
+    for i, f in enumerate(fields):
+        # explode_outer: an inner explode makes Catalyst infer size(<array>) > 0 and push that
+        # filter down, inlining the whole array computation a second time
+        part = runs.select(F.lit(f).alias("field"), *keep, F.explode_outer(f"runs_{i}").alias("_t")).where("_t is not null")
+        part = part.select("field", *keep, F.col("_t.term").alias("term"), F.col("_t.tf").cast("double").alias("tf"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _tf_weight(tf: Column, p: TfidfParams) -> Column:
@@ -135,13 +240,15 @@ def document_key(id_col: str | list) -> Column:
 
 
 def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
-        id_col: str | list = "id", params: dict | TfidfParams | None = None) -> SparseIndex:
-    """D1 + D2 (A10): fit one vectoriser per text field over ``docs``.
+        id_col: str | list = "id", params: dict | TfidfParams | None = None,
+        max_vocabulary: int = MAX_BROADCAST_VOCABULARY) -> SparseIndex:
+    """D1 + D2 (A10): fit one vectoriser per text field over ``docs``. The counts are taken when fitting.
 
     Missing text or keyword values (strings) behave as '' (B4); ids become strings (B5). Chunk ids
     that repeat over episodes need both columns as ``id_col`` (``document_key``); rows that agree
-    in the whole key would count as one document, see ``duplicate_keys``.
+    in the whole key are hits of their own but share one norm: quarantine them (``duplicate_keys``).
     """
+    from ..session import stored
     p = params if isinstance(params, TfidfParams) else TfidfParams.of(params)
     keyword_fields = list(keyword_fields or [])
     cols = []
@@ -162,19 +269,14 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
         kw_types[f] = dtype
     base = docs.select(document_key(id_col).alias("doc_id"), *cols)
 
+    carry = [c for c in base.columns if c in keyword_fields]   # filters are predicates on the forward rows
+    keep, n_fields = ["doc_id", *carry], len(text_fields)
+    source = _source(base, text_fields, p, keep)
     n_docs = base.count()   # one long to the driver; N includes empty documents
-    kw_carry = list(keyword_fields)   # carried on every posting (filters are predicates)
-    # tokenising whole texts is the costly step and its rows feed both the df aggregate and
-    # the weighting join: compute them once (spills to disk; lost blocks recompute from lineage)
-    # One shuffle by doc_id (unique keys: no skew). The df aggregate and the weighting join
-    # both read this exchange (Spark reuses it), so every text is tokenised once, and the
-    # per-document norm window below needs no further shuffle.
-    terms = _term_rows(base, "doc_id", text_fields, p, [c for c in kw_carry]).repartition(
-        "doc_id")
-
-    # count(tf), not count(*): both readers of the term exchange then need the same columns,
-    # so column pruning leaves one exchange for Spark to reuse
-    dfreq = terms.groupBy("field", "term").agg(F.count("tf").alias("df"))
+    counts = source.select(*[f"_s{i}" for i in range(n_fields)]).mapInArrow(
+        _document_counts(n_fields, p), "i int, term string, df bigint")
+    names = F.element_at(F.array(*[F.lit(f) for f in text_fields]), F.col("i") + 1)
+    dfreq = counts.groupBy("i", "term").agg(F.sum("df").alias("df")).select(names.alias("field"), "term", "df")
     lo = p.doc_count_bound(p.min_df, n_docs)
     hi = p.doc_count_bound(p.max_df, n_docs)
     dfreq = dfreq.where((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
@@ -185,19 +287,65 @@ def fit(docs: DataFrame, text_fields: list, keyword_fields: list | None = None,
         idf_val = F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
     else:
         idf_val = F.log(n / F.col("df")) + 1.0
-    idf = dfreq.select("field", "term", F.col("df").cast("bigint").alias("df"),
-                       idf_val.alias("idf"))
-
-    weighted = (terms.join(idf.select("field", "term", "idf"), ["field", "term"])
-                     .withColumn("w", _tf_weight(F.col("tf"), p) * F.col("idf")))
-    # the (doc_id, field) window is satisfied by the doc_id partitioning of the terms as long
-    # as the idf join is a broadcast; AQE re-shuffles by doc_id only when it is not
-    wnorm = Window.partitionBy("doc_id", "field")
-    postings = (weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(wnorm)))
-                      .withColumn("wn", F.col("w") / F.col("norm"))
-                      .select("field", "doc_id", "term", "tf", "w", "norm", "wn", *kw_carry))
-    return SparseIndex(list(text_fields), keyword_fields, p, n_docs, base, idf, postings,
-                       kw_types)
+    idf = stored(dfreq.select("field", "term", F.col("df").cast("bigint").alias("df"), idf_val.alias("idf")), "idf")
+
+    if idf.count() <= max_vocabulary:
+        normed = _normed(_vocabulary(idf, text_fields), n_fields, p)
+
+        def forwarded(carried: list):
+            counted = _counted(carried, n_fields, p)
+            return lambda batches: normed(counted(batches))
+        forward = source.mapInArrow(forwarded(keep), _schema(source, keep, n_fields, True))
+        return SparseIndex(list(text_fields), keyword_fields, p, n_docs, base, idf, forward, kw_types,
+                           source=source, forwarded=forwarded)
+    runs = stored(_runs(source, keep, n_fields, p), "runs")   # read twice
+    # every posting meets its term's idf once; what comes back is a row per document
+    w = _tf_weight(F.col("tf"), p) * F.col("idf")
+    weighted = _term_rows(runs, text_fields, ["doc_id"]).join(idf, ["field", "term"]).withColumn("_w2", w * w)
+    norms = weighted.groupBy(F.col("doc_id").alias("_id")).agg(*[
+        F.sqrt(F.sum(F.when(F.col("field") == f, F.col("_w2")))).alias(f"norm_{i}") for i, f in enumerate(text_fields)])
+    forward = runs.join(norms, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return SparseIndex(list(text_fields), keyword_fields, p, n_docs, base, idf, forward, kw_types)
+
+
+def _vocabulary(idf: DataFrame, fields: list):
+    """Broadcast of each field's (terms, idf); the caller has checked their number."""
+    found = idf.select("field", "term", "idf").toArrow().combine_chunks()
+    own = [found.filter(pc.equal(found["field"], f)) for f in fields]
+    return idf.sparkSession.sparkContext.broadcast(
+        [(t["term"].combine_chunks(), t["idf"].to_numpy()) for t in own])
+
+
+def _normed(shared, n_fields: int, p: TfidfParams):
+    """Forward rows without norms -> with the length of each text's weights (null without a term)."""
+    sublinear = p.sublinear_tf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norms = []
+            for i in range(n_fields):
+                terms, idf = shared.value[i]
+                runs = b.column(f"runs_{i}")
+                flat = runs.flatten()
+                at = pc.index_in(flat.field("term"), terms)
+                here = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                tf = flat.field("tf").to_numpy(zero_copy_only=False)[here].astype(float)
+                w = (np.log(tf) + 1 if sublinear else tf) * idf[at.drop_null().to_numpy()]
+                square = np.bincount(pc.list_parent_indices(runs).to_numpy()[here], w * w, minlength=b.num_rows)
+                norms.append(pa.array(np.sqrt(square), mask=square == 0))
+            yield pa.RecordBatch.from_arrays([*b.columns, *norms], names=[*b.schema.names, *[f"norm_{i}" for i in range(n_fields)]])
+    return run
+
+
+def _postings(forward: DataFrame, idf: DataFrame, fields: list, keyword_fields: list, p: TfidfParams) -> DataFrame:
+    """A row per (field, document, term) with its weight, the document's norm and the unit weight."""
+    carry = list(dict.fromkeys(keyword_fields))
+    terms = _term_rows(forward, fields, ["doc_id", *carry, *[f"norm_{i}" for i in range(len(fields))]])
+    norm = F.coalesce(*[F.when(F.col("field") == f, F.col(f"norm_{i}")) for i, f in enumerate(fields)])
+    return (terms.join(idf.select("field", "term", "idf"), ["field", "term"])
+            .withColumn("w", _tf_weight(F.col("tf"), p) * F.col("idf")).withColumn("norm", norm)
+            .withColumn("wn", F.col("w") / F.col("norm"))
+            .select("field", "doc_id", "term", "tf", "w", "norm", "wn", *carry))
 
 
 def duplicate_keys(docs: DataFrame, id_col: str | list = "id") -> DataFrame:
@@ -206,7 +354,7 @@ def duplicate_keys(docs: DataFrame, id_col: str | list = "id") -> DataFrame:
             .where(F.col("rows") > 1))
 
 
-def _type_matches(value, dtype: T.DataType) -> bool:
+def type_matches(value, dtype: T.DataType) -> bool:
     if isinstance(value, bool):
         return isinstance(dtype, T.BooleanType)
     if isinstance(value, int):
@@ -225,7 +373,7 @@ def keyword_mask(index: SparseIndex, filter_dict: dict | None) -> Column:
     for key, value in (filter_dict or {}).items():
         if key not in index.keyword_fields:
             continue
-        if not _type_matches(value, index.keyword_types[key]):
+        if not type_matches(value, index.keyword_types[key]):
             return F.lit(False)
         col = F.col(key)
         cond = cond & (col == F.lit(value))
@@ -234,7 +382,7 @@ def keyword_mask(index: SparseIndex, filter_dict: dict | None) -> Column:
 
 def query_terms(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
                 text_col: str = "query", boost: dict | None = None) -> DataFrame:
-    """Vectorise queries with the fitted vocabulary: (qid, field, term, qwn).
+    """Vectorise queries with the fitted vocabulary: (qid, field, term, qwn, idf, df).
 
     ``qwn`` is the unit-normalised query weight times the field boost (unlisted field -> 1).
     """
@@ -243,15 +391,15 @@ def query_terms(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
     q = queries.select(F.col(qid_col).alias("qid"), F.col(text_col).cast("string").alias("_q"))
     fields = index.text_fields
     q = q.select("qid", *[F.col("_q").alias(f) for f in fields])
-    terms = _term_rows(q, "qid", fields, p, [])
-    qw = (terms.join(index.idf.select("field", "term", "idf"), ["field", "term"])
+    terms = _term_rows(_runs(_source(q, fields, p, ["qid"]), ["qid"], len(fields), p), fields, ["qid"])
+    qw = (terms.join(index.idf.select("field", "term", "idf", "df"), ["field", "term"])
                .withColumn("qw", _tf_weight(F.col("tf"), p) * F.col("idf")))
     wq = Window.partitionBy("qid", "field")
     bcol = F.lit(1.0)
     for f, b in boost.items():
         bcol = F.when(F.col("field") == f, F.lit(float(b))).otherwise(bcol)
     return (qw.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(wq)))
-              .select("qid", "field", "term", (F.col("qw") / F.col("qnorm") * bcol).alias("qwn")))
+              .select("qid", "field", "term", (F.col("qw") / F.col("qnorm") * bcol).alias("qwn"), "idf", "df"))
 
 
 def query_term_bound(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
@@ -283,24 +431,229 @@ def score(index: SparseIndex, qterms: DataFrame, filter_dict: dict | None = None
         blocks = [tagged.where(F.col("_qb") == i).drop("_qb") for i in range(n_blocks)]
     out = None
     for blk in blocks:
-        part = (postings.join(F.broadcast(blk), ["field", "term"])
+        part = (postings.join(F.broadcast(blk.select("qid", "field", "term", "qwn")), ["field", "term"])
                         .groupBy("qid", "doc_id")
                         .agg(F.sum(F.col("qwn") * F.col("wn")).alias("score")))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@dataclass
+class QueryBlock:
+    """Vectorised queries as arrays: terms by falling document frequency, the first ``common`` of them common.
+
+    ``entry_*`` hold (term, query, weight) by term; ``first`` cuts them into terms.
+    """
+
+    qids: np.ndarray
+    fields: list                 # field of each term
+    terms: list
+    idf: np.ndarray
+    common: int
+    entry_query: np.ndarray
+    entry_weight: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, n_docs: int) -> "QueryBlock":
+        """``rows``: (qid, field, term, qwn, idf, df), one row per query and term."""
+        rows = rows.sort_values(["df", "field", "term"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        number = rows.groupby(["field", "term"], sort=False).ngroup().to_numpy()
+        heads = np.r_[0, np.nonzero(np.diff(number))[0] + 1] if len(rows) else np.zeros(0, np.int64)
+        codes, qids = pd.factorize(rows["qid"])
+        first = np.r_[heads, len(rows)]
+        one = rows.iloc[heads]
+        return cls(np.asarray(qids, dtype=object), one["field"].tolist(), one["term"].tolist(), one["idf"].to_numpy(float),
+                   int((one["df"] > n_docs * COMMON_SHARE).sum()), codes, rows["qwn"].to_numpy(float), first)
+
+    def slots(self) -> np.ndarray:
+        """Slot of each common term: its own for the most frequent, then shared in turn."""
+        i = np.arange(self.common)
+        return np.where(i < OWN_SLOTS, i, OWN_SLOTS + (i - OWN_SLOTS) % SHARED_SLOTS)
+
+    def common_weights(self) -> np.ndarray:
+        """(queries, common terms): the queries' weights."""
+        out = np.zeros((len(self.qids), self.common))
+        n = self.first[self.common]
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))[:n]
+        out[self.entry_query[:n], term] = self.entry_weight[:n]
+        return out
+
+
+def _norms_by_slot(weights: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
+    """(rows, slots): the length of each row's part in each slot."""
+    out = np.zeros((len(weights), size))
+    own = min(len(slots), OWN_SLOTS)
+    out[:, :own] = np.abs(weights[:, :own])
+    for s in range(OWN_SLOTS, size):
+        out[:, s] = np.linalg.norm(weights[:, slots == s], axis=1)
+    return out
+
+
+class BlockScorer:
+    """Exact top-k of a block of queries over the forward rows that one task reads.
+
+    A document's *sketch* has the weights of the most frequent common terms and, per shared slot, the
+    length of what the other common terms weigh. By the inequality of Cauchy and Schwarz a
+    query's score is at most the product of the two sketches plus what the rare terms, which
+    few documents hold, add exactly. Pairs are completed in the order of their bounds as long as the
+    bound reaches the query's k-th best score so far.
+    """
+
+    def __init__(self, block: QueryBlock, fields: list, sublinear: bool, k: int):
+        self.block, self.k, self.sublinear = block, k, sublinear
+        self.fields = fields
+        self.lookup = [pa.array([t if own == f else None for own, t in zip(block.fields, block.terms)], pa.string()) for f in fields]
+        self.slots = block.slots()
+        self.size = int(self.slots.max()) + 1 if len(self.slots) else 0
+        self.weights = block.common_weights()
+        self.sketch = _norms_by_slot(self.weights, self.slots, self.size)
+        self.best = RunningTopK(len(block.qids), k)
+        self.pairs = self.completed = 0
+
+    def _entries(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, query-vocabulary term, unit weight) of the batch's rows."""
+        found = []
+        for i in range(len(self.fields)):
+            runs = batch.column(f"runs_{i}")
+            flat = runs.flatten()
+            at = pc.index_in(flat.field("term"), self.lookup[i], skip_nulls=True)
+            here = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            doc = pc.list_parent_indices(runs).to_numpy()[here]
+            term = at.drop_null().to_numpy()
+            tf = flat.field("tf").to_numpy(zero_copy_only=False)[here].astype(float)
+            w = (np.log(tf) + 1 if self.sublinear else tf) * self.block.idf[term]
+            found.append((doc, term, w / batch.column(f"norm_{i}").to_numpy(zero_copy_only=False)[doc]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows or not len(self.block.qids):
+            return
+        doc, term, weight = self._entries(batch)
+        order = np.argsort(doc, kind="stable")
+        doc, term, weight = doc[order], term[order], weight[order]
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        step = max(1, CELLS_AT_ONCE // max(len(self.block.qids), self.block.common, 1))
+        for at in range(0, batch.num_rows, step):
+            lo, hi = np.searchsorted(doc, [at, at + step])
+            self._part(ids[at:at + step], doc[lo:hi] - at, term[lo:hi], weight[lo:hi])
+
+    def _part(self, ids: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        b, n = self.block, len(ids)
+        is_common = term < b.common
+        common = np.zeros((n, b.common))
+        common[doc[is_common], term[is_common]] = weight[is_common]
+        # the rare terms: each entry meets the queries of its term
+        rdoc, rterm, rweight = doc[~is_common], term[~is_common], weight[~is_common]
+        many = b.first[rterm + 1] - b.first[rterm]
+        entry = np.repeat(b.first[rterm] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        cell = np.repeat(rdoc, many) * len(b.qids) + b.entry_query[entry]
+        rare = np.bincount(cell, np.repeat(rweight, many) * b.entry_weight[entry], minlength=n * len(b.qids)).reshape(n, -1)
+        bound = rare + _norms_by_slot(common, self.slots, self.size) @ self.sketch.T
+        self.pairs += int((bound > 0).sum())
+        # first the k best bounds of each query, then whatever still reaches the k-th best score
+        done = np.zeros(bound.shape, bool)
+        k = min(self.k, n)
+        top = np.argpartition(-bound, k - 1, axis=0)[:k]
+        done[top, np.arange(bound.shape[1])] = True
+        done &= bound + MARGIN >= -self.best.cut()[None, :]
+        done &= bound > 0
+        self._complete(ids, common, rare, done)
+        rest = (bound + MARGIN >= -self.best.cut()[None, :]) & (bound > 0) & ~done
+        self._complete(ids, common, rare, rest)
+
+    def _complete(self, ids: np.ndarray, common: np.ndarray, rare: np.ndarray, chosen: np.ndarray) -> None:
+        rows, cols = np.nonzero(chosen)
+        self.completed += len(rows)
+        step = max(1, CELLS_AT_ONCE // max(1, self.block.common))
+        score = np.concatenate([np.zeros(0)] + [
+            np.einsum("ij,ij->i", common[rows[i:i + step]], self.weights[cols[i:i + step]]) for i in range(0, len(rows), step)])
+        score += rare[rows, cols]
+        keep = score > 0
+        self.best.add(cols[keep], ids[rows[keep]], score[keep])
+
+
+def _scorers(index: SparseIndex, shared, k: int):
+    fields, sublinear = list(index.text_fields), index.params.sublinear_tf
+    forwarded = index.forwarded(["doc_id"]) if index.forwarded else iter
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[BlockScorer]:
+        scorer = BlockScorer(QueryBlock(*shared.value), fields, sublinear, k)
+        for b in forwarded(batches):
+            scorer.add(b)
+        yield scorer
+    return run
+
+
+def _scored_rows(index: SparseIndex, filter_dict: dict | None) -> DataFrame:
+    """The rows that a search reads: forward rows, or texts that its tasks make forward rows of."""
+    rows = index.source if index.forwarded else index.forward
+    return rows.where(keyword_mask(index, filter_dict)).drop(*index.keyword_fields)
+
+
+def _query_blocks(index: SparseIndex, queries: DataFrame, qid_col: str, text_col: str, boost: dict | None,
+                  max_rows: int) -> Iterator:
+    """The vectorised queries as broadcasts of at most about ``max_rows`` rows each."""
+    qt = query_terms(index, queries, qid_col, text_col, boost)
+    n = max(1, math.ceil(query_term_bound(index, queries, qid_col, text_col) / max_rows))
+    for i in range(n):
+        part = qt if n == 1 else qt.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
+        b = QueryBlock.of(part.toPandas(), index.n_docs)
+        yield qt.sparkSession.sparkContext.broadcast(
+            (b.qids, b.fields, b.terms, b.idf, b.common, b.entry_query, b.entry_weight, b.first))
+
+
 def search(index: SparseIndex, queries: DataFrame, qid_col: str = "qid",
            text_col: str = "query", filter_dict: dict | None = None,
-           boost_dict: dict | None = None, num_results: int = 10) -> DataFrame:
+           boost_dict: dict | None = None, num_results: int = 10,
+           max_broadcast_rows: int = MAX_BROADCAST_QUERY_TERMS) -> DataFrame:
     """C1 (+ B1, B2, D3, E1): top ``num_results`` documents per query, positive scores only.
 
-    Returns (qid, doc_id, score, rank).
+    Returns (qid, doc_id, score, rank). Exact: a pair is left out only if its bound is below the
+    query's k-th best score (``BlockScorer``; ``search_work`` counts the pairs). The terms of a block of
+    queries are collected and broadcast, at most ``max_broadcast_rows`` rows at once.
     """
-    qt = query_terms(index, queries, qid_col, text_col, boost_dict)
-    bound = query_term_bound(index, queries, qid_col, text_col)
-    scored = score(index, qt, filter_dict, n_rows=bound).where(F.col("score") > 0)
-    return top_k(scored, ["qid"], "score", num_results, tie="doc_id")
+    kind = queries.select(F.col(qid_col).alias("qid")).schema[0].dataType.simpleString()
+    schema = f"qid {kind}, doc_id string, score double"
+    if num_results <= 0:
+        return top_k(queries.sparkSession.createDataFrame([], schema), ["qid"], "score", 0, tie="doc_id")
+    rows = _scored_rows(index, filter_dict)
+    arrow = None
+    out = None
+    for shared in _query_blocks(index, queries, qid_col, text_col, boost_dict, max_broadcast_rows):
+        scored = _scorers(index, shared, num_results)
+
+        def hits(batches, scored=scored):
+            for s in scored(batches):
+                found = s.best.frame(s.block.qids)
+                yield pa.RecordBatch.from_pandas(found, schema=arrow, preserve_index=False)
+        arrow = pa.schema([("qid", _arrow_type(kind)), ("doc_id", pa.string()), ("score", pa.float64())])
+        part = rows.mapInArrow(hits, schema)
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, ["qid"], "score", num_results, tie="doc_id")
+
+
+def _arrow_type(kind: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(T._parse_datatype_string(kind))
+
+
+def search_work(index: SparseIndex, queries: DataFrame, qid_col: str = "qid", text_col: str = "query",
+                boost_dict: dict | None = None, num_results: int = 10,
+                max_broadcast_rows: int = MAX_BROADCAST_QUERY_TERMS) -> DataFrame:
+    """(pairs, completed): pairs of a query and a document that share a term, and those whose score a
+    search completes, over all tasks."""
+    rows = _scored_rows(index, None)
+    out = None
+    for shared in _query_blocks(index, queries, qid_col, text_col, boost_dict, max_broadcast_rows):
+        scored = _scorers(index, shared, num_results)
+
+        def work(batches, scored=scored):
+            for s in scored(batches):
+                yield pa.RecordBatch.from_pydict({"pairs": [s.pairs], "completed": [s.completed]})
+        part = rows.mapInArrow(work, "pairs bigint, completed bigint")
+        out = part if out is None else out.unionByName(part)
+    return out.agg(F.sum("pairs").alias("pairs"), F.sum("completed").alias("completed"))
 
 
 # Hits broadcast in one block (about 100 bytes a row).

@@ -10,15 +10,16 @@ from ..functions.text import sentences
 from .ordered import ordered_concat, ordered_offsets
 
 
-def sentence_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+def sentence_chunks(df: DataFrame, key: str, text: str, abbreviations: list | None = None) -> DataFrame:
     """H4: (key, pos, text) one row per sentence, pos from 0 within the row's text."""
-    s = df.select(key, sentences(F.col(text)).alias("_s"))
+    s = df.select(key, sentences(F.col(text), abbreviations).alias("_s"))
     return (s.select(key, F.posexplode_outer("_s").alias("pos", "text"))
              .where(F.col("text").isNotNull())
              .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-def renumber_chunks(parts: DataFrame, episode: str, part: str, text: str) -> DataFrame:
+def renumber_chunks(parts: DataFrame, episode: str, part: str, text: str,
+                    abbreviations: list | None = None) -> DataFrame:
     """G1 + E3: chunks of all parts of an episode, numbered "1".."N" in (part, pos) order.
 
     ``parts`` has one row per (episode, part) with the part's text; its chunks are the
@@ -26,11 +27,11 @@ def renumber_chunks(parts: DataFrame, episode: str, part: str, text: str) -> Dat
     no window over all chunks of an episode.
     """
     # only the sizes travel to be summed; the sentences stay with their part
-    p = parts.select(episode, part, text, F.size(sentences(F.col(text))).alias("_n"))
+    p = parts.select(episode, part, text, F.size(sentences(F.col(text), abbreviations)).alias("_n"))
     off = ordered_offsets(p.select(episode, part, "_n"), episode, part, "_n").select(
         F.col(episode).alias("_e"), F.col(part).alias("_p"), "offset")
     ch = (p.join(off, F.col(episode).eqNullSafe(F.col("_e")) & F.col(part).eqNullSafe(F.col("_p")))
-             .select(episode, part, "offset", F.posexplode_outer(sentences(F.col(text))).alias("pos", "_t"))
+             .select(episode, part, "offset", F.posexplode_outer(sentences(F.col(text), abbreviations)).alias("pos", "_t"))
              .where(F.col("_t").isNotNull()))
     return ch.select(episode, part, F.col("pos").cast("bigint").alias("pos"),
                      (F.col("offset") + F.col("pos") + 1).cast("string").alias("id"), F.col("_t").alias("text"))

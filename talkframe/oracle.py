@@ -89,13 +89,6 @@ SQL["search_with_text"] = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + """
 SELECT h.qid, h.doc_id, h.score, h.rank, d.text FROM (""" + _topk_select(5) + """) h
 LEFT JOIN d USING (doc_id)"""
 
-SQL["tfidf_search_two_episodes"] = _tfidf_ctes("""
-SELECT to_json([CAST(conv_id AS VARCHAR), CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS VARCHAR)])::VARCHAR AS doc_id, text
-FROM (SELECT conv_id, turn, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM (
-  SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'),
-    lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l FROM conversations))""",
-    BENCH, {"text": 3.0}) + _topk_select(5)
-
 VEC = """n AS (SELECT CAST(vec_id AS VARCHAR) AS id, v, label, sqrt(list_dot_product(v, v)) AS nv
   FROM (SELECT vec_id, {expr} AS v, label FROM embeddings)),
 p AS (SELECT a.id AS qid, b.id AS doc_id, a.label AS qlabel, b.label AS dlabel,
@@ -114,6 +107,8 @@ WHERE rank <= {k}"""
 
 SQL["dense_search_exact"] = _dense_topk("embedding::DOUBLE[]", "cos + 1.0::DOUBLE", 5)
 SQL["dense_search_distance"] = _dense_topk("embedding::DOUBLE[]", "1.0::DOUBLE - cos", 5, True)
+SQL["dense_search_ann"] = SQL["dense_search_distance"]
+SQL["ann_recall"] = "SELECT count(*) AS queries, true AS recall_ok, true AS reads_less FROM embeddings"
 SQL["vector_truncate_search"] = _dense_topk("embedding[1:32]::DOUBLE[]", "cos + 1.0::DOUBLE", 5)
 
 SQL["vector_validate"] = """
@@ -235,6 +230,7 @@ SQL["eval_report"] = _eval_report_sql()
 
 # ---------------------------------------------------------------- RAG, ground truth, text
 
+from .functions.text import BLANK, SENTENCE_END, WORD_BEFORE_PERIOD  # noqa: E402
 from .functions.prompts import (QUESTION_PROMPT_TAIL, RAG_PROMPT_HEAD,  # noqa: E402
                                 RAG_PROMPT_MID, question_prompt_head)
 
@@ -244,8 +240,35 @@ def lit(s: str) -> str:
 
 
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
-SENTS = ("list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[^.!?]+[.!?]*'), "
-         "lambda s: " + STRIP.format(x="s") + "), lambda s: s <> '')")
+MARK = "chr(65535)"
+MARKED = "regexp_replace(coalesce({x}, ''), " + lit(SENTENCE_END) + ", '\\1' || " + MARK + ", 'g')"
+
+
+def _sents(x: str, abbreviations: str | None = None) -> str:
+    """List of the sentences of a text; ``abbreviations`` is a list column of words whose period ends none."""
+    pieces = f"string_split({MARKED.replace('{x}', x)}, {MARK})"
+    if abbreviations:
+        pieces = (f"string_split(array_to_string(list_transform({pieces}, lambda p: CASE WHEN list_contains({abbreviations}, "
+                  f"lower(regexp_extract(p, {lit(WORD_BEFORE_PERIOD)}, 1))) THEN p ELSE p || {MARK} END), ''), {MARK})")
+    return f"list_filter(list_transform({pieces}, lambda s: {STRIP.format(x='s')}), lambda s: s <> '')"
+
+
+def _abbreviations(rel: str) -> str:
+    """CTEs ending in ab(l): the list of abbreviations of the texts of ``rel``."""
+    return rf"""core AS (SELECT lower(regexp_replace(w, '^[^\p{{L}}\p{{N}}]+', '')) AS core FROM (
+  SELECT unnest(string_split_regex(coalesce(text, ''), '{BLANK}+')) AS w FROM {rel})),
+uses AS (SELECT word, count(*) AS n, sum(CAST(dot AS BIGINT)) AS dotted FROM (
+  SELECT regexp_replace(core, '[^\p{{L}}\p{{N}}]+\z', '') AS word, regexp_matches(core, '[\p{{L}}\p{{N}}]\.\z') AS dot FROM core)
+  WHERE word <> '' GROUP BY word),
+p1 AS (SELECT sum(dotted)::DOUBLE / sum(n) AS p FROM uses),
+scored AS (SELECT word, CAST(n AS BIGINT) AS n, CAST(dotted AS BIGINT) AS dotted,
+  -2 * (dotted * ln(p) + (n - dotted) * ln(1 - p) - dotted * ln(0.99::DOUBLE) - (n - dotted) * ln(0.01::DOUBLE))
+  * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+  * pow(length(replace(word, '.', ''))::DOUBLE, -(n - dotted)::DOUBLE) AS score
+  FROM uses, p1 WHERE dotted > 0 AND regexp_matches(word, '\p{{L}}')),
+ab AS (SELECT coalesce(list(word), []) AS l FROM scored WHERE score >= 0.3)"""
+
+
 NL2 = "chr(10) || chr(10)"
 
 _RAG_BASE = _tfidf_ctes(DOCS, BENCH, {"text": 3.0}) + f""",
@@ -280,7 +303,7 @@ SQL["question_prompt"] = (f"SELECT doc_id AS id, {lit(question_prompt_head())} |
 SQL["question_explode"] = f"""
 WITH todo AS (SELECT doc_id, text FROM documents d
               WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
-s AS (SELECT doc_id, {SENTS.format(x="text")} AS l FROM todo),
+s AS (SELECT doc_id, {_sents("text")} AS l FROM todo),
 e AS (SELECT doc_id, len(l) AS n, unnest(l) AS question, unnest(range(0, len(l))) AS i FROM s)
 SELECT CAST(doc_id AS VARCHAR) AS id, question FROM e
 WHERE n <= 5 OR floor((i * 5 + n - 1) / n) * n < 5 * (i + 1)"""
@@ -289,17 +312,27 @@ SQL["resume_anti_join"] = """
 SELECT doc_id, n_chars FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
 
-SQL["sentence_chunks"] = f"""
+SQL["sentence_chunks"] = f"""WITH {_abbreviations("documents")}
 SELECT doc_id, CAST(i AS BIGINT) AS pos, s AS text FROM (
   SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS i FROM (
-    SELECT doc_id, {SENTS.format(x="text")} AS l FROM documents))"""
+    SELECT doc_id, {_sents("text", "ab.l")} AS l FROM documents, ab))"""
+
+SQL["abbreviations"] = f"""WITH {_abbreviations("conversations")}
+SELECT word, n, dotted, round(score, 6) + 0.0 AS score FROM scored WHERE score >= 0.3"""
 
 SQL["chunk_renumber"] = f"""
-WITH e AS (SELECT conv_id, turn, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM (
-  SELECT conv_id, turn, {SENTS.format(x="text")} AS l FROM conversations))
+WITH {_abbreviations("conversations")},
+e AS (SELECT conv_id, turn, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM (
+  SELECT conv_id, turn, {_sents("text", "ab.l")} AS l FROM conversations, ab))
 SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos,
   CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS VARCHAR) AS id, text FROM e"""
 
+SQL["tfidf_search_two_episodes"] = _tfidf_ctes(f"""
+SELECT to_json([CAST(conv_id AS VARCHAR), CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS VARCHAR)])::VARCHAR AS doc_id, text
+FROM (SELECT conv_id, turn, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM (
+  SELECT conv_id, turn, {_sents("text")} AS l FROM conversations))""",
+    BENCH, {"text": 3.0}) + _topk_select(5)
+
 SQL["transcript_concat"] = """
 SELECT conv_id, ' ' || string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
 WHERE text IS NOT NULL GROUP BY conv_id"""
@@ -335,11 +368,11 @@ SQL["topic_top_words"] = f"""WITH {STATS}
 SELECT label, count(*) AS n_words, string_agg(text, ' | ' ORDER BY rank) AS words
 FROM r WHERE rank <= 15 GROUP BY label"""
 
-SQL["topic_pivot"] = f"""WITH {STATS}, top AS (SELECT * FROM r WHERE rank <= 15),
-cells AS (SELECT ranks.rank, labels.label, coalesce(top.text, '') AS text
-  FROM (SELECT DISTINCT rank FROM top) ranks CROSS JOIN (SELECT DISTINCT label FROM top) labels
-  LEFT JOIN top ON top.rank = ranks.rank AND top.label = labels.label)
-SELECT * REPLACE (CAST(rank AS BIGINT) AS rank) FROM (PIVOT cells ON label USING first(text) GROUP BY rank)"""
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+SQL["topic_pivot"] = f"""WITH {STATS}, top AS (SELECT * FROM r WHERE rank <= 15)
+SELECT CAST(rank AS BIGINT) AS rank, """ + ",\n  ".join(
+    f"coalesce(max(CASE WHEN label = '{t}' THEN text END), '') AS \"{t}\"" for t in EVENT_TYPES) + """
+FROM top GROUP BY rank"""
 
 SQL["topic_report"] = r"""
 WITH m AS (SELECT 'Number' AS label, unnest(regexp_extract_all(coalesce(text, ''), '\p{N}+')) AS text FROM documents
@@ -386,15 +419,13 @@ SQL["download_manifest"] = """
 SELECT p_partkey, './audio/' || replace(replace(replace(p_brand || ': ' || p_name || '.', ' ', '_'),
   ':', '-'), '.', '') || '/episode_0.mp3' AS path, 'planned' AS status FROM part"""
 
-SQL["catalog_search"] = f"""
-WITH cat AS (SELECT p_partkey AS collection_id, p_name AS collection_name, p_brand AS artist_name,
-  list_distinct(regexp_extract_all(lower(coalesce(p_name, '')), '{TOKEN_RE}')) AS nt FROM part),
-terms AS (SELECT DISTINCT term FROM (SELECT p_name AS term FROM part UNION ALL
-  SELECT s_name FROM supplier)),
-t AS (SELECT term, list_distinct(regexp_extract_all(lower(coalesce(term, '')), '{TOKEN_RE}')) AS tt
-  FROM terms),
+SQL["catalog_search"] = """
+WITH cat AS (SELECT p_partkey AS collection_id, p_name AS collection_name, p_brand AS artist_name FROM part),
+t AS (SELECT DISTINCT term FROM (SELECT p_name AS term FROM part
+  UNION ALL SELECT upper(substring(p_name, CAST(p_partkey % 5 + 1 AS BIGINT), CAST(p_partkey % 7 + 1 AS BIGINT))) FROM part
+  UNION ALL SELECT s_name FROM supplier)),
 m AS (SELECT t.term, cat.collection_id, cat.collection_name, cat.artist_name FROM t JOIN cat
-  ON len(t.tt) > 0 AND list_has_all(cat.nt, t.tt)),
+  ON t.term <> '' AND contains(lower(cat.collection_name), lower(t.term))),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY collection_id) AS rank FROM m)
 SELECT t.term, CAST(r.rank AS BIGINT) AS rank, r.collection_id, r.collection_name, r.artist_name,
   r.collection_name || ' by ' || r.artist_name AS label,

@@ -227,15 +227,14 @@ def dense_search_multifield(spark, sf_dir):
     """K2: hashed vectors for text and source, boost text 3, filter lang='en', positives only."""
     from .functions.vectors import with_hash_vector
     from .operators import dense
-    d = corpus(spark, sf_dir).where(F.col("lang") == "en").select(
-        F.col("id").alias("doc_id"), "text", "source")
-    d = with_hash_vector(d, "text", "text", HASH_DIMS, keep=["doc_id", "source"])
-    d = with_hash_vector(d, "source", "source", HASH_DIMS, keep=["doc_id", "text"])
+    d = corpus(spark, sf_dir).withColumnRenamed("id", "doc_id")
+    d = with_hash_vector(d, "text", "text", HASH_DIMS, keep=["doc_id", "source", "lang"])
+    d = with_hash_vector(d, "source", "source", HASH_DIMS, keep=["doc_id", "text", "lang"])
     q = bench_queries_with_source(spark, sf_dir)
     q = with_hash_vector(q, "query", "text", HASH_DIMS, keep=["qid", "query"])
     q = q.withColumn("source", F.col("text"))
     h = dense.blocked_search(q, d, ["text", "source"], 10, "cosine", boosts=[3.0, 1.0],
-                             positive_only=True)
+                             positive_only=True, filter_dict={"lang": "en"})
     return _dhits(h)
 
 
@@ -259,20 +258,15 @@ def tfidf_backend(idx, k=10):
     return run
 
 
-def dense_backends(spark, sf_dir, k=5):
-    """Search-server (cos + 1, desc) and vector-store (1 - cos, asc) backends over the default
-    hashed encoder; both exact."""
+def hashed_documents(spark, sf_dir):
+    """(id, vector): the documents under the default encoder."""
     from .functions.vectors import with_hash_vector
-    from .operators import dense
-    docs = with_hash_vector(corpus(spark, sf_dir).select(F.col("id").alias("doc_id"), "text"),
-                            "text", "vector", EVAL_DIMS, keep=["doc_id"])
+    return with_hash_vector(corpus(spark, sf_dir).select("id", "text"), "text", "vector", EVAL_DIMS, keep=["id"])
+
 
-    def make(metric):
-        def run(questions):
-            q = with_hash_vector(questions, "question", "vector", EVAL_DIMS, keep=["qid"])
-            return dense.search(q, docs, "vector", k, metric)
-        return run
-    return {"search_server": make("cos_plus_one"), "vector_store": make("cos_distance")}
+def hashed_questions(questions):
+    from .functions.vectors import with_hash_vector
+    return with_hash_vector(questions, "question", "vector", EVAL_DIMS, keep=["qid", "question"])
 
 
 def _eval_setup(spark, sf_dir):
@@ -314,12 +308,22 @@ def eval_mrr(spark, sf_dir):
 
 @query("eval_report")
 def eval_report(spark, sf_dir):
-    """One row per backend: TF-IDF k=10, search server k=5, vector store k=5."""
+    """One row per backend: TF-IDF k=10, search server k=5, vector store (full search) k=5,
+    each created and searched through the one dispatch."""
     from .operators import evaluate as ev
+    from .plans import backends
     idx, gt = _eval_setup(spark, sf_dir)
-    backends = {"tfidf": tfidf_backend(idx, 10), **dense_backends(spark, sf_dir, 5)}
-    return ev.report(gt, backends).select("backend", r6(F.col("hit_rate")).alias("hit_rate"),
-                                          r6(F.col("mrr")).alias("mrr"))
+    docs = hashed_documents(spark, sf_dir)
+    indexes = {"tfidf": backends.Index("tfidf", sparse=idx),
+               "search_server": backends.create_index("search_server", docs),
+               "vector_store": backends.create_index("vector_store", docs)}
+
+    def run(name):
+        k = 10 if name == "tfidf" else 5
+        ask = (lambda q: q) if name == "tfidf" else hashed_questions
+        return lambda questions: backends.search(indexes[name], ask(questions), k, query_col="question")
+    report = ev.report(gt, {name: run(name) for name in backends.BACKENDS})
+    return report.select("backend", r6(F.col("hit_rate")).alias("hit_rate"), r6(F.col("mrr")).alias("mrr"))
 
 
 # ---------------------------------------------------------------- RAG and ground truth (2H, 2K)
@@ -388,17 +392,28 @@ def word_stream_q(spark, sf_dir):
 
 @query("sentence_chunks")
 def sentence_chunks_q(spark, sf_dir):
-    """H4: every whole document split into sentences."""
+    """H4: every whole document split into sentences, with the abbreviations learnt from all of them."""
     from .operators import transcript
-    return transcript.sentence_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    from .operators.sentences import learn_abbreviations
+    d = table(spark, sf_dir, "documents")
+    return transcript.sentence_chunks(d, "doc_id", "text", learn_abbreviations(d, "text"))
+
+
+@query("abbreviations")
+def abbreviations_q(spark, sf_dir):
+    """H4: the words that all turns of the conversations use as abbreviations, with their scores."""
+    from .operators import sentences
+    found = sentences.abbreviation_scores(sentences.word_uses(table(spark, sf_dir, "conversations"), "text"))
+    return found.where(F.col("score") >= sentences.LEAST_SCORE).select("word", "n", "dotted", r6(F.col("score")).alias("score"))
 
 
 @query("chunk_renumber")
 def chunk_renumber(spark, sf_dir):
     """G1 + E3: sentences of all turns of a conversation numbered "1".."N" in turn order."""
     from .operators import transcript
-    return transcript.renumber_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn",
-                                      "text")
+    from .operators.sentences import learn_abbreviations
+    c = table(spark, sf_dir, "conversations")
+    return transcript.renumber_chunks(c, "conv_id", "turn", "text", learn_abbreviations(c, "text"))
 
 
 @query("transcript_concat")
@@ -537,10 +552,13 @@ def part_catalogue(spark, sf_dir):
 
 @query("catalog_search")
 def catalog_search(spark, sf_dir):
-    """B11 + B13: part names and supplier names as search terms over the part catalogue."""
+    """B11 + B13: search terms over the part catalogue: whole part names, pieces from inside of them in
+    capitals (some begin or end within a word, some have one or two letters) and supplier names."""
     from .operators.catalog import term_search
-    terms = (table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))
-             .unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("term"))))
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    name, n = F.col("p_name"), F.col("p_partkey")
+    piece = F.upper(F.substring(name, (n % 5 + 1).cast("int"), (n % 7 + 1).cast("int")))
+    terms = p.select(F.explode(F.array(name, piece)).alias("term")).unionByName(s.select(F.col("s_name").alias("term")))
     return term_search(terms, part_catalogue(spark, sf_dir), 3)
 
 
@@ -587,9 +605,26 @@ def latest_episode(spark, sf_dir):
 
 @query("dense_search_ann")
 def dense_search_ann(spark, sf_dir):
-    """C4 approximate path: KMeans cells (16) on unit vectors, 4 probes, distance ascending.
-
-    No SQL oracle (approximate); pytest checks recall and candidate share against exact."""
-    from .operators import dense
-    return _dhits(dense.ann_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir),
-                                   "vector", k=5, n_cells=16, nprobe=4))
+    """C4 approximate path: 16 quantised cells, 4 probed first, then those whose bounds say that they may
+    hold a better hit; distance ascending."""
+    from .operators import ann
+    index = ann.fit(vectors(spark, sf_dir), n_cells=16)
+    return _dhits(ann.search(index, vector_queries(spark, sf_dir), 5, nprobe=4))
+
+
+@query("ann_recall")
+def ann_recall(spark, sf_dir):
+    """C4: hits of the approximate index against the full search, and whether it read fewer vectors than
+    that: every vector is a query."""
+    from .operators import ann, dense
+    from .session import cut_lineage
+    q, v = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
+    index = ann.fit(v, n_cells=16)
+    read = cut_lineage(ann.candidates(index, q, 5))
+    want = dense.search(q, v, k=5, metric="cos_distance")
+    per_query = want.join(read, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    both = want.groupBy("qid").agg(F.count(F.lit(1)).alias("want")).join(per_query, "qid", "left").agg(
+        F.count(F.lit(1)).alias("queries"), (F.sum("n") / F.sum("want") >= 0.95).alias("recall_ok"))
+    n = v.count()
+    share = read.agg((F.count(F.lit(1)) < F.lit(n * n)).alias("reads_less"))
+    return both.withColumn("_k", F.lit(1)).join(share.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -80,3 +81,15 @@ def cut_lineage(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def stored(df, name: str):
+    """``df`` written once as Parquet in the session's shared folder and read back.
+
+    Like ``cut_lineage`` it survives lost executors; being columnar, later passes read only the
+    columns they need. The partitioning is that of the written files.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Index storage as Parquet directories.
 
-Layout under an index root: ``docs/``, ``idf/``, ``postings/`` (sparse), ``vectors/batch_id=*/``
-and ``rejects/batch_id=*/`` (dense; batch and streaming writes alike). Creating an index replaces the directories (drop-then-create).
+Layout under an index root: ``docs/``, ``idf/``, ``forward/``, ``postings/`` (sparse), ``vectors/batch_id=*/``
+and ``rejects/batch_id=*/`` (dense; batch and streaming writes alike), ``model/``, ``cells/``, ``codes/`` and
+``ann_vectors/`` (approximate). Creating an index replaces the directories (drop-then-create).
 Postings are written bucketed by ``doc_id`` so a search scans them without shuffling.
 """
 
@@ -12,11 +13,13 @@ import hashlib
 import json
 import uuid
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import validity_reason
+from ..operators.ann import AnnIndex, AnnModel
 from ..operators.sparse import SparseIndex, TfidfParams
 
 EMPTY_VECTORS = "doc_id string, text string, vector array<float>"
@@ -29,13 +32,14 @@ def _table_name(root: str, version: str) -> str:
 def save_sparse(index: SparseIndex, root: str, buckets: int | None = None) -> None:
     """A7 + A10: write (replace) a fitted TF-IDF index.
 
-    Postings are bucketed by doc_id, so a search over the loaded index sums per
-    (query, doc) inside each bucket without a shuffle, as it does on a freshly fitted one.
+    Searches read the forward rows. Postings are bucketed by doc_id, so ``sparse.score`` over the loaded
+    index sums per (query, doc) inside each bucket without a shuffle.
     """
     spark = index.docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     index.docs.write.mode("overwrite").parquet(f"{root}/docs")
     index.idf.write.mode("overwrite").parquet(f"{root}/idf")
+    index.forward.write.mode("overwrite").parquet(f"{root}/forward")
     version = uuid.uuid4().hex
     (index.postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id")
           .option("path", f"{root}/postings").saveAsTable(_table_name(root, version)))
@@ -65,8 +69,37 @@ def load_sparse(spark: SparkSession, root: str, params: dict | None = None) -> S
         spark.sql(f"CREATE TABLE {name} USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) "
                   f"INTO {int(meta['buckets'])} BUCKETS LOCATION '{root}/postings'")
     return SparseIndex(list(meta["text_fields"]), kw, fitted, int(meta["n_docs"]), docs,
-                       spark.read.parquet(f"{root}/idf"), spark.table(name),
-                       {f: docs.schema[f].dataType for f in kw})
+                       spark.read.parquet(f"{root}/idf"), spark.read.parquet(f"{root}/forward"),
+                       {f: docs.schema[f].dataType for f in kw}, spark.table(name))
+
+
+def save_ann(index: AnnIndex, root: str) -> None:
+    """Write (replace) an approximate index with its model.
+
+    Codes are laid out by cell, so a search that needs some cells skips the other files and row groups.
+    """
+    spark = index.codes.sparkSession
+    m = index.model
+    arrays = [("center", i, c) for i, c in enumerate(m.centers)] + [("code", i, b.ravel()) for i, b in enumerate(m.codebooks)]
+    # one row at most per cell and code byte
+    model = spark.createDataFrame([(kind, i, m.dims, [float(x) for x in v]) for kind, i, v in arrays] or [("none", 0, m.dims, [])],
+                                  "kind string, i int, dims int, x array<double>")
+    model.write.mode("overwrite").parquet(f"{root}/model")
+    index.cells.write.mode("overwrite").parquet(f"{root}/cells")
+    (index.codes.repartitionByRange("cell", "doc_id").sortWithinPartitions("cell", "doc_id")
+          .write.mode("overwrite").parquet(f"{root}/codes"))
+    index.vectors.write.mode("overwrite").parquet(f"{root}/ann_vectors")
+
+
+def load_ann(spark: SparkSession, root: str) -> AnnIndex:
+    """Open a saved approximate index; the model is the saved one, nothing is fitted anew."""
+    rows = sorted(spark.read.parquet(f"{root}/model").collect(), key=lambda r: (r.kind, r.i))
+    dims = rows[0].dims
+    centers = np.array([r.x for r in rows if r.kind == "center"]).reshape(-1, dims)
+    model = AnnModel(dims, centers, [])
+    model.codebooks = [np.array(r.x).reshape(-1, hi - lo) for r, (lo, hi) in zip((r for r in rows if r.kind == "code"), model.cuts())]
+    return AnnIndex(model, spark.read.parquet(f"{root}/codes"), spark.read.parquet(f"{root}/cells"),
+                    spark.read.parquet(f"{root}/ann_vectors"))
 
 
 def populate_vectors(docs: DataFrame, root: str, dims: int, vector: str = "vector",

@@ -26,19 +26,46 @@ def _brute(rows, qrows, k, metric):
     return out
 
 
+@pytest.mark.parametrize("stream", [False, True])
 @pytest.mark.parametrize("metric", ["cos_plus_one", "cos_distance"])
-def test_blocked_search_equals_brute_force_across_blocks(spark, metric):
+def test_search_equals_brute_force_across_blocks(spark, monkeypatch, metric, stream):
     rows = _vectors()
+    rows += [(100 + i, rows[3][1], 0) for i in range(6)]                      # ties
+    monkeypatch.setattr(dense, "SCORES_AT_ONCE", 300)
     docs = spark.createDataFrame(rows, "doc_id long, vector array<float>, label int")
     q = docs.withColumnRenamed("doc_id", "qid")
     # tiny blocks force several (query block, document block) pairs
-    res = dense.blocked_search(q, docs, ["vector"], 4, metric, query_block=7, doc_block=9)
+    bad = spark.createDataFrame([(900, None, 0), (901, [1.0, float("nan")] * 4, 0), (902, [1.0, None] * 4, 0), (903, [1.0], 0)],
+                                docs.schema)
+    docs, q = docs.union(bad), q.union(bad.limit(3))
+    res = dense.blocked_search(q, docs, ["vector"], 4, metric, query_block=7, doc_block=9, stream=stream)
     got = {}
     for r in res.orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.doc_id)
     assert got == _brute(rows, rows, 4, metric)
 
 
+def test_filter_is_a_parameter(spark):
+    docs = spark.createDataFrame(_vectors(), "doc_id long, vector array<float>, label int")
+    q = docs.limit(5).withColumnRenamed("doc_id", "qid")
+    want = sorted(map(tuple, dense.search(q, docs.where("label = 1"), "vector", 3).collect()))
+    for stream in (True, False):
+        got = dense.blocked_search(q, docs, ["vector"], 3, "cos_plus_one", filter_dict={"label": 1, "no column": "x"}, stream=stream)
+        assert sorted(map(tuple, got.collect())) == want
+    assert dense.search(q, docs, "vector", 3, filter_dict={"label": "1"}).count() == 0
+
+
+def test_large_query_tables_are_not_collected(spark, monkeypatch):
+    docs = spark.createDataFrame(_vectors(), "doc_id long, vector array<float>, label int")
+    q = docs.withColumnRenamed("doc_id", "qid")
+    want = sorted(map(tuple, dense.search(q, docs, "vector", 3).collect()))
+    for name, most in (("MAX_STREAMED_QUERIES", 59), ("MAX_STREAMED_BYTES", 60 * 8 * 8 - 1)):
+        monkeypatch.setattr(dense, name, most)
+        res = dense.search(q, docs, "vector", 3)
+        assert "FlatMapCoGroupsInPandas" in res._jdf.queryExecution().toString()
+        assert sorted(map(tuple, res.collect())) == want
+
+
 def test_nearest_in_feed_gate(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 1), (4, [1.0, 1.0], 1),
             (5, [1.0, 0.0], 2)]
@@ -50,21 +77,6 @@ def test_nearest_in_feed_gate(spark):
     assert g["5"] == (None, "Fail")         # alone in its feed
 
 
-def test_ann_recall_and_candidate_share(spark):
-    rows = _vectors(n=400, dims=16, seed=3)
-    docs = spark.createDataFrame(rows, "doc_id long, vector array<float>, label int")
-    q = docs.where(F.col("doc_id") < 40).withColumnRenamed("doc_id", "qid")
-    exact = {(r.qid, r.doc_id) for r in dense.search(q, docs, "vector", 10, "cos_distance")
-             .collect()}
-    ann = {(r.qid, r.doc_id) for r in dense.ann_search(q, docs, "vector", 10, n_cells=8,
-                                                        nprobe=8).collect()}
-    assert ann == exact                       # all cells probed -> exact
-    ann2 = {(r.qid, r.doc_id) for r in dense.ann_search(q, docs, "vector", 10, n_cells=8,
-                                                         nprobe=4).collect()}
-    recall = len(ann2 & exact) / len(exact)
-    assert recall >= 0.6                      # half the cells, stated floor
-
-
 def test_vector_validation(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, None]), (4, [0.0, 0.0]),
                                 (5, None)], "id long, v array<float>")

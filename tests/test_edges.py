@@ -38,11 +38,35 @@ def test_hot_key_split_into_blocks(spark):
     assert got == exp
 
 
-def test_sentences_are_rule_based(spark):
-    df = spark.createDataFrame([(1, "Dr. Smith arrived. Was it late?  Yes!")], "id long, t string")
-    rows = transcript.sentence_chunks(df, "id", "t").orderBy("pos").collect()
-    # abbreviations split (documented deviation from a trained splitter)
-    assert [r.text for r in rows] == ["Dr.", "Smith arrived.", "Was it late?", "Yes!"]
+def test_sentence_borders(spark):
+    text = 'Dr. Smith paid 3.50 to a.b@c.org. "Was it late?" Yes! (Really.) e.g. this... Then\nno end'
+    df = spark.createDataFrame([(1, text), (2, None), (3, " . "), (4, "")], "id long, t string")
+    rows = transcript.sentence_chunks(df.where("id = 1"), "id", "t").orderBy("pos").collect()
+    assert [r.text for r in rows] == ["Dr.", "Smith paid 3.50 to a.b@c.org.", '"Was it late?"', "Yes!", "(Really.)", "e.g.",
+                                      "this...", "Then\nno end"]
+    rows = transcript.sentence_chunks(df, "id", "t", ["dr", "e.g"]).orderBy("id", "pos").collect()
+    assert [r.text for r in rows] == ["Dr. Smith paid 3.50 to a.b@c.org.", '"Was it late?"', "Yes!", "(Really.)",
+                                      "e.g. this...", "Then\nno end", "."]
+
+
+def test_abbreviations_are_learnt_from_the_corpus(spark):
+    import random
+
+    from talkframe.operators import sentences
+    rng = random.Random(1)
+    words = "the house was red and every garden grew along river roads with many small birds".split()
+    docs = []
+    for i in range(400):
+        body = [rng.choice(words) for _ in range(rng.randint(5, 14))]
+        body.insert(rng.randint(1, 4), rng.choice(["Dr. Miller", "approx. five", "e.g. some", "No. 3", "3.5 per cent"]))
+        docs.append((i, " ".join(body).capitalize() + rng.choice(".!?")))
+    df = spark.createDataFrame(docs + [(900, None), (901, ""), (902, "...")], "id long, t string")
+    found = sentences.learn_abbreviations(df, "t")
+    assert {"dr", "approx", "e.g"} <= set(found) and not set(found) & set(words)
+    n = transcript.sentence_chunks(df.where("id < 400"), "id", "t", found).groupBy("id").count().where("count > 1").count()
+    assert n == 0
+    assert sentences.learn_abbreviations(df.limit(0), "t") == []
+    assert sentences.learn_abbreviations(df.where("id >= 900"), "t") == []
 
 
 def test_empty_ground_truth_gives_null(spark):

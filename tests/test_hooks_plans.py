@@ -39,8 +39,8 @@ def test_transcribe_hook_and_concat(spark):
     parts = spark.createDataFrame([(r.media_id, r.part, r.text) for r in out],
                                   "media_id long, part long, text string")
     docs = {d.id: d.text for d in ingest.transcript_documents(parts, dims=8).collect()}
-    # "a_part_1.mp3 0-5" holds two rule-based sentences; ids run across parts in order
-    assert docs == {"1": "a_part_1.", "2": "mp3 0-5", "3": "a_part_2.", "4": "mp3 5-10"}
+    # a period inside a name ends no sentence; ids run across parts in order
+    assert docs == {"1": "a_part_1.mp3 0-5", "2": "a_part_2.mp3 5-10"}
 
 
 def test_generate_hook_errors_per_row(spark):

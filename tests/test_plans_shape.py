@@ -14,11 +14,11 @@ def test_sparse_search_plan(spark):
     q = spark.createDataFrame([(1, "red fish"), (2, "blue")], "qid long, query string")
     hits = sparse.search(idx, q, num_results=3)
     hits.collect()
-    plan = _plan(hits)
-    # partial top-k before the only shuffle by query
+    plan = _plan(hits).split("Initial Plan")[0]
+    # partial top-k before the only shuffle by query; the forward rows are streamed past the query terms
     assert "WindowGroupLimit" in plan and "Partial" in plan
-    # the query terms are broadcast, the postings streamed
-    assert "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning(qid") == 1
+    assert "SortMergeJoin" not in plan
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
@@ -28,6 +28,12 @@ def test_dense_docs_not_shuffled_by_key(spark):
     res = dense.search(v.withColumnRenamed("doc_id", "qid"), v, "vector", 2, "cosine")
     res.collect()
     plan = _plan(res)
+    # the queries travel: no document is moved, and no join is needed
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert "SortMergeJoin" not in plan and "MapInPandas" in plan
+    res = dense.blocked_search(v.withColumnRenamed("doc_id", "qid"), v, ["vector"], 2, stream=False)
+    res.collect()
+    plan = _plan(res)
     # no join at all on the global key (no nested-loop / cross join), one cogroup
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "SortMergeJoin" not in plan

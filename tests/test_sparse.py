@@ -125,3 +125,87 @@ def test_field_both_text_and_keyword(spark):
     q = spark.createDataFrame([(1, "fish news")], "qid long, query string")
     rows = sparse.search(idx, q, filter_dict={"source": "news"}).collect()
     assert [r.doc_id for r in rows] == ["1"]
+
+
+def _corpus(seed=3, docs=300):
+    """Documents with a few very common words, some of middling frequency and many rare ones."""
+    import random
+    rng = random.Random(seed)
+    common, middle = [f"com{i}" for i in range(9)], [f"mid{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(rng.choices([common, middle, [f"rare{rng.randrange(900)}"]], [5, 3, 2])[0])
+                              for _ in range(n))
+    rows = [(i, text(rng.randint(0, 80)), rng.choice(["xx yy", "yy", "com1 xx", ""]), rng.choice("ab")) for i in range(docs)]
+    rows += [(docs + i, rows[7][1], rows[7][2], "a") for i in range(20)]          # copies tie
+    queries = [(i, text(rng.randint(1, 25))) for i in range(25)] + [(90, ""), (91, "unknown"), (92, rows[7][1]), (93, None)]
+    return rows, queries
+
+
+def _brute(rows, queries, fields, k, boosts, sublinear=False, keep=lambda r: True):
+    import re
+    from collections import Counter
+    token = lambda t: re.findall(r"\w{2,}", (t or "").lower())
+    out = {q: Counter() for q, _ in queries}
+    tfw = (lambda n: 1 + math.log(n)) if sublinear else (lambda n: n)
+    for f in fields:
+        tf = [Counter(token(r[f])) for r in rows]
+        df = Counter(t for c in tf for t in c)
+        idf = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items()}
+
+        def unit(c):
+            w = {t: tfw(n) * idf[t] for t, n in c.items() if t in idf}
+            n = math.sqrt(sum(x * x for x in w.values()))
+            return {t: x / n for t, x in w.items()}
+        docs = [unit(c) for c in tf]
+        for q, text in queries:
+            for t, x in unit(Counter(token(text))).items():
+                for r, d in zip(rows, docs):
+                    if t in d and keep(r):
+                        out[q][str(r[0])] += x * d[t] * boosts.get(f, 1.0)
+    return {q: sorted(((d, s) for d, s in c.items() if s > 0), key=lambda x: (-round(x[1], 6), x[0]))[:k] for q, c in out.items()}
+
+
+@pytest.mark.parametrize("k,own,shared,cells", [(10, 128, 64, 1 << 21), (4, 3, 2, 500)])
+def test_pruned_search_is_exact(spark, monkeypatch, k, own, shared, cells):
+    monkeypatch.setattr(sparse, "OWN_SLOTS", own)
+    monkeypatch.setattr(sparse, "SHARED_SLOTS", shared)
+    monkeypatch.setattr(sparse, "CELLS_AT_ONCE", cells)
+    rows, queries = _corpus()
+    docs = spark.createDataFrame(rows, "id long, text string, title string, lang string").repartition(3)
+    q = spark.createDataFrame(queries, "qid long, query string")
+    own_pattern = {"sublinear_tf": True, "token_pattern": r"[a-z0-9]{2,}"}
+    # weights travel to the tasks, or meet the postings in a join
+    for params, flt, vocabulary in (({}, None, 10_000), (own_pattern, {"lang": "a"}, 10_000), (own_pattern, {"lang": "a"}, 0)):
+        idx = sparse.fit(docs, ["text", "title"], ["lang"], params=params, max_vocabulary=vocabulary)
+        want = _brute(rows, queries, [1, 2], k, {1: 3.0}, bool(params), lambda r: not flt or r[3] == "a")
+        for blocks in (sparse.MAX_BROADCAST_QUERY_TERMS, 150)[:1 if flt else 2]:
+            got = {i: [] for i, _ in queries}
+            for r in sparse.search(idx, q, filter_dict=flt, boost_dict={"text": 3.0}, num_results=k,
+                                   max_broadcast_rows=blocks).orderBy("qid", "rank").collect():
+                got[r.qid].append((r.doc_id, r.score))
+            assert {i: [d for d, _ in v] for i, v in got.items()} == {i: [d for d, _ in v] for i, v in want.items()}
+            for i in got:
+                assert [s for _, s in got[i]] == pytest.approx([s for _, s in want[i]], abs=1e-9)
+
+
+def test_search_completes_few_pairs(spark):
+    rows, queries = _corpus(5, 2000)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "id long, text string").repartition(2)
+    q = spark.createDataFrame(queries, "qid long, query string")
+    work = sparse.search_work(sparse.fit(docs, ["text"], []), q, num_results=5).first()
+    assert 0 < work.completed < 0.1 * work.pairs
+
+
+def test_bounds_hold():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    w = rng.random((50, 30)) * (rng.random((50, 30)) < 0.4)
+    slots = np.r_[np.arange(sparse.OWN_SLOTS)][:30]
+    slots = np.where(np.arange(30) < 5, np.arange(30), 5 + (np.arange(30) - 5) % 4)
+    old = sparse.OWN_SLOTS
+    try:
+        sparse.OWN_SLOTS = 5
+        s = sparse._norms_by_slot(w, slots, 9)
+    finally:
+        sparse.OWN_SLOTS = old
+    assert (s @ s.T + 1e-12 >= w @ w.T).all()
+    assert np.allclose(s[:, :5], w[:, :5])
