@@ -60,13 +60,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_worker(key: str, make: Callable[[], Any]) -> Any:
+def per_worker(key: str, make: Callable[[], Any], family: str | None = None) -> Any:
     """``make()``, kept under ``key`` for as long as the Python worker lives.
 
     Functions of this package travel to the workers by value, so a global of their own module
-    is new in each task; a module registered in sys.modules stays.
+    is new in each task; a module registered in sys.modules stays. Of a ``family`` (keys that begin with
+    it) only the latest is kept.
     """
     kept = sys.modules.setdefault("_talkframe_worker", types.ModuleType("_talkframe_worker")).__dict__
     if key not in kept:
+        for old in [k for k in kept if family and k.startswith(family)]:
+            del kept[old]
         kept[key] = make()
     return kept[key]

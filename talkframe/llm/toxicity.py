@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 # Signs that stand for letters.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -267,43 +270,81 @@ class Lexicon:
         return found
 
 
+def _has_spaced(pieces: list[str]) -> bool:
+    """Whether three single signs follow each other."""
+    return b"\1\1\1" in bytes([len(p) if len(p) < 3 else 3 for p in pieces])
+
+
 class Scorer:
     """Score of a text: the chance that any of its restored words makes it toxic."""
 
-    MAX_TOKENS = 1 << 18  # kept tokens (a bound on memory)
+    MAX_TOKENS = 1 << 19  # kept tokens (a bound on memory)
 
     def __init__(self, logp: np.ndarray, shares: dict[str, float]):
         self.decoder, self.shares, self.lexicon = Decoder(logp), shares, Lexicon(shares)
         self.clean: set[str] = set()
         self.toxic: dict[str, float] = {}
+        self.begins: set[str] = set()  # tokens that a learnt word begins with
+        self.heads = {f.removesuffix("$")[:2] for f in shares}
+        self.foreign: dict[str, bool] = {}
+
+    def _foreign(self, two: str) -> bool:
+        """Whether no reading of a Latin word that begins with these two letters has a learnt feature: readings
+        keep the first two different letters, but for accents."""
+        known = self.foreign.get(two)
+        if known is None:
+            base = "".join(c for c in unicodedata.normalize("NFKD", two) if not unicodedata.combining(c))
+            known = len(two) == 2 == len(base) and two[0] != two[1] and base[0] != base[1] and self.heads.isdisjoint((two, base))
+            self.foreign[two] = known
+        return known
+
+    def _share(self, words: list[str]) -> float:
+        get = self.shares.get
+        return max((get(f, 0.0) for w in words for f in features(w)), default=0.0)
 
     def _token(self, token: str) -> float:
         """Share of a token that isn't known yet."""
-        found, get = 0.0, self.shares.get
-        for f in _token_features(self.decoder, token):
-            found = max(found, get(f, 0.0))
-        if not found and not token.isalpha():
-            found = self.lexicon.masked(token)
+        core = token.strip(EDGES)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250") and self._foreign(core[:2]):
+            found = 0.0
+        elif core.isascii() and core.isalpha() and not RUN3.search(core):
+            # a plain word stands for itself and has no mask
+            found = self._share([core, DOUBLED.sub(r"\1", core)])
+        else:
+            found = self._share([v for w in self.decoder.token(token).split() for v in readings(w)])
+            if not found and not token.isalpha():
+                found = self.lexicon.masked(token)
         if len(self.clean) + len(self.toxic) >= self.MAX_TOKENS:
-            self.clean.clear()
-            self.toxic.clear()
+            for kept in (self.clean, self.toxic, self.begins):
+                kept.clear()
         if found:
             self.toxic[token] = found
         else:
             self.clean.add(token)
+        if (token if token.isalpha() else core) in self.lexicon.begins:
+            self.begins.add(token)
         return found
 
+    def _known(self, tokens: set[str]) -> dict[str, float]:
+        """The shares of those tokens that have one."""
+        return {t: share for t in tokens - self.clean if (share := self.toxic.get(t) or self._token(t))}
+
     def score(self, text: str | None) -> float:
         if not text:
             return 0.0
         pieces = text.lower().split()
-        tokens = set(pieces)
-        for run in SPACED.findall(text):
-            tokens.update(self.decoder.spaced(run).split())
-        tokens |= self.lexicon.parted(pieces)
+        found = self._known(set(pieces))
+        more: set[str] = set()
+        # a sign may be longer in lower case: the text itself then tells
+        if _has_spaced(pieces) or "\u0130" in text:
+            for run in SPACED.findall(text):
+                more.update(self.decoder.spaced(run).split())
+        if not self.begins.isdisjoint(pieces):
+            more |= self.lexicon.parted(pieces)
+        found |= self._known(more)
         rest = 1.0
-        for t in sorted(tokens - self.clean):
-            rest *= 1.0 - (self.toxic.get(t) or self._token(t))
+        for t in sorted(found):
+            rest *= 1.0 - found[t]
         return 1.0 - rest
 
 
@@ -412,12 +453,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def scorer(spark: SparkSession, logp: np.ndarray, shares: dict[str, float]):
-    """A column function: text -> score in [0, 1]; null and empty texts score 0."""
+    """A column function: text -> score in [0, 1]; null and empty texts score 0.
+
+    A worker keeps its scorer, and with it the tokens it knows, from task to task.
+    """
     model = spark.sparkContext.broadcast((logp, shares))
+    name = f"scorer-{uuid.uuid4().hex}"
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        s = Scorer(*model.value)
+        s = per_worker(name, lambda: Scorer(*model.value), "scorer-")
         for batch in texts:
             yield pd.Series([s.score(t) for t in batch], dtype="float64")
     return score
