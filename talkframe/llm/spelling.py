@@ -182,9 +182,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     if hot.isEmpty():
         met = p.join(i, "key").filter(near)
     else:
-        i = i.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("iw"), F.coalesce("parts", F.lit(1))))
+        i = i.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("iw"), F.coalesce("parts", F.lit(1))).cast("int"))
         p = p.join(hot, "key", "left").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).cast("long"))
+            "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         met = p.join(i, ["key", "part"]).filter(near)
     up = F.col("iw") < F.col("pw")
     return met.select(F.least("iw", "pw").alias("a"), F.when(up, F.col("inn")).otherwise(F.col("pn")).alias("an"),

@@ -180,6 +180,17 @@ def components_of(scatter: np.ndarray, n: int, most: int) -> tuple[np.ndarray, n
     return e[:k], u, e[:k] / np.trace(v)
 
 
+def refined(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, factors of the eigenvalues) that the whitened rows and the eigenvalues still need.
+
+    An eigenvalue far below the largest is known from the scatter to that one's rounding only. The whitened
+    rows are well scaled, so their covariance shows what is left: taking each component's share of the
+    stronger ones out (Cholesky) mends vectors and eigenvalues to first order.
+    """
+    low = np.linalg.cholesky((cov + cov.T) / 2)
+    return np.linalg.inv(low).T, np.diag(low) ** 2
+
+
 def _gram(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
@@ -191,11 +202,11 @@ def _gram(k: int):
     return run
 
 
-def _rows(k: int):
+def _rows(k: int, turn: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for own, z in zip(b.column(0), b.column(1)):
-                z = np.frombuffer(z.as_py(), "<f8")
+                z = (np.frombuffer(z.as_py(), "<f8").reshape(-1, k) @ turn).ravel()
                 own = np.frombuffer(own.as_py(), "<i8").reshape(-1, 3)
                 each = [pa.array(np.repeat(own[:, j], k), mask=np.repeat(bad, k))
                         for j, bad in ((1, own[:, 0] == 2), (2, own[:, 2] < 0))]
@@ -236,9 +247,10 @@ def whiten(vectors: DataFrame, vec_id: str, vector: str, most: int = COMPONENTS)
     cov = np.zeros(k * k)
     for r in gram:
         cov[r.i] = r.g / n
-    error = float(np.abs(cov.reshape(k, k) - np.eye(k)).max())
-    share = F.element_at(F.array(*[F.lit(float(x)) for x in explained]), F.col("component"))
-    return z.mapInArrow(_rows(k), "vec_id long, component int, deviation long, whitened double").select(
+    turn, scale = refined(cov.reshape(k, k))
+    error = float(np.abs(turn.T @ cov.reshape(k, k) @ turn - np.eye(k)).max())
+    share = F.element_at(F.array(*[F.lit(float(x)) for x in explained * scale]), F.col("component"))
+    return z.mapInArrow(_rows(k, turn), "vec_id long, component int, deviation long, whitened double").select(
         "vec_id", "component", F.lit(n).cast("long").alias("n"), "deviation", "whitened",
         share.alias("explained"), F.lit(error).alias("identity_error"))
 

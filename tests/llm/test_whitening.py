@@ -34,8 +34,8 @@ def check(got, rows, most=32):
     for (i, _), m in zip(sound, moved):
         dev.setdefault(i, []).append(int((m * m).sum()))
     first = got[got.component == 1]
-    assert sorted((-1 if i != i else i, d) for i, d in zip(first.vec_id, first.deviation)) == sorted(
-        (-1 if i is None else i, d) for i, ds in dev.items() for d in ds)
+    assert sorted((-1 if i != i else i, -1 if d != d else float(d)) for i, d in zip(first.vec_id, first.deviation)) == sorted(
+        (-1 if i is None else i, -1 if d >= 1 << 63 else float(d)) for i, ds in dev.items() for d in ds)
     shares = got.groupby("component").explained.agg(["min", "max"])
     assert (shares["min"] == shares["max"]).all()
     assert np.allclose(shares["min"], e[:k] / np.trace(cov), rtol=1e-6)
