@@ -356,6 +356,30 @@ UNION ALL
 SELECT doc_id, 'Capitalized', unnest(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{Ll}+')),
   1.0::DOUBLE FROM documents"""
 
+SQL["entity_tag"] = r"""
+WITH RECURSIVE ph AS (SELECT DISTINCT label, array_to_string(t, ' ') AS gram, len(t) AS n FROM (
+  SELECT label, regexp_extract_all(lower(phrase), '[\p{L}\p{N}]+') AS t FROM (
+    SELECT ['Person', 'Place', 'Work'][item_id % 3 + 1] AS label, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' '),
+      array_to_string(w[2:4], ' '), array_to_string(w[3:4], ' '), array_to_string(w[1:4], ' '), array_to_string(w[4:6], ' ')]) AS phrase
+    FROM (SELECT item_id, string_split_regex(text, '[ \t\n]+') AS w FROM benchmark))) WHERE len(t) > 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+g AS (SELECT doc_id, n, unnest(range(0, len(t) - n + 1)) AS s, t FROM d, (SELECT DISTINCT n FROM ph) WHERE n <= len(t)),
+sp AS (SELECT doc_id, s, s + n AS e, n, array_to_string(t[s + 1:s + n], ' ') AS gram FROM g
+  WHERE array_to_string(t[s + 1:s + n], ' ') IN (SELECT gram FROM ph)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e, s) AS i FROM sp),
+pr AS (SELECT a.doc_id, a.i, any_value(a.n) AS n, any_value(a.s) AS s, any_value(a.gram) AS gram, count(b.i) AS p
+  FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.e <= a.s GROUP BY a.doc_id, a.i),
+f AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, [0::BIGINT] AS v FROM o
+  UNION ALL SELECT f.doc_id, pr.i, list_append(f.v, greatest(f.v[f.i + 1], pr.n * pr.n + f.v[pr.p + 1]))
+  FROM f JOIN pr ON pr.doc_id = f.doc_id AND pr.i = f.i + 1),
+top AS (SELECT doc_id, max(i) AS i, max_by(v, i) AS v FROM f GROUP BY doc_id),
+b AS (SELECT doc_id, i, v, NULL::BIGINT AS taken FROM top
+  UNION ALL SELECT b.doc_id, CASE WHEN b.v[b.i + 1] = b.v[b.i] THEN b.i - 1 ELSE pr.p END, b.v,
+    CASE WHEN b.v[b.i + 1] = b.v[b.i] THEN NULL ELSE b.i END
+  FROM b JOIN pr ON pr.doc_id = b.doc_id AND pr.i = b.i)
+SELECT pr.doc_id, CAST(pr.s AS BIGINT) AS start, ph.label, pr.gram AS text, 1.0::DOUBLE AS score
+FROM b JOIN pr ON pr.doc_id = b.doc_id AND pr.i = b.taken JOIN ph USING (gram)"""
+
 STATS = """stats AS (SELECT event_type AS label, CAST(user_id AS VARCHAR) AS text,
   sum(value) AS total_score, count(*) AS count FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY count DESC,

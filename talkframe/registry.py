@@ -346,12 +346,9 @@ def prompt_render(spark, sf_dir):
 @query("rag_batch")
 def rag_batch(spark, sf_dir):
     """K1: search -> context -> prompt -> default extractive answer -> words."""
-    from .operators import rag
-    hits = _rag_hits(spark, sf_dir)
-    prompts = rag.render_prompts(bench_queries(spark, sf_dir), hits)
-    answers = prompts.join(rag.extractive_answer(hits), "qid", "left").select(
-        "qid", F.coalesce(F.col("answer"), F.lit("")).alias("answer"))
-    return rag.word_stream(answers, ["qid"], "answer")
+    from .plans import backends, rag
+    index = backends.Index("tfidf", sparse=sparse.fit(corpus(spark, sf_dir), ["text"], []))
+    return rag.answer_words(rag.answer(index, bench_queries(spark, sf_dir), 5))
 
 
 @query("question_prompt")
@@ -457,6 +454,24 @@ def entity_extract(spark, sf_dir):
     return topics.extract_entities(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def phrases(spark, sf_dir):
+    """(label, phrase): runs of two to four words near the beginning of every benchmark text stand for the
+    user's entities, under three labels."""
+    b = table(spark, sf_dir, "benchmark")
+    w = F.split("text", r"[ \t\n]+")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("Person", "Place", "Work")]), (F.col("item_id") % 3 + 1).cast("int"))
+    runs = F.array(*[F.array_join(F.slice(w, at, n), " ") for at, n in ((1, 2), (2, 2), (2, 3), (3, 2), (1, 4), (4, 3))])
+    return b.select(label.alias("label"), F.explode(runs).alias("phrase"))
+
+
+@query("entity_tag")
+def entity_tag(spark, sf_dir):
+    """J2 + G2 by the user's labels: phrases of the three labels in every whole document, no two of them
+    overlapping."""
+    from .operators import tagger
+    return tagger.tag_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", phrases(spark, sf_dir))
+
+
 @query("topic_stats")
 def topic_stats_q(spark, sf_dir):
     """Total score and count per (label, text)."""

@@ -17,6 +17,10 @@ FEED_ITEM = ("struct<title:string,description:string,pubDate:string,"
              "enclosure:array<struct<_url:string>>>")
 FEED_CHANNEL = f"title string, item array<{FEED_ITEM}>"
 
+ATOM_ENTRY = ("struct<title:string,summary:string,content:string,published:string,updated:string,"
+              "link:array<struct<_rel:string,_href:string>>>")
+ATOM_FEED = f"title string, entry array<{ATOM_ENTRY}>"
+
 CATALOGUE = ("resultCount int, results array<struct<collectionId:string,collectionName:string,"
              "artistName:string,feedUrl:string>>")
 
@@ -24,6 +28,9 @@ TRANSCRIPT = f"chunks array<{CHUNK}>, text string"
 
 DOCUMENT = "id string, text string, text_vector array<float>"
 
+# a document's version: the largest wins, and a deleted one is gone
+VERSIONED = "id string, text string, vector array<float>, version bigint, deleted boolean"
+
 ENTITY = "label string, text string, score double"
 
 CHAT_MESSAGE = "role string, content string"

@@ -1,7 +1,7 @@
 """Index storage as Parquet directories.
 
 Layout under an index root: ``docs/``, ``idf/``, ``forward/``, ``postings/`` (sparse), ``vectors/batch_id=*/``
-and ``rejects/batch_id=*/`` (dense; batch and streaming writes alike), ``model/``, ``cells/``, ``codes/`` and
+and ``rejects/batch_id=*/`` (dense; batch and streaming writes alike), ``versions/batch_id=*/`` (upserts), ``model/``, ``cells/``, ``codes/`` and
 ``ann_vectors/`` (approximate). Creating an index replaces the directories (drop-then-create).
 Postings are written bucketed by ``doc_id`` so a search scans them without shuffling.
 """
@@ -121,6 +121,40 @@ def populate_vectors(docs: DataFrame, root: str, dims: int, vector: str = "vecto
             rows.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch}")
 
 
+def write_versions(docs: DataFrame, root: str, dims: int, batch_id: str | int) -> None:
+    """Versions of documents (schemas.VERSIONED), appended to ``versions/batch_id=<id>``.
+
+    A version with an invalid vector goes to ``version_rejects/`` with its reason and changes nothing, a
+    deleted one needs no vector, and one without a version counts as version 0. A batch that is written
+    again replaces its folder.
+    """
+    rows = docs.select("id", "text", "vector", F.coalesce("version", F.lit(0)).cast("bigint").alias("version"),
+                       F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    reason = F.when(F.col("id").isNull(), F.lit("null id")).when(~F.col("deleted"), validity_reason("vector", dims))
+    tagged = rows.withColumn("reason", reason)
+    for name, part in (("versions", tagged.where("reason is null").drop("reason")), ("version_rejects", tagged.where("reason is not null"))):
+        part.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+
+
+def open_current(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, text, vector) of the documents as they are now: of all versions ever written the largest
+    one of each id, unless it is deleted. The order in which versions arrived, and whether some arrived twice,
+    doesn't matter; of different rows with the same version a deletion wins, then the larger hash.
+
+    Only ids, versions and hashes are aggregated; the texts and vectors meet the winners once.
+    """
+    try:
+        rows = spark.read.parquet(f"{root}/versions").drop("batch_id")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], EMPTY_VECTORS)
+    rows = rows.withColumn("_h", F.xxhash64("text", "vector"))
+    last = rows.groupBy("id").agg(F.max(F.struct("version", "deleted", "_h")).alias("_last")).select("id", "_last.*")
+    kept = rows.join(last.where("not deleted"), ["id", "version", "deleted", "_h"]).dropDuplicates(["id"])
+    return kept.select(F.col("id").alias("doc_id"), "text", "vector")
+
+
 def open_vectors(spark: SparkSession, root: str) -> DataFrame:
     """The vector collection, or an empty frame with the schema when it is missing.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import topics
 from ..plans import backends
-from ..sources.index_io import populate_vectors
+from ..sources.index_io import populate_vectors, write_versions
 
 
 def answer_questions(spark: SparkSession, source_dir: str, index: backends.Index,
@@ -59,6 +59,21 @@ def index_documents(spark: SparkSession, source_dir: str, root: str, checkpoint:
     return w.start()
 
 
+def upsert_documents(spark: SparkSession, source_dir: str, root: str, checkpoint: str, dims: int,
+                     schema: str = schemas.VERSIONED, available_now: bool = True):
+    """I2, keyed: arriving versions and deletions of documents -> ``versions/`` (idempotent by batch id);
+    ``index_io.open_current`` reads the last version of each. A replayed or reordered stream ends in the same
+    documents."""
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+
+    def handle(batch: DataFrame, batch_id: int):
+        write_versions(batch, root, dims, f"stream-{batch_id}")
+
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
 def topic_counts(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                  schema: str = schemas.ENTITY, available_now: bool = True):
     """Running (label, text) -> total_score, count over arriving mentions; the state after each
@@ -74,6 +89,34 @@ def topic_counts(spark: SparkSession, source_dir: str, out_dir: str, checkpoint:
     return w.start()
 
 
+def topic_summary(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, capacity: int = 1000,
+                  schema: str = schemas.ENTITY, available_now: bool = True):
+    """I3 with bounded state: after each micro-batch ``batch_id=<n>/`` holds at most ``capacity`` texts of each
+    label with their counts and the label's error (``topics.merge_summaries``); ``topics.rank_by_summary`` makes
+    the exact ranking of it and the landed mentions.
+
+    A batch merges its counts with the summary of the batch before it, so a batch that is repeated after a failure
+    writes the same rows again.
+    """
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+    path = f"{out_dir}/batch_id="
+
+    def handle(batch: DataFrame, batch_id: int):
+        counts = batch.groupBy("label", "text").agg(F.count(F.lit(1)).alias("count")).withColumns(
+            {"error": F.lit(0).cast("bigint"), "part": F.lit(1)})
+        if batch_id:
+            before = spark.read.schema(SUMMARY).parquet(f"{path}{batch_id - 1}").withColumn("part", F.lit(0))
+            counts = counts.unionByName(before)
+        topics.merge_summaries(counts, capacity).write.mode("overwrite").parquet(f"{path}{batch_id}")
+
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
+SUMMARY = "label string, text string, count bigint, error bigint"
+
+
 def chat_log(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
              schema: str = "conv_id long, turn long, role string, text string",
              available_now: bool = True):

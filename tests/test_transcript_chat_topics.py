@@ -98,3 +98,37 @@ def test_latest_entry_and_lookup(spark):
     ids = spark.createDataFrame([(2,), (9,)], "podcast_id long")
     lk = {r.podcast_id: r.status for r in lookup(ids, cat).collect()}
     assert lk == {2: "Success", 9: "Fail"}
+
+
+def test_tagger_keeps_the_heaviest_matches_without_overlap(spark):
+    import itertools
+    import random
+
+    from talkframe.operators import tagger
+    rng = random.Random(4)
+    words = "red blue old new York town Hall of é1".split()
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14))).replace(" of ", ", of ")) for i in range(40)]
+    texts += [(90, None), (91, ""), (92, "?!")]
+    table = [("City", "new YORK"), ("Place", "new-york"), ("Place", "York town hall"), ("Hall", "town hall of"), ("Colour", "red"),
+             ("Colour", "blue red"), ("Word", "é1"), ("Old", "old old"), (None, "red blue"), ("No", None), ("No", " ., ")]
+    tokens = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    known = {}
+    for label, p in table:
+        if label and tokens(p):
+            known.setdefault(" ".join(tokens(p)), set()).add(label)
+    docs = spark.createDataFrame(texts, "id long, t string")
+    for most in (10, 0):
+        got = {}
+        for r in tagger.tag_phrases(docs, "id", "t", spark.createDataFrame(table, "label string, phrase string"), max_broadcast=most).collect():
+            got.setdefault(r.id, {}).setdefault((r.start, r.text), set()).add(r.label)
+        for i, t in texts:
+            w = tokens(t)
+            spans = [(s, s + n) for n in (1, 2, 3) for s in range(len(w) - n + 1) if " ".join(w[s:s + n]) in known]
+            mine = got.get(i, {})
+            cover = sorted((s, s + len(g.split())) for s, g in mine)
+            assert all(a[1] <= b[0] for a, b in zip(cover, cover[1:])) and set(cover) <= set(spans)
+            assert all(labels == known[g] for (_, g), labels in mine.items())
+            best = max(sum((e - s) ** 2 for s, e in c) for k in range(len(spans) + 1) for c in itertools.combinations(sorted(spans), k)
+                       if all(a[1] <= b[0] for a, b in zip(c, c[1:]))) if len(spans) <= 12 else None
+            assert best is None or sum((e - s) ** 2 for s, e in cover) == best
+    assert tagger.tag_phrases(docs, "id", "t", spark.createDataFrame([], "label string, phrase string")).count() == 0
