@@ -167,6 +167,16 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      schema=pa.schema([("lang", pa.string()), ("n", pa.int64()), ("bundle", pa.list_(pa.float64()))]))
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, n, bundle) of many tasks, added up by language where they are read."""
+    total: dict[str, np.ndarray] = {}
+    for b in batches:
+        for lang, bundle in zip(b.column(0).to_pylist(), b.column(1)):
+            total[lang] = total.get(lang, 0) + bundle.values.to_numpy(zero_copy_only=False)
+    yield pa.RecordBatch.from_pydict({"lang": list(total), "bundle": list(total.values())},
+                                     schema=pa.schema([("lang", pa.string()), ("bundle", pa.list_(pa.float64()))]))
+
+
 @dataclass
 class Profiles:
     """The learnt languages and their unit prototypes (rows)."""
@@ -178,15 +188,17 @@ class Profiles:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     """Prototypes of all rows with a language and a letter.
 
-    A task adds its texts' bundles up by language, so one row per task and language is shuffled,
-    whatever the share of a language. Rows are sums of doubles: reruns agree to rounding.
+    A task adds its texts' bundles up by language and writes a row for each, whatever the share of a
+    language. Rows are sums of doubles: reruns agree to rounding.
     """
     part = written(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
                    .mapInArrow(_profiles, "lang string, n long, bundle array<double>"), "profiles").filter("n > 0")
     few = part.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if few > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: {lang} doesn't hold languages")
-    rows = (part.select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    # files of many tasks are read by few: their rows are added up before the dimensions are
+    rows = (part.select("lang", "bundle").mapInArrow(_merged, "lang string, bundle array<double>")
+            .select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
             .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect())
     p = np.array([[c.x for c in r.v] for r in rows]).reshape(len(rows), DIMENSIONS)
     return Profiles([r.lang for r in rows], p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-30))
