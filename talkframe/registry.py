@@ -642,4 +642,5 @@ def ann_recall(spark, sf_dir):
         F.count(F.lit(1)).alias("queries"), (F.sum("n") / F.sum("want") >= 0.95).alias("recall_ok"))
     n = v.count()
     share = read.agg((F.count(F.lit(1)) < F.lit(n * n)).alias("reads_less"))
-    return both.withColumn("_k", F.lit(1)).join(share.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # two rows become one
+    return both.unionByName(share, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("queries", "recall_ok", "reads_less")])
