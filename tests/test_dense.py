@@ -109,3 +109,17 @@ def test_mean_pool(spark):
                                "k long, v array<float>")
     got = {r.k: r.vector for r in dense.mean_pool(df, "k", "v").collect()}
     assert got == {1: [2.0, 3.0], 2: [5.0, 5.0]}
+
+
+def test_blocks_are_as_large_as_a_task_holds(spark):
+    # every row travels once per block of the other side: 5000 rows of two numbers are one block
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, rng.normal(size=2).astype(np.float32).tolist()) for i in range(5000)],
+                                 "doc_id long, vector array<float>")
+    q = docs.withColumnRenamed("doc_id", "qid")
+    h = dense.blocked_search(q, docs, ["vector"], 1, stream=False)
+    assert "explode([0,1" not in h._jdf.queryExecution().optimizedPlan().toString()
+    assert dense.travel_rows(64) >= 32_768 and dense.travel_rows(10 ** 6) == dense.QUERY_BLOCK
+    got = {(r.qid, r.doc_id) for r in h.where("qid % 50 = 0").collect()}
+    want = {(r.qid, r.doc_id) for r in dense.blocked_search(q.where("qid % 50 = 0"), docs, ["vector"], 1, stream=True).collect()}
+    assert got == want and len(got) == 100
