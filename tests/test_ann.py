@@ -98,3 +98,17 @@ def test_backend(spark):
     assert near.cells is not None and full.cells is None
     for flt in (None, {"lang": "a"}):
         assert _hits(backends.search(near, q, 4, filter_dict=flt)) == _hits(backends.search(full, q, 4, filter_dict=flt))
+
+
+def test_tasks_pass_on_k_rows_per_query(spark):
+    # vectors without clusters: their bounds leave many rows to compare, but only k of them may leave a task
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(400)], SCHEMA)
+    q = docs.withColumnRenamed("doc_id", "qid")
+    read = ann.candidates(ann.fit(docs, n_cells=4), q, 5, nprobe=2)
+    per_query = {r["qid"]: (r["n"], r["read"]) for r in read.groupBy("qid").agg(
+        F.count("*").alias("n"), F.sum("read").alias("read")).collect()}
+    assert len(per_query) == 400 and all(n == 5 <= compared <= 400 for n, compared in per_query.values())
+    assert sum(compared for _, compared in per_query.values()) < 400 * 400
+    want = {(r.qid, r.doc_id) for r in dense.search(q, docs, "vector", 5, "cos_distance").collect()}
+    assert {(r.qid, r.doc_id) for r in read.collect()} == want
