@@ -209,3 +209,15 @@ def test_bounds_hold():
         sparse.OWN_SLOTS = old
     assert (s @ s.T + 1e-12 >= w @ w.T).all()
     assert np.allclose(s[:, :5], w[:, :5])
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_postings_of_frequent_terms_are_not_shuffled(spark, monkeypatch, frequent):
+    rows = [(1, "ab ab cd x1"), (1, "ab cd ef"), (2, ""), (None, "cd ef ef gh"), (3, "ab cd ef ij kl"), (4, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    want = sparse.fit(docs, ["text"]).postings
+    monkeypatch.setattr(sparse, "FREQUENT_TERMS", frequent)
+    monkeypatch.setattr(sparse, "COUNTED_CHARS", 1)
+    got = sparse.fit(docs, ["text"], max_vocabulary=0).postings
+    key = lambda df: sorted((str(r.doc_id), r.term, r.tf, round(r.w, 9), round(r.norm, 9), round(r.wn, 9)) for r in df.collect())
+    assert key(got) == key(want) and got.count() == 14
