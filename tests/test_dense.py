@@ -123,3 +123,19 @@ def test_blocks_are_as_large_as_a_task_holds(spark):
     got = {(r.qid, r.doc_id) for r in h.where("qid % 50 = 0").collect()}
     want = {(r.qid, r.doc_id) for r in dense.blocked_search(q.where("qid % 50 = 0"), docs, ["vector"], 1, stream=True).collect()}
     assert got == want and len(got) == 100
+
+
+def test_blocks_meet_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(90)],
+                                 "doc_id long, vector array<float>")
+    q = docs.withColumnRenamed("doc_id", "qid")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")     # small tables else end up in one partition
+    try:
+        got, want = ({(r.qid, r.doc_id) for r in dense.blocked_search(
+            q, docs, ["vector"], 3, query_block=20, doc_block=30, stream=stream).collect()} for stream in (False, True))
+    finally:
+        spark.conf.set(name, before)
+    assert got == want and len(got) == 270
