@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from .sparse import join_payload
 NAME_GRAM = 3
 # Anchors (one row a term) broadcast to the index rows; beyond it both sides are shuffled by gram.
 MAX_BROADCAST_ANCHORS = 1_000_000
+# Matches that a task holds, besides those already cut, before it cuts them to the first of each term.
+FIRST_ROWS = 1 << 16
 # Index rows of one gram that one part of the shuffled join holds.
 GRAM_ROWS = 100_000
 # (characters of a gram, grams of a window) for items of at least gram + window - 1 characters,
@@ -192,8 +195,37 @@ def text_matches(items: DataFrame, texts: DataFrame, max_grams: int = MAX_BROADC
     return found.where(F.contains("text", "question")).select("qid", "id")
 
 
+def _least(limit: int):
+    """Batches (term, key) -> the first ``limit`` rows of each term among those held at once, nulls first."""
+    def cut(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(rows.column_names[0], "ascending"), (rows.column_names[1], "ascending")],
+                                         null_placement="at_start"))
+        number = rows.column(0).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        heads = np.r_[0, np.flatnonzero(np.diff(number)) + 1]
+        place = np.arange(len(number)) - np.repeat(heads, np.diff(np.r_[heads, len(number)]))
+        return rows.filter(pa.array(place < limit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new, n = None, [], 0
+        for b in batches:
+            new.append(b)
+            n += b.num_rows
+            if n >= max(FIRST_ROWS, held.num_rows if held else 0):
+                held, new, n = cut(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(new)])), [], 0
+                if held.num_rows > 4 * FIRST_ROWS:
+                    yield from held.combine_chunks().to_batches()
+                    held = None
+        if held or n:
+            yield from cut(pa.concat_tables([*([held] if held else []), *([pa.Table.from_batches(new)] if n else [])])).combine_chunks().to_batches()
+    return run
+
+
 def first_matches(matches: DataFrame, term: str, key: str, limit: int) -> DataFrame:
-    """(term, key, rank): the first ``limit`` keys of each term; ``limit`` rows a partition are shuffled."""
+    """(term, key, rank): the first ``limit`` keys of each term. Tasks cut their rows as they come, so that neither
+    a sort nor the shuffle holds all matches."""
+    rows, kinds = matches.select(term, key), dict(matches.dtypes)
+    if limit > 0 and kinds[key] in ("string", "bigint", "int", "smallint", "tinyint"):
+        rows = rows.mapInArrow(_least(limit), f"`{term}` {kinds[term]}, `{key}` {kinds[key]}")
     w = Window.partitionBy(term).orderBy(key)
-    return (matches.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    return (rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
             .withColumn("rank", F.col("_rn").cast("bigint")).drop("_rn"))
