@@ -166,7 +166,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     ``words`` is a written (word, n) table of distinct words of at least PREFIX + 1 code points.
     Keys are hashed to 64 bits; every meeting is verified, so a collision costs a check only. A key
-    of more than KEY_ROWS index rows is dealt to parts, to each of which its probes go.
+    of more than KEY_ROWS index rows is dealt to parts, to each of which its probes go. Both sides are
+    shuffled: Spark sizes them by the words, of which each has a dozen rows, and would broadcast them.
     """
     counts = bigram_order(words)
     order = {g: (i, c) for i, (g, c) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0])))}
@@ -180,12 +181,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
     p = probes.select("key", F.col("last").alias("pl"), F.col("word").alias("pw"), F.col("n").alias("pn"))
     near = (F.col("pl") <= F.col("il")) & (F.col("iw") != F.col("pw")) & (F.levenshtein("iw", "pw", 1) == 1)
     if hot.isEmpty():
-        met = p.join(i, "key").filter(near)
+        met = p.join(i.hint("merge"), "key").filter(near)
     else:
         i = i.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("iw"), F.coalesce("parts", F.lit(1))).cast("int"))
         p = p.join(hot, "key", "left").withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        met = p.join(i, ["key", "part"]).filter(near)
+        met = p.join(i.hint("merge"), ["key", "part"]).filter(near)
     up = F.col("iw") < F.col("pw")
     return met.select(F.least("iw", "pw").alias("a"), F.when(up, F.col("inn")).otherwise(F.col("pn")).alias("an"),
                       F.greatest("iw", "pw").alias("b"), F.when(up, F.col("pn")).otherwise(F.col("inn")).alias("bn")).distinct()

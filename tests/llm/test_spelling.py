@@ -113,3 +113,19 @@ def test_pivots_are_the_cheapest_disjoint_pair():
         price = dict(zip(places, cost))
         best = min(price[a] + price[b] for a in places for b in places if b >= a + 2)
         assert got[0] + 2 <= got[1] and price[got[0]] + price[got[1]] == best
+
+
+def test_index_of_words_is_never_broadcast(spark, monkeypatch):
+    """Spark sizes index and probes by the words alone; a dozen rows a word don't go through the driver."""
+    words = [(f"{a}{b}planet{c}", 5) for a in "abcdefgh" for b in "aeiou" for c in "rstu"]
+    df = spark.createDataFrame(words, "word string, n long")
+    for most in (sp.KEY_ROWS, 1):  # without and with keys that are dealt to parts
+        monkeypatch.setattr(sp, "KEY_ROWS", most)
+        pairs = sp.near_pairs(df)
+        assert pairs.count() > 0
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=merge)" in plan
+        joins = [line for line in pairs._jdf.queryExecution().executedPlan().toString().split("\n")
+                 if "MergeJoin" in line or "BroadcastHashJoin" in line or "ShuffledHashJoin" in line]
+        met = [line for line in joins if "[key#" in line and "levenshtein" in line]
+        assert met and all("SortMergeJoin" in line for line in met), joins
