@@ -139,3 +139,25 @@ def test_blocks_meet_over_many_partitions(spark):
     finally:
         spark.conf.set(name, before)
     assert got == want and len(got) == 270
+
+
+@pytest.mark.parametrize("metric", ["cosine", "cos_plus_one", "cos_distance"])
+def test_singles_rule_out_most_pairs_and_no_hit(monkeypatch, metric):
+    """Scores that singles can't tell apart and ties are settled in doubles; few pairs get that far."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2500, 8))
+    rows = np.concatenate([base, base[:40] * (1 + 1e-7 * rng.normal(size=(40, 8))), base[:40] * 3, np.zeros((3, 8))])
+    ids = np.array([str(i) for i in range(len(rows))], object)
+    rescored = []
+    real = dense._rescored
+    monkeypatch.setattr(dense, "_rescored", lambda spec, q, d, r, c, best: (rescored.append(len(r)), real(spec, q, d, r, c, best)))
+    for exclude_self, positive_only in ((False, False), (True, False), (True, True)):
+        spec = dense._Spec(("v", "w"), (2.0, 0.5), metric, 4, positive_only, exclude_self)
+        fields = [dense._unit(list(rows)), dense._unit(list(rows[:, ::-1][:, :5]))]
+        d, q = dense._Side(ids, fields), dense._Side(ids[:60], [f[:60] for f in fields])
+        quick, whole = (dense._nothing_yet(spec, q) for _ in range(2))
+        dense._all_of(spec, q, d, quick)
+        dense._better(spec, q, d, whole)
+        assert quick.frame(q.ids)[["qid", "doc_id"]].values.tolist() == whole.frame(q.ids)[["qid", "doc_id"]].values.tolist()
+        assert np.allclose(quick.scores, whole.scores, atol=1e-12)
+    assert 0 < sum(rescored) < 3 * 60 * len(rows) // 10
