@@ -112,3 +112,35 @@ def test_tasks_pass_on_k_rows_per_query(spark):
     assert sum(compared for _, compared in per_query.values()) < 400 * 400
     want = {(r.qid, r.doc_id) for r in dense.search(q, docs, "vector", 5, "cos_distance").collect()}
     assert {(r.qid, r.doc_id) for r in read.collect()} == want
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.05])
+def test_singles_rule_out_rows_of_a_cell(monkeypatch, spread):
+    """Beyond the first rows of a cell a block is bounded in singles; the hits are those of a full search."""
+    import types
+
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 8))[rng.integers(0, 5, 3000)] + spread * rng.normal(size=(3000, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    u[-3:] = u[:3]                                          # copies tie
+    model = ann.AnnModel(8, u.mean(axis=0, keepdims=True), [])
+    rest = u - model.centers[0]
+    model.codebooks = [ann._codebook(rest[:, a:b], 1) for a, b in model.cuts()]
+    cell, code, err = model.encode(u)
+    ids = np.array([str(i) for i in range(len(u))], object)
+    d = pd.DataFrame({"doc_id": ids, "cell": cell, "code": [c.tobytes() for c in code], "err": err,
+                      "same": [hash(v.tobytes()) for v in u], "unit": list(u)})
+    q = pd.DataFrame({"qid": ids[:50], "_u": list(u[:50]), "most": np.inf})
+    bounded, gaps = [], ann._gaps
+    monkeypatch.setattr(ann, "_gaps", lambda a, b: (bounded.append(len(a) * len(b)), gaps(a, b))[1])
+    shared = types.SimpleNamespace(value=(8, model.centers, model.codebooks))
+    got = ann._refined(shared, 4)(q, d)
+    score = 1.0 - u[:50] @ u.T
+    want = {i: [str(j) for j in sorted(range(len(u)), key=lambda j: (round(score[i, j], 6), str(j)))[:4]] for i in range(50)}
+    assert {int(i): rows.doc_id.tolist() for i, rows in got.groupby("qid")} == want
+    assert (got.groupby("qid")["read"].sum() >= 4).all() and got["read"].sum() <= 50 * len(u)
+    assert sum(bounded) < 50 * len(u) / 4
+    # with limits known beforehand none of them is missed
+    again = ann._refined(shared, 4)(q.assign(most=[score[i, int(want[i][-1])] for i in range(50)]), d)
+    assert {int(i): rows.doc_id.tolist() for i, rows in again.groupby("qid")} == want
